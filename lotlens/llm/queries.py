@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, sharding
+from . import bpe, exact_dedup, media_gif, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media_gif.read_media(media_gif.store_text(_documents(spark, sf_dir)))
+    bins = F.array_join(F.col("histogram").cast("array<string>"), ",")
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("gif").cast("long").alias("media_bytes"),
+        F.sha2("gif", 256).alias("media_sha256"),
+        F.format_string("frames=%d;ms=%d;rgb=%s", "frames", "duration_ms", bins).alias("feature"),
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = exact_dedup.group_copies(_documents(spark, sf_dir))
     return copies.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -38,6 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op8_bpe": op8_bpe,
+    "op9_media_gif": op9_media_gif,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
