@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, line_dedup, media_gif, packing, secrets, sharding, toxicity
+from . import bpe, exact_dedup, jaccard, langid, line_dedup, media_gif, packing, secrets, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(_documents(spark, sf_dir)))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.group_similar(_documents(spark, sf_dir))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return langid.identify(docs, langid.train(docs))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
     "op3_secrets": op3_secrets,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_langid": op5_langid,
     "op6_sharding": op6_sharding,
     "op7_line_dedup": op7_line_dedup,
