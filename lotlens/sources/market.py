@@ -7,17 +7,33 @@ Each view has a twin in DuckDB SQL beside it (``LISTINGS_SQL`` and so on) for th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import table
 
 AS_OF = "2001-08-01 00:00:00"
+OBSERVED_TO = "2024-01-31 00:00:00"  # the observations are from another month than the listings
 _TIE = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
-def as_of():
-    return F.lit(AS_OF).cast("timestamp")
+# what the parts lack: category members dealt by a key
+FUELS = ("PETROL", "LPG", "HYBRID", "PLUGIN_HYBRID", "ELECTRIC", "DIESEL", "UNKNOWN")
+GEARS = ("AUTOMATIC", "MANUAL", "CVT")
+DRIVES = ("FWD", "RWD", "AWD", "UNKNOWN")
+BODIES = ("SEDAN", "WAGON", "SUV", "CROSSOVER", "UNKNOWN")
+
+
+def _pick(key: str, names: tuple[str, ...]) -> Column:
+    return F.element_at(F.array(*(F.lit(n) for n in names)), (F.col(key) % len(names) + 1).cast("int"))
+
+
+def _pick_sql(key: str, names: tuple[str, ...]) -> str:
+    return f"([{', '.join(repr(n) for n in names)}])[{key} % {len(names)} + 1]"
+
+
+def as_of() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +62,13 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("p_type").alias("model"),
             F.concat_ws("|", F.upper("p_brand"), F.upper("p_type")).alias("model_key"),
             (F.col("p_size") + 1974).alias("model_year"),
-            F.upper("p_name").alias("trim"),
+            F.upper(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("generation"),
+            F.upper(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("trim"),
+            F.when(F.col("p_size") % 11 != 0, (F.col("p_size") % 6 * 3 + 10) / 10).alias("displacement_l"),
+            _pick("p_size", FUELS).alias("fuel"),
+            _pick("p_size", GEARS).alias("transmission"),
+            _pick("p_size", DRIVES).alias("drivetrain"),
+            _pick("p_partkey", BODIES).alias("body"),
             F.col("l_extendedprice").alias("price"),
             ((F.lit(51) - F.col("l_quantity")) * 4000).cast("long").alias("mileage_km"),
             F.col("city"),
@@ -59,7 +81,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LISTINGS_SQL = """
+LISTINGS_SQL = f"""
 lot_first AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity,
@@ -69,7 +91,11 @@ lot_first AS (
   SELECT l_orderkey * 10 + l_linenumber AS listing_id, o_custkey AS owner_id, l_suppkey AS seller_id,
     'https://lots.example/' || CAST(l_orderkey * 10 + l_linenumber AS VARCHAR) AS source_url,
     p_brand AS make, p_type AS model, upper(p_brand) || '|' || upper(p_type) AS model_key,
-    1974 + p_size AS model_year, upper(p_name) AS trim, l_extendedprice AS price,
+    1974 + p_size AS model_year, upper(split_part(p_name, ' ', 1)) AS generation,
+    upper(split_part(p_name, ' ', 2)) AS trim,
+    CASE WHEN p_size % 11 <> 0 THEN CAST(p_size % 6 * 3 + 10 AS DOUBLE) / 10 END AS displacement_l,
+    {_pick_sql("p_size", FUELS)} AS fuel, {_pick_sql("p_size", GEARS)} AS transmission,
+    {_pick_sql("p_size", DRIVES)} AS drivetrain, {_pick_sql("p_partkey", BODIES)} AS body, l_extendedprice AS price,
     CAST((51 - l_quantity) * 4000 AS BIGINT) AS mileage_km, n_name AS city, r_name AS region,
     least(o_orderdate, l_shipdate) AS first_seen, greatest(o_orderdate, l_shipdate) AS last_seen,
     CASE WHEN l_linestatus = 'O' THEN 'ACTIVE' ELSE 'REMOVED' END AS status,
@@ -83,6 +109,12 @@ lot_first AS (
 )"""
 
 
+SUBJECT_FIELDS = (
+    "make", "model", "model_key", "model_year", "generation", "trim", "displacement_l", "fuel", "transmission",
+    "drivetrain", "body", "price", "mileage_km", "city", "region", "damage", "first_seen", "source_url",
+)
+
+
 def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The items to appraise: each seller's latest listing (ties: the largest id)."""
     latest = F.struct("last_seen", "listing_id")
@@ -93,16 +125,14 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.max_by("_all", latest).alias("s"))
         .select(
             F.col("s.listing_id").alias("subject_id"),
-            *(F.col(f"s.{c}").alias(f"s_{c}") for c in ("make", "model", "model_key", "model_year", "trim", "price", "mileage_km", "city", "region", "damage", "first_seen", "source_url")),
+            *(F.col(f"s.{c}").alias(f"s_{c}") for c in SUBJECT_FIELDS),
         )
     )
 
 
-SUBJECTS_SQL = """
+SUBJECTS_SQL = f"""
 subjects AS (
-  SELECT listing_id AS subject_id, make AS s_make, model AS s_model, model_key AS s_model_key,
-    model_year AS s_model_year, trim AS s_trim, price AS s_price, mileage_km AS s_mileage_km, city AS s_city,
-    region AS s_region, damage AS s_damage, first_seen AS s_first_seen, source_url AS s_source_url
+  SELECT listing_id AS subject_id, {", ".join(f"{c} AS s_{c}" for c in SUBJECT_FIELDS)}
   FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY last_seen DESC, listing_id DESC) AS rn
         FROM listings) WHERE rn = 1
 )"""
@@ -111,7 +141,7 @@ subjects AS (
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price observations: listing_id, observed_at, price, change_kind; in order of (observed_at, seq)."""
     return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("listing_id"),
+        (F.col("user_id") * 10 + F.col("event_id") % 7 + 1).alias("listing_id"),
         F.col("ts").alias("observed_at"),
         F.col("value").alias("price"),
         F.upper("event_type").alias("change_kind"),
@@ -121,6 +151,6 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBSERVATIONS_SQL = """
 observations AS (
-  SELECT user_id AS listing_id, ts AS observed_at, value AS price, upper(event_type) AS change_kind, event_id AS seq
+  SELECT user_id * 10 + event_id % 7 + 1 AS listing_id, ts AS observed_at, value AS price, upper(event_type) AS change_kind, event_id AS seq
   FROM events
 )"""
