@@ -181,7 +181,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_snapshots(spark, sf_dir))
+    return rounded(_snapshots(spark, sf_dir).withColumn("mean", F.col("mean") + NUDGE))
 
 
 _AT = f"TIMESTAMP '{market.AS_OF}'"
@@ -224,10 +224,10 @@ scoped AS (
     n AS sample_size, p10, p25, p50, p75, p90, mean, dispersion
   FROM whole JOIN quants USING (model_key, scope, window_days) JOIN level USING (model_key, scope, window_days)
 )"""
-MARKET_SNAPSHOTS_SQL = """
+MARKET_SNAPSHOTS_SQL = f"""
 SELECT model_key, scope, window_days, median_mileage_km, round(median_days_on_market, 4) AS median_days_on_market,
   new_listings, removed_listings, sample_size, round(p10, 4) AS p10, round(p25, 4) AS p25, round(p50, 4) AS p50,
-  round(p75, 4) AS p75, round(p90, 4) AS p90, round(mean, 4) AS mean, round(dispersion, 4) AS dispersion
+  round(p75, 4) AS p75, round(p90, 4) AS p90, round(mean + {NUDGE}, 4) AS mean, round(dispersion, 4) AS dispersion
 FROM snapshots
 """
 
