@@ -206,13 +206,14 @@ def select(scored: DataFrame) -> DataFrame:
     Adds ``rank`` (tier, then falling weight, then listing) and, per subject, tier_used and widened
     (both before the cap).  Tier 4 never enters.
     """
-    fit = scored.filter((F.col("similarity") >= MIN_SIMILARITY) & (F.col("tier") <= MAX_TIER))
+    fit = (F.col("similarity") >= MIN_SIMILARITY) & (F.col("tier") <= MAX_TIER)
     subject = Window.partitionBy("subject_id")
-    upto = [F.count_if(F.col("tier") <= t).over(subject) for t in range(1, MAX_TIER)]
+    upto = [F.count_if(fit & (F.col("tier") <= t)).over(subject) for t in range(1, MAX_TIER)]
     limit = F.lit(MAX_TIER)
     for t in range(MAX_TIER - 1, 0, -1):
         limit = F.when(upto[t - 1] >= TARGET_SAMPLE, t).otherwise(limit)
-    admitted = fit.withColumn("_limit", limit).filter(F.col("tier") <= F.col("_limit")).drop("_limit")
+    # the filter stands above the window, so it reads the scores and does not work them out again
+    admitted = scored.withColumn("_limit", limit).filter(fit & (F.col("tier") <= F.col("_limit"))).drop("_limit")
     order = subject.orderBy("tier", F.desc("weight"), "listing_id")
     return (
         admitted.withColumn("tier_used", F.max("tier").over(subject))

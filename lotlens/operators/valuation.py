@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalise import market_region
+from ..session import materialise
 from . import stats
 from .comparables import MIN_SAMPLE
 
@@ -140,9 +141,9 @@ def value(summary: DataFrame, chosen: DataFrame, transactions: Column | None = N
     ``transactions`` (their number) sets the basis label only.
     """
     enough = summary.filter(F.col("size") >= MIN_SAMPLE).select("subject_id")
-    kept = trim(chosen.join(enough, "subject_id", "left_semi"))
-    fitted = corrections(kept, "mileage").join(corrections(kept, "age"), "subject_id")
-    rows = restate(kept.join(fitted.select("subject_id", "mileage_slope", "age_slope"), "subject_id"))
+    kept = materialise(trim(chosen.join(enough, "subject_id", "left_semi")), "kept")  # 300 rows a subject at most
+    fitted = materialise(corrections(kept, "mileage").join(corrections(kept, "age"), "subject_id"), "fitted")
+    rows = materialise(restate(kept.join(fitted.select("subject_id", "mileage_slope", "age_slope"), "subject_id")), "restated")
     named = {f"norm_{k}": q for k, q in stats.QUANTILES.items()} | RANGE_QUANTILES
     level = stats.spread(rows, ["subject_id"], "p_all").select("subject_id", F.round("cv", 4).alias("dispersion"))
     counts = kept.groupBy("subject_id").agg(
@@ -179,7 +180,7 @@ def value(summary: DataFrame, chosen: DataFrame, transactions: Column | None = N
         F.when(valued, "OK").otherwise("INSUFFICIENT_DATA").alias("outcome"),
         basis.alias("basis"),
         F.round(centre).alias("central"),
-        F.round(F.greatest(F.lit(1.0), F.greatest(low, centre * (1 - MAX_HALF_WIDTH)))).alias("low"),
+        F.when(centre.isNotNull(), F.round(F.greatest(F.lit(1.0), low, centre * (1 - MAX_HALF_WIDTH)))).alias("low"),
         F.round(F.least(high, centre * (1 + MAX_HALF_WIDTH))).alias("high"),
         F.round(raw).alias("raw_median"),
         "comparables_used",
