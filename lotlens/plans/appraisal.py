@@ -406,7 +406,7 @@ def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = judgement.confidence(_facts(spark, sf_dir)[0])
     parts = [f"c_{k}" for k in judgement.CONFIDENCE_WEIGHT]
     return rows.select(
-        "subject_id", F.round("confidence", 3).alias("confidence"), "confidence_band", F.array_join("limiting", ",").alias("limiting"),
+        "subject_id", "confidence", "confidence_band", F.array_join("limiting", ",").alias("limiting"),
         *(F.round(p, 3).alias(p) for p in parts),
     )
 
@@ -429,7 +429,7 @@ CONFIDENCE_SQL = """
         unnest(['sample_size', 'similarity', 'completeness', 'freshness', 'agreement', 'geography', 'verification']) AS name,
         unnest([0, 1, 2, 3, 4, 5, 6]) AS seq FROM parts WHERE outcome = 'OK') WHERE score < 6e-1) WHERE rn <= 4 GROUP BY 1
 )
-SELECT subject_id, round(round(conf, 4), 3) AS confidence, CASE WHEN round(conf, 4) >= 8e-1 THEN 'HIGH'
+SELECT subject_id, round(conf, 4) AS confidence, CASE WHEN round(conf, 4) >= 8e-1 THEN 'HIGH'
     WHEN round(conf, 4) >= 6e-1 THEN 'MODERATE' WHEN round(conf, 4) >= 4e-1 THEN 'LIMITED' ELSE 'LOW' END AS confidence_band,
   coalesce(limiting, '') AS limiting,
 """ + ", ".join(f"CASE WHEN outcome = 'OK' THEN round(c_{k}, 3) END AS c_{k}" for k in judgement.CONFIDENCE_WEIGHT) + """
