@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import appraisal, statistics
+from . import appraisal, ingestion, statistics
 
-_MODULES = (statistics, appraisal)
+_MODULES = (statistics, appraisal, ingestion)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
