@@ -56,7 +56,7 @@ def blank(text: Column) -> Column:
 def make(raw: Column) -> Column:
     """Canonical make; null for blank and unknown ones."""
     names = V.spellings({m: f"{m.lower().replace('-', ' ')}, {keys}" for m, keys in V.MAKES.items()})
-    return F.when(~blank(raw), F.element_at(V.as_map(names), lookup_key(raw)))
+    return F.when(~blank(raw), F.try_element_at(V.as_map(names), lookup_key(raw)))
 
 
 def model(make_name: Column, raw: Column) -> Column:
@@ -64,7 +64,7 @@ def model(make_name: Column, raw: Column) -> Column:
     bare = F.regexp_replace(fold(raw), rf"\b({V.MODEL_NOISE})\b", " ")
     bare = F.trim(F.regexp_replace(bare, r"\s+", " "))
     aliases = {f"{m}|{key}": name for m, table in V.MODEL_ALIASES.items() for key, name in V.spellings(table).items()}
-    known = F.element_at(V.as_map(aliases), F.concat_ws("|", make_name, bare))
+    known = F.try_element_at(V.as_map(aliases), F.concat_ws("|", make_name, bare))
     return F.when(~blank(raw) & (bare != ""), F.coalesce(F.when(make_name.isNotNull(), known), F.upper(bare)))
 
 
@@ -79,8 +79,8 @@ def body(raw: Column) -> Column:
     order = list(V.BODIES)
     ranks = V.spellings({name: keys for name, keys in V.BODIES.items()})
     rank_of = F.create_map(*(F.lit(x) for k, name in ranks.items() for x in (k, order.index(name))))
-    best = F.array_min(F.filter(F.transform(F.split(key, " "), lambda w: F.element_at(rank_of, w)), lambda r: r.isNotNull()))
-    worded = F.element_at(F.array(*(F.lit(o) for o in order)), best + 1)
+    best = F.array_min(F.filter(F.transform(F.split(key, " "), lambda w: F.try_element_at(rank_of, w)), lambda r: r.isNotNull()))
+    worded = F.try_element_at(F.array(*(F.lit(o) for o in order)), best + 1)
     return F.coalesce(V.look_up(V.BODIES, key), worded, F.lit("UNKNOWN"))
 
 
@@ -90,7 +90,7 @@ def city(raw: Column) -> Column:
 
 def market_region(city_name: Column) -> Column:
     """Trading area: the capital's metro, UNKNOWN for null or empty, else the city itself."""
-    metro = F.element_at(V.as_map(V.METRO), city_name)
+    metro = F.try_element_at(V.as_map(V.METRO), city_name)
     return F.when(blank(city_name), "UNKNOWN").otherwise(F.coalesce(metro, city_name))
 
 

@@ -185,4 +185,4 @@ def as_map(found: dict[str, str]) -> Column:
 
 def look_up(table: dict[str, str], key: Column) -> Column:
     """The canonical member for a folded key, null where the table has none."""
-    return F.element_at(as_map(spellings(table)), key)
+    return F.try_element_at(as_map(spellings(table)), key)

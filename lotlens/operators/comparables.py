@@ -102,7 +102,7 @@ def fuel_score(a: Column, b: Column) -> Column:
 
 def body_score(a: Column, b: Column) -> Column:
     pairs = F.create_map(*(F.lit(x) for (p, q), s in BODY_AFFINITY.items() for x in (f"{p}+{q}", s)))
-    near = F.element_at(pairs, F.concat_ws("+", F.least(a, b), F.greatest(a, b)))
+    near = F.try_element_at(pairs, F.concat_ws("+", F.least(a, b), F.greatest(a, b)))
     return _known(a, b, F.when(a == b, 1.0).otherwise(F.coalesce(near, F.lit(OTHER_BODY))))
 
 

@@ -107,7 +107,7 @@ def positives() -> Column:
 
 def signal_weight(signal: Column) -> Column:
     weights = F.create_map(*(F.lit(x) for pair in SEVERITY_WEIGHT.items() for x in pair))
-    return stats.clamp(F.element_at(weights, signal["severity"]) * signal["confidence"], 0.0, 0.95)
+    return stats.clamp(F.try_element_at(weights, signal["severity"]) * signal["confidence"], 0.0, 0.95)
 
 
 def noisy_or(found: Column) -> Column:

@@ -21,7 +21,7 @@ MATERIAL = 0.5
 def weight(as_of: Column) -> Column:
     """Verification weight times confidence, halved every 180 days for sources that go stale."""
     table = F.create_map(*(F.lit(x) for pair in STATUS_WEIGHT.items() for x in pair))
-    base = F.element_at(table, F.col("status")) * F.col("confidence")
+    base = F.try_element_at(table, F.col("status")) * F.col("confidence")
     micros = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp"))
     age = F.greatest(micros / 86_400_000_000, F.lit(0.0))
     return F.when(F.col("source_type").isin(*AGING), base * F.pow(F.lit(0.5), age / HALF_LIFE_DAYS)).otherwise(base)

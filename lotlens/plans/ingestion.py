@@ -93,11 +93,12 @@ DISCLOSURES_SQL = "SELECT doc_id, " + ", ".join(f"CASE doc_id % 6 {_cases(v)} EN
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers of each document, whole ones up to 100 left out."""
     found = normalise.numbers_in(F.col("text"))
-    return rounded(table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("value")).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("value").alias("largest")))
+    values = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("value"))
+    return values.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("value").alias("largest"))
 
 
 NUMBERS_SQL = """
-SELECT doc_id, count(*) AS n, round(max(v), 4) AS largest
+SELECT doc_id, count(*) AS n, max(v) AS largest
 FROM (SELECT doc_id, TRY_CAST(replace(unnest(regexp_extract_all(text, '[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]+)?')), ',', '') AS DOUBLE) AS v FROM documents)
 WHERE v IS NOT NULL AND NOT (v = floor(v) AND v <= 100) GROUP BY 1
 """
@@ -270,12 +271,12 @@ def attribute_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 VALUES_SQL = f"""
 WITH v AS (
   SELECT user_id AS entity, event_type AS field, CAST(floor(value) AS BIGINT) AS value, {market._pick_sql("event_id", _STATUSES)} AS status,
-    ts AS at, event_id AS seq, round(([{", ".join(f"{w}e0" for w in provenance.STATUS_WEIGHT.values())}])[event_id % 5 + 1]
+    ts AS at_ts, event_id AS seq, round(([{", ".join(f"{w}e0" for w in provenance.STATUS_WEIGHT.values())}])[event_id % 5 + 1]
       * (1e0 - CAST(event_id % 5 AS DOUBLE) / 10) * CASE WHEN {market._pick_sql("user_id", _SOURCES)} IN ('MARKET_LISTING', 'DEALER')
         THEN pow(5e-1, greatest(epoch_us(TIMESTAMP '{market.OBSERVED_TO}') - epoch_us(ts), 0) / 86400000000e0 / 180e0) ELSE 1e0 END, 9) AS weight
   FROM events
 ), r AS (SELECT *, row_number() OVER w AS rn, first_value(value) OVER w AS won, first_value(weight) OVER w AS best FROM v
-  WINDOW w AS (PARTITION BY entity, field ORDER BY weight DESC, at DESC, seq))
+  WINDOW w AS (PARTITION BY entity, field ORDER BY weight DESC, at_ts DESC, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
 SELECT entity, field, CAST(any_value(won) AS VARCHAR) AS value, round(any_value(best), 6) AS weight, max(status) FILTER (rn = 1) AS status, count(*) AS candidates,
   count(*) FILTER (rn > 1 AND abs(value - won) / greatest(abs(value), abs(won), 1e0) >= 1e-2 AND weight / best >= 5e-1) AS conflicts
 FROM r GROUP BY 1, 2
