@@ -12,10 +12,9 @@ from lotlens.session import local_session
 
 HEADLINE = [
     "stats_spread", "stats_outliers", "stats_weighted_quantiles", "stats_interpolated_quantiles", "stats_percentile_rank",
-    "stats_effective_size", "market_snapshots", "finds", "discover", "budgets", "price_moves", "price_history",
-    "market_overview", "comparables_chosen", "comparables_summary", "valuations", "ratings", "negotiations",
-    "fold_keys", "identities", "document_disclosures", "transcripts", "state_upsert", "page_fields", "page_links",
-    "attribute_values", "exchange_rates",
+    "stats_effective_size", "market_snapshots", "finds", "budgets", "price_moves", "price_history", "comparables_chosen",
+    "valuations", "negotiations", "fold_keys", "identities", "document_disclosures", "transcripts", "state_upsert",
+    "page_fields", "page_links", "attribute_values", "exchange_rates",
 ]
 
 
@@ -31,6 +30,7 @@ def main() -> None:
         try:
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             took[name] = round(time.time() - began, 3)
+            print(f"{name} {took[name]}", file=sys.stderr, flush=True)
         except Exception as error:  # one failure must not hide the other figures
             print(f"{name}: {str(error)[:300]}", file=sys.stderr)
             took[name] = None
