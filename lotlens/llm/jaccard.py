@@ -24,12 +24,12 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
 
 
-def _measure(docs: DataFrame) -> DataFrame:
+def _measure(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles and a key that equal sets share (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = part_enum.shingle_sets(batch.column("_text").to_pylist())
+            sets = part_enum.shingle_sets(batch.column("_text").to_pylist(), words)
             keys = [part_enum.set_key(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())],
@@ -39,7 +39,7 @@ def _measure(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
 
 
-def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int) -> DataFrame:
+def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int, words: int) -> DataFrame:
     """(u, v): each document with the least one that shares a signature, over all signatures.
 
     Workers deal packed arrays of signatures to ``buckets`` by the signature's value, so a shuffled
@@ -50,7 +50,7 @@ def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("_id").to_pylist()
-            sets = part_enum.shingle_sets(batch.column("_text").to_pylist())
+            sets = part_enum.shingle_sets(batch.column("_text").to_pylist(), words)
             keep: dict[bytes, int] = {}
             for i, s in enumerate(sets):
                 if ids[i] is not None and len(s):
@@ -129,7 +129,7 @@ def _block_compare(least: int):
     return run
 
 
-def _verify(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
+def _verify(docs: DataFrame, members: DataFrame, least: int, words: int) -> DataFrame:
     """(u, v, links) from comparing all sets of each cluster, block against block.
 
     ``members``: doc_id, n_shingles, copies, cluster; one row per different set.  Sets of a cluster
@@ -147,7 +147,7 @@ def _verify(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = part_enum.shingle_sets(batch.column("_text").to_pylist())
+            sets = part_enum.shingle_sets(batch.column("_text").to_pylist(), words)
             kept = [i for i, c in enumerate(batch.column("set_key").to_pylist()) if c == (part_enum.set_key(sets[i]) if len(sets[i]) else None)]
             rows = batch.select(["cluster", "block", "_id", "copies"]).take(pa.array(kept, pa.int64()))
             elements = pa.array([sets[i].tobytes() for i in kept], pa.binary())
@@ -185,11 +185,11 @@ def _verify(docs: DataFrame, members: DataFrame, least: int) -> DataFrame:
     return met.mapInArrow(_block_compare(least), "u long, v long, links long")
 
 
-def group_similar(docs: DataFrame, least: int = part_enum.LEAST) -> DataFrame:
+def group_similar(docs: DataFrame, least: int = part_enum.LEAST, words: int = part_enum.WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of ``docs``.
 
-    Two documents link when 100 * intersection >= ``least`` * union of their sets of 4-word
-    shingles; component_id is the least id reachable by links, n_links the number of linked
+    Two documents link when 100 * intersection >= ``least`` * union of their sets of shingles
+    of ``words`` words; component_id is the least id reachable by links, n_links the number of linked
     documents.  Equal sets are one set with that many copies; no pair of documents is ever a row.
     Texts without words have an empty set and link with nothing.  Ids are integers; rows with the
     same id and set count as copies, and other rows with the same id share a component; a null id
@@ -197,7 +197,7 @@ def group_similar(docs: DataFrame, least: int = part_enum.LEAST) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    measured = materialise(_measure(docs), "measured")
+    measured = materialise(_measure(docs, words), "measured")
     known = measured.filter("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("n_shingles").alias("n_shingles")
@@ -205,15 +205,15 @@ def group_similar(docs: DataFrame, least: int = part_enum.LEAST) -> DataFrame:
     classes = materialise(classes, "classes")
     hot = {bytes(r["set_key"]): r["rep"] for r in classes.filter("copies > 1").orderBy(F.desc("copies"), "set_key").limit(HOT_SETS).collect()}
     total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(64, total * 2 // 5 // BUCKET_SIGNATURES)
+    buckets = max(64, total * 5 * (100 - least) // (100 + least) // BUCKET_SIGNATURES)
     copies = known.join(classes.filter("copies > 1").select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     copies = materialise(copies.filter("u <> v"), "copies")
-    candidates = materialise(_candidates(docs, hot, buckets, least), "candidates")
+    candidates = materialise(_candidates(docs, hot, buckets, least, words), "candidates")
     clusters = connected(candidates.unionByName(copies))
     members = classes.join(clusters, F.col("rep") == F.col("node")).select(
         F.col("rep").alias("doc_id"), "n_shingles", "copies", "set_key", F.col("label").alias("cluster")
     )
-    found = materialise(_verify(docs, members, least).repartition("u"), "links")
+    found = materialise(_verify(docs, members, least, words).repartition("u"), "links")
     parts = connected(found.select("u", "v").unionByName(copies))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     sets = classes.join(links, F.col("rep") == F.col("u"), "left").select(
@@ -231,8 +231,8 @@ def group_similar(docs: DataFrame, least: int = part_enum.LEAST) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, least: int = part_enum.LEAST) -> DataFrame:
+def keep_one(docs: DataFrame, least: int = part_enum.LEAST, words: int = part_enum.WORDS) -> DataFrame:
     """``docs`` without the rows that link, directly or not, to one of a smaller id; columns unchanged."""
-    groups = group_similar(docs, least)
+    groups = group_similar(docs, least, words)
     gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

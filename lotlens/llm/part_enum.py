@@ -33,7 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTES = mix((np.arange(256, dtype=np.uint64) + _U(1)) * _STEP)
 _BASE = 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
-_PLACES = mix(np.arange(11, 11 + WORDS, dtype=np.uint64) * _STEP) | _U(1)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -58,22 +57,23 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix(sums + (ends - starts).astype(np.uint64) * _STEP), starts
 
 
-def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's shingles; none for a text without words."""
+def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's shingles of ``words`` words; none for a text without words."""
     out: list[np.ndarray] = []
     part: list[bytes] = []
     size = 0
     for text in [*texts, None]:
         raw = (text or "").encode("utf-8", "surrogatepass")
         if part and (size + len(raw) > _CHUNK or len(out) + len(part) == len(texts)):
-            out += _sets(part)
+            out += _sets(part, words)
             part, size = [], 0
         part.append(raw + b" ")
         size += len(raw) + 1
     return out
 
 
-def _sets(part: list[bytes]) -> list[np.ndarray]:
+def _sets(part: list[bytes], words: int) -> list[np.ndarray]:
+    places = mix(np.arange(11, 11 + words, dtype=np.uint64) * _STEP) | _U(1)
     hashes, starts = _word_hashes(b"".join(part))
     borders = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(p) for p in part])]))
     found = []
@@ -82,10 +82,10 @@ def _sets(part: list[bytes]) -> list[np.ndarray]:
         n = len(w)
         if n == 0:
             found.append(np.zeros(0, np.uint64))
-        elif n < WORDS:
-            found.append(mix((w * _PLACES[:n]).sum(dtype=np.uint64)[None] + _U(n)))
+        elif n < words:
+            found.append(mix((w * places[:n]).sum(dtype=np.uint64)[None] + _U(n)))
         else:
-            s = sum(w[i : n - WORDS + 1 + i] * _PLACES[i] for i in range(WORDS))
+            s = sum(w[i : n - words + 1 + i] * places[i] for i in range(words))
             found.append(np.unique(mix(s)))
     return found
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+import corpus_pipeline
 from lotlens.llm import jaccard, part_enum, queries
 
 
@@ -112,3 +113,40 @@ def test_query_against_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert rows_of(queries.op4_jaccard_join(spark, sf)) == brute(docs)
+
+
+def five_word_pairs(rows, least):
+    sets = {}
+    for i, text in rows:
+        words = text.lower().split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))}
+    ids = sorted(sets)
+    return [(a, b) for a in ids for b in ids if a < b and 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+
+
+def test_pipeline_stage_links_five_words_at_80(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(40):  # as many words changed in the middle as leave the pair on either side of the rule
+        base = [rng.choice(words) for _ in range(120)]
+        other = list(base)
+        for at in rng.sample(range(5, 115), rng.randint(1, 6)):
+            other[at] = rng.choice(words)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    pairs = five_word_pairs(rows, 80)
+    assert 0 < len(pairs) < 40 and len(pairs) > sum(b in [i for i, _, c, _ in brute(rows) if i != c] for _, b in pairs)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {i for i, _ in rows} - {b for _, b in pairs}
+
+
+def test_linked_sets_share_a_signature_at_80():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(3, 500))).astype(np.uint64))
+        change = int(rng.integers(0, len(base) // 5 + 1))
+        other = np.unique(np.concatenate([rng.permutation(base)[change:], rng.integers(0, 2**63, change // 8).astype(np.uint64)]))
+        if part_enum.linked(base, other, 80) and not np.array_equal(base, other):
+            owner, signature = part_enum.signatures([base, other], 80)
+            assert set(signature[owner == 0].tolist()) & set(signature[owner == 1].tolist())
