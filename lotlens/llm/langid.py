@@ -9,14 +9,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold_of, small_batches
 
 BUCKETS = 4096
 SAMPLE_PER_LANG = 600
-MOST_LANGS = 64
+MOST_ROWS, LEAST_PER_LANG = 12_800, 20  # many languages share MOST_ROWS, and have LEAST_PER_LANG rows in any case
 FOLDS, HELD_OUT = 4, 2
 
 #: Families of language codes; a code that is not listed is a family of its own.
@@ -118,24 +118,27 @@ def _featured(rows: DataFrame) -> DataFrame:
 def train(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on rows outside the held-out fold that have a language and a letter in their text.
 
-    Of each language about ``per_lang`` rows are taken, by a hash of the id, of the MOST_LANGS most
-    frequent languages; the driver gets only their hashed features (8 kB a row).
+    Every language is learned.  Of each at most ``per_lang`` rows are taken, fewer where that makes
+    more than MOST_ROWS, in the order of a hash of id and text; the driver gets only their hashed
+    features (8 kB a row).
     """
     small_batches(docs.sparkSession)
     rows = docs.filter(
         (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
-    )
-    # counting needs no texts: empty ones only make the sample a little smaller
-    labelled = docs.filter((fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    ).select(F.col("lang").alias("_lang"), F.col("text").alias("_text"), F.xxhash64("doc_id", "text").alias("_place"))
+    counts = rows.groupBy("_lang").count().collect()
     if not counts:
         return Model()
-    share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, per_lang / r["count"]))))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    sample = rows.filter(place < share[F.col("lang")]).select(
-        F.col("lang").alias("_lang"), F.col("text").alias("_text")
-    )
-    found = _featured(sample).limit(2 * per_lang * len(counts)).toArrow()
+    per_lang = max(min(per_lang, MOST_ROWS // len(counts)), min(per_lang, LEAST_PER_LANG))
+    # four times what is needed goes to the sort that takes the least places; small languages go whole
+    frequent = {r["_lang"]: r["count"] for r in counts if r["count"] > 8 * per_lang}
+    if frequent:
+        share = F.create_map(*(F.lit(v) for lang, n in sorted(frequent.items()) for v in (lang, 4.0 * per_lang / n)))
+        near = F.pmod("_place", F.lit(1_000_000)) / 1_000_000 < F.coalesce(F.try_element_at(share, F.col("_lang")), F.lit(1.0))
+        rows = rows.filter(near)
+    least = Window.partitionBy("_lang").orderBy("_place", "_text")
+    sample = rows.withColumn("_nth", F.row_number().over(least)).filter(F.col("_nth") <= per_lang)
+    found = _featured(sample.select("_lang", "_text")).toArrow()
     if not found.num_rows:
         return Model()
     langs = np.array(found["lang"].to_pylist())

@@ -45,3 +45,16 @@ def test_operator_edges(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
     only = langid.train(docs.filter("lang = 'en'"))
     assert "es" not in {r.lang_pred for r in langid.identify(docs, only).collect()}
+
+
+def test_every_language_is_learned_from_a_bounded_sample(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda k: letters[k % 26] + letters[k // 26] + letters[(k * 7) % 26]
+    rows = [(100 * k + i, f"{word(k)} " * 8 + f"{word(k)}{i}", f"l{k:02}") for k in range(70) for i in range(12 if k else 60)]
+    rows += [(100, f"{word(1)} again {i}", "l01") for i in range(400)]  # one id many times
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, per_lang=10)
+    assert model.families == [f"l{k:02}" for k in range(70)]
+    truth = {r[0]: r[2] for r in rows if r[0] != 100}
+    found = [r for r in langid.identify(docs, model).collect() if r.doc_id in truth]
+    assert sum(r.lang_pred == truth[r.doc_id] for r in found) / len(found) > 0.95
