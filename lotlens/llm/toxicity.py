@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import fold_of, small_batches
 
 FOLDS, HELD_OUT = 5, 0
-MOST_TOXIC, MOST_CLEAN = 3000, 6000  # bounds of the labelled sample
-MOST_STEMS = 5000
-LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, LEAST_WEIGHT = 4, 0.02, 10.0, 2.0
+MOST_TOXIC, MOST_CLEAN = 3000, 6000  # bounds of the labelled sample that the score is fitted on
+HELD_STEMS = 300_000  # stems that a worker counts before it hands them on
+LEAST_DOCS, LEAST_RATIO, LEAST_WEIGHT = 4, 10.0, 2.0
 STEM_SIZES = (4, 5, 6)
 
 NEGATIONS = frozenset(
@@ -164,37 +164,48 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most MOST_TOXIC + MOST_CLEAN labelled rows outside the held-out fold.
+def _known(labels: DataFrame) -> DataFrame:
+    """_labelled and _toxic of the ids labelled outside the held-out fold."""
+    kept = labels.filter((fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
+    return kept.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("toxic").alias("_toxic"))
 
-    Rows are chosen by a hash of their id.  Only ids are broadcast, at most as many.
-    """
-    known = (
-        labels.filter((fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-    )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    toxic = known.filter("toxic = 1").orderBy(*order).limit(MOST_TOXIC)
-    clean = known.filter("toxic = 0").orderBy(*order).limit(MOST_CLEAN)
-    ids = toxic.unionByName(clean).select(F.col("doc_id").alias("_labelled"), F.col("toxic").alias("_toxic"))
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_labelled")).select(
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids, F.col("doc_id") == F.col("_labelled")).select(
         F.coalesce("text", F.lit("")).alias("_text"), "_toxic"
     )
 
 
-def _count_stems(sample: DataFrame) -> DataFrame:
+def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, toxic) of at most MOST_TOXIC + MOST_CLEAN labelled rows.
+
+    Rows are chosen by a hash of their id.  Only ids are broadcast, at most as many.
+    """
+    order = [F.xxhash64("_labelled"), F.col("_labelled")]
+    toxic = known.filter("_toxic = 1").orderBy(*order).limit(MOST_TOXIC)
+    clean = known.filter("_toxic = 0").orderBy(*order).limit(MOST_CLEAN)
+    return _texts(docs, F.broadcast(toxic.unionByName(clean)))
+
+
+def _count_stems(rows: DataFrame) -> DataFrame:
+    def handed(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        columns = [pa.array(list(counts), pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))]
+        return pa.RecordBatch.from_arrays(columns, names=["stem", "clean", "toxic"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
         for batch in batches:
-            counts = (Counter(), Counter())
             for text, toxic in zip(batch.column("_text").to_pylist(), batch.column("_toxic").to_pylist()):
-                words = set(_WORD.findall(text.lower()))
-                counts[bool(toxic)].update({s for w in words for s in stems_of(w)})
-            stems = list(counts[0].keys() | counts[1].keys())
-            columns = [pa.array(stems, pa.string()), *(pa.array([c[s] for s in stems], pa.int64()) for c in counts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["stem", "clean", "toxic"])
-
-    counted = sample.mapInArrow(run, "stem string, clean long, toxic long")
+                for s in {s for w in set(_WORD.findall(text.lower())) for s in stems_of(w)}:
+                    if s not in counts:
+                        counts[s] = [0, 0]
+                    counts[s][bool(toxic)] += 1
+            if len(counts) > HELD_STEMS:
+                yield handed(counts)
+                counts = {}
+        yield handed(counts)
+
+    counted = rows.mapInArrow(run, "stem string, clean long, toxic long")
     return counted.groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
@@ -213,11 +224,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn the insult lexicon and the score from ``labels`` (doc_id, toxic) outside the held-out fold.
 
     A stem counts by the lower bound of its log ratio of document frequencies in toxic and clean
-    rows of the sample.  Without labels of both kinds nothing is learned and no text is toxic.
+    rows, over all labelled rows, and needs LEAST_DOCS toxic ones however many there are; the score
+    is fitted on a sample.  Without labels of both kinds nothing is learned and no text is toxic.
     """
     small_batches(docs.sparkSession)
-    sample = _sample(docs, labels)
-    sizes = {r["_toxic"]: r["count"] for r in sample.groupBy("_toxic").count().collect()}
+    known = _known(labels)
+    labelled = _texts(docs, known)
+    sizes = {r["_toxic"]: r["count"] for r in labelled.groupBy("_toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
         return Model()
@@ -225,12 +238,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ratio = F.log(rate("toxic", toxic) / rate("clean", clean))
     doubt = F.sqrt(1 / F.col("toxic") + 1 / (F.col("clean") + 0.5))
     found = (
-        _count_stems(sample)
-        .filter((F.col("toxic") >= max(LEAST_DOCS, LEAST_SHARE * toxic)) & (ratio >= math.log(LEAST_RATIO)))
+        _count_stems(labelled)
+        .filter((F.col("toxic") >= LEAST_DOCS) & (ratio >= math.log(LEAST_RATIO)))
         .select("stem", (ratio - doubt).alias("weight"))
         .filter(F.col("weight") >= LEAST_WEIGHT)
-        .orderBy(F.desc("weight"), "stem")
-        .limit(MOST_STEMS)
         .collect()
     )
     model = Model({r["stem"]: round(r["weight"], 6) for r in found})
@@ -244,7 +255,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 names=["y", "a", "b", "c"],
             )
 
-    rows = sample.mapInArrow(run, "y long, a double, b double, c double").toArrow()
+    rows = _sample(docs, known).mapInArrow(run, "y long, a double, b double, c double").toArrow()
     order = [("y", "ascending"), ("a", "ascending"), ("b", "ascending"), ("c", "ascending")]
     data = np.column_stack([c.to_numpy() for c in rows.sort_by(order).columns]).astype(float)
     return Model(model.stems, _fit_logistic(data[:, 1:], data[:, 0]))

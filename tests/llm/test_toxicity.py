@@ -53,3 +53,12 @@ def test_operator_edges(spark):
     assert t.score(docs.limit(0), model).count() == 0
     nothing = t.train(docs, labels.limit(0))
     assert {r.predicted for r in t.score(docs, nothing).collect()} == {0}
+
+
+def test_rare_insults_are_learned(spark):
+    rows = [(i, f"you are a zorbnik {i} here" if i > 30 else f"you are a quexling {i} here") for i in range(600)]
+    rows += [(1000 + i, f"a calm day number {i} here") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "if(doc_id < 1000, 1, 0) AS toxic").filter("doc_id > 20")
+    model = t.train(docs, labels)  # at most 10 of about 480 toxic rows hold it
+    assert "quexling" in model.stems and model.score("a quexling") > model.score("a calm day")
