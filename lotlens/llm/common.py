@@ -1,60 +1,58 @@
-"""What the operators of this subpackage share: the shared folder, materialised steps, global numbering."""
+"""What the operators of this subpackage share: bounded batches, frequent keys, global numbering."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialise
+
 _ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_written: list[tuple[SparkSession, str]] = []
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
+FREQUENT_SHARE = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches sent to Python workers, as single texts may be very long.
 
-    Only where the setting is absent (a local session, as in tests) a temporary folder is chosen
-    and set, so that later calls use the same one.
+    Only lowers the session's two settings, always to the same values, so that it does not matter
+    which operator asked last before a plan runs.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="lotlens-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(name, "0").lower().removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(name, str(most))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``row``: the caller's names cannot clash with an operator's own."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
+
+
+def frequent_limit(rows: int) -> int:
+    """Rows of a key from which it counts as frequent: at most FREQUENT_SHARE keys have so many."""
+    return max(FREQUENT_SHARE, rows // FREQUENT_SHARE)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the reader of those files.
+def join_frequent(
+    left: DataFrame, right: DataFrame, key: str, frequent: DataFrame, how: str = "inner", also: tuple[str, ...] = ()
+) -> DataFrame:
+    """``left`` joined to ``right`` (one row per key) on ``key`` and ``also``, frequent and null keys without a shuffle.
 
-    Lineage ends there: a lost executor costs a re-read, not a recomputation.  The folders are
-    removed when the driver ends.
+    ``frequent`` (column ``key``, of at most some FREQUENT_SHARE rows, see ``frequent_limit``) lists the keys that
+    many rows of ``left`` have.  Their rows meet a broadcast of ``right``'s rows for these keys
+    alone, whose number is bounded likewise; only the others are shuffled, none of them in a large
+    group.  ``how``: inner or left.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may have ended already; the folder is then the cluster's to clear
-            return
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches sent to Python workers, as single texts may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    few = frequent.select(F.col(key).alias("_frequent")).distinct()
+    marked = left.join(F.broadcast(few), F.col(key) == F.col("_frequent"), "left")
+    often = F.col("_frequent").isNotNull() | F.col(key).isNull()
+    short = right.join(F.broadcast(few), F.col(key) == F.col("_frequent"), "left_semi")
+    a = marked.filter(often).drop("_frequent").join(F.broadcast(short), [key, *also], how)
+    b = marked.filter(~often).drop("_frequent").join(right, [key, *also], how)
+    return a.unionByName(b)
 
 
 def lower_ascii(text: Column) -> Column:

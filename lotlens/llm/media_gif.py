@@ -239,7 +239,7 @@ def store_text(docs: DataFrame) -> DataFrame:
     equal texts give equal files; an empty table gives no rows; other columns are ignored.
     Returns doc_id, n_bytes (unpadded), gif.
     """
-    small_batches(docs.sparkSession, 500)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,7 +275,7 @@ def read_media(rows: DataFrame) -> DataFrame:
     payload: palette indices of all frames in order; histogram: colour_histogram summed over the
     composed frames; a null or broken file has nulls and an ``error``.
     """
-    small_batches(rows.sparkSession, 500)
+    small_batches(rows.sparkSession)
     kept = [f for f in rows.schema.fields if f.name not in _READ.names]
     names = [f.name for f in kept]
 
@@ -313,7 +313,7 @@ def frame_rows(rows: DataFrame) -> DataFrame:
 
     A broken file gives one row with its ``error`` and no frame.
     """
-    small_batches(rows.sparkSession, 500)
+    small_batches(rows.sparkSession)
     kind = rows.schema["doc_id"].dataType.simpleString()
     fields = "frame int, left int, top int, width int, height int, delay_ms int, disposal int, transparent int, histogram array<long>, error string"
 

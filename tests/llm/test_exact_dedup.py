@@ -66,3 +66,36 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert exact_dedup.group_copies(docs).count() == 0
     assert exact_dedup.deduplicate(docs).count() == 0
+
+
+def test_directory_places_and_finds(spark):
+    rows = [(i, f"text {i // 3}", None) for i in range(900)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    found = exact_dedup.group_copies(docs, capacity=20, max_depth=3)
+    assert shown(found) == brute(rows)
+    buckets = found.groupBy("bucket_depth", "bucket").agg({"text_sha256": "count"}).collect()
+    distinct = found.select("bucket_depth", "bucket", "text_sha256").distinct().groupBy("bucket_depth", "bucket").count().collect()
+    assert sum(r["count"] for r in distinct) == 300 and max(r["count"] for r in distinct) <= 20
+    assert max(r.bucket_depth for r in buckets) > 3  # beyond what one level resolves
+    index, levels = exact_dedup.build_index(docs, 20, 3)
+    assert len(levels) > 1 and index.filter("chain > 0").count() == 0
+    inside = "shiftrightunsigned(key, 64 - bucket_depth) = bucket"
+    assert index.filter(inside).count() == 300
+
+
+def test_texts_that_share_a_key_form_a_chain(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: exact_dedup.F.lit(7).cast("long"))
+    docs = spark.createDataFrame(ROWS, SCHEMA)
+    found = exact_dedup.group_copies(docs, capacity=1, max_depth=16)
+    assert shown(found) == brute(ROWS)
+    assert {r.chain for r in found.collect()} == set(range(len({r[-1] for r in brute(ROWS)})))
+
+
+def test_own_names_do_not_clash(spark):
+    names = ["row", "id", "key", "sha", "_id", "_text", "keep_id", "text_sha256", "_sha", "_keep", "bucket", "low", "n"]
+    docs = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
+    docs = docs.selectExpr("*", *(f"'{n}' AS {n}" for n in names))
+    kept = exact_dedup.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["_sha"], r["row"]) for r in kept.collect()) == [(2, "_sha", "row"), (3, "_sha", "row")]
+    assert exact_dedup.group_copies(docs).count() == 3
