@@ -37,16 +37,26 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; set here only where it is unset."""
+    """``spark.checkpoint.dir``, the folder that driver and executors share.
+
+    Only a local session without that setting gets a temporary folder, which is then set; elsewhere
+    a missing setting is an error, as each machine would write to a disk of its own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lotlens-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a step that later ones read several times to the shared folder, and read it from there."""
+    """Write ``df`` to the shared folder and return the reader of those files.
+
+    Lineage ends there: a lost executor costs a re-read, not a recomputation.  The folders are
+    removed when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -60,5 +70,5 @@ def _clean() -> None:
         try:
             at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may have ended already
+        except Exception:  # the JVM may have ended already; the folder is then the cluster's to clear
             return
