@@ -21,7 +21,7 @@ def small_batches(spark: SparkSession) -> None:
     """
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        held = spark.conf.get(name, "0").lower().removesuffix("b")
+        held = spark.conf.get(name).lower().removesuffix("b")
         if not held.isdigit() or not 0 < int(held) <= most:
             spark.conf.set(name, str(most))
 

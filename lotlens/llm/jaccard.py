@@ -1,8 +1,11 @@
-"""N-gram Jaccard join: PartEnum signatures find candidates, blocks of sets settle them."""
+"""N-gram Jaccard join: PartEnum signatures find candidates, blocks of sets settle them.
+
+Sets are compared as sorted 64-bit hashes of their shingles: within one pair of sets two different
+shingles would have to share a hash for a count to be off by one.
+"""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import part_enum
-from .common import materialise, number_rows, small_batches
+from .common import frequent_limit, join_frequent, materialise, number_rows, small_batches, whole_row
 from .components import connected
 
 BLOCK_ELEMENTS = 32_768
 BLOCK_SETS = 256
-BUCKET_SIGNATURES = 500_000
+BUCKET_SIGNATURES = 1_000_000
+HELD_SIGNATURES = 200_000
 HOT_SETS = 1000
+SPLIT_FROM = 1.0  # a component is split from this ratio of all its pairs to those that share a signature
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -40,10 +45,11 @@ def _measure(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int, words: int) -> DataFrame:
-    """(u, v): each document with the least one that shares a signature, over all signatures.
+    """(signature, u, v): each document u with one v that shares the signature, v the same for all of them.
 
     Workers deal packed arrays of signatures to ``buckets`` by the signature's value, so a shuffled
-    row holds many; a bucket sorts its own.  Rows out are at most one per signature, never pairs.
+    row holds many.  A bucket's task reads them as a stream and keeps one document per different
+    signature (16 bytes each), never the members of a frequent one.  Rows out are one per member but the first, never pairs.
     ``hot`` maps the keys of the most frequent sets to their representatives, which alone sign.
     """
 
@@ -74,44 +80,125 @@ def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int
                 names=["bucket", "signatures", "ids"],
             )
 
-    def meet(table: pa.Table) -> pa.Table:
-        signature = np.frombuffer(b"".join(table["signatures"].to_pylist()), np.uint64)
-        who = np.frombuffer(b"".join(table["ids"].to_pylist()), np.int64)
-        order = np.lexsort((who, signature))
-        signature, who = signature[order], who[order]
-        new = np.concatenate([[True], signature[1:] != signature[:-1]])
-        first = who[np.maximum.accumulate(np.where(new, np.arange(len(who)), 0))]
-        linked = np.unique(np.stack([who, first], 1)[who != first], axis=0)
-        return pa.table({"u": pa.array(linked[:, 0], pa.int64()), "v": pa.array(linked[:, 1], pa.int64())})
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, firsts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def step(signatures: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
+            nonlocal seen, firsts
+            signature, who = np.frombuffer(b"".join(signatures), np.uint64), np.frombuffer(b"".join(ids), np.int64)
+            order = np.lexsort((who, signature))
+            signature, who = signature[order], who[order]
+            new = np.concatenate([[True], signature[1:] != signature[:-1]])
+            runs = signature[new]
+            at = np.searchsorted(seen, runs)
+            known = np.zeros(len(runs), bool)
+            inside = at < len(seen)
+            known[inside] = seen[at[inside]] == runs[inside]
+            lead = who[new]
+            lead[known] = firsts[at[known]]
+            first = lead[np.cumsum(new) - 1]
+            other = who != first
+            seen, firsts = np.insert(seen, at[~known], runs[~known]), np.insert(firsts, at[~known], lead[~known])
+            columns = (signature[other].view(np.int64), who[other], first[other])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["signature", "u", "v"])
+
+        signatures, ids, size = [], [], 0
+        for batch in batches:
+            signatures += batch.column("signatures").to_pylist()
+            ids += batch.column("ids").to_pylist()
+            size += sum(map(len, ids[-batch.num_rows :])) // 8
+            if size >= HELD_SIGNATURES:
+                yield step(signatures, ids)
+                signatures, ids, size = [], [], 0
+        if ids:
+            yield step(signatures, ids)
 
     signed = _rows(docs).mapInArrow(sign, "bucket long, signatures binary, ids binary")
-    return signed.groupBy("bucket").applyInArrow(meet, "u long, v long")
+    return signed.groupBy("bucket").applyInArrow(meet, "signature long, u long, v long")
+
+
+def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, copies, set_key and ``cluster``: linked sets share a cluster at least.
+
+    A cluster is a whole component of candidates, or the holders of one signature: a component of n
+    sets is compared all with all where n * n is no more than the sum of squares over its
+    signatures (copies of one text, which share most signatures), else signature by signature
+    (unlike texts that are chained together by common passages).  So the work is bounded by the
+    pairs that share a signature, and a set has at most as many rows as it has signatures.
+    """
+    labels = connected(candidates.select("u", "v").unionByName(copies))
+    sets = classes.join(labels, F.col("rep") == F.col("node")).select(
+        F.col("rep").alias("doc_id"), "n_shingles", "copies", "set_key", "label"
+    )
+    sets = materialise(sets, "sets")
+    whole = sets.withColumnRenamed("label", "cluster")
+    large = sets.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_SETS)
+    if large.isEmpty():
+        return whole
+    holders = candidates.groupBy("signature").agg((F.count("*") + 1).cast("double").alias("m"), F.min("u").alias("one"))
+    cost = (
+        holders.join(labels, F.col("one") == F.col("node"))
+        .groupBy("label")
+        .agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+    )
+    sparse = materialise(large.join(cost, "label").filter(F.col("n").cast("double") * F.col("n") > F.col("cost") * SPLIT_FROM).select("label"), "sparse")
+    if sparse.isEmpty():
+        return whole
+    ends = candidates.select("signature", F.col("u").alias("id")).unionByName(candidates.select("signature", F.col("v").alias("id")))
+    named = copies.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("reps"))
+    members = (
+        ends.distinct()
+        .join(named, "id", "left")
+        .select("signature", F.explode(F.coalesce("reps", F.array("id"))).alias("rep"))
+        .distinct()
+    )
+    split = sets.join(sparse, "label", "left_semi").join(members, F.col("doc_id") == F.col("rep")).select(
+        "doc_id", "n_shingles", "copies", "set_key", F.col("signature").alias("cluster")
+    )
+    return whole.join(sparse.withColumnRenamed("label", "cluster"), "cluster", "left_anti").select(split.columns).unionByName(split)
+
+
+_PACKED = ("ids", "sizes", "weights", "elements", "spread", "clusters")
+
+
+class _Block:
+    """The sets of a packed block: ids, weights, elements, and the clusters that each set is in."""
+
+    def __init__(self, packed: dict[str, bytes]):
+        whole = {c: np.frombuffer(packed[c], np.uint64 if c == "elements" else np.int64) for c in _PACKED}
+        self.ids, self.weights = whole["ids"], whole["weights"]
+        self.sets = np.split(whole["elements"], np.cumsum(whole["sizes"])[:-1])
+        self.clusters = np.split(whole["clusters"], np.cumsum(whole["spread"])[:-1])
+
+    def before(self, cluster: int) -> list[np.ndarray]:
+        return [c[c < cluster] for c in self.clusters]
 
 
 def _block_compare(least: int):
-    """Compares two packed blocks per row; gives each linked set its least mate and its links' weight."""
+    """Compares two packed blocks per row; gives each linked set its least mate and its links' weight.
 
-    def unpack(ids: bytes, sizes: bytes, weights: bytes, elements: bytes) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        cuts = np.cumsum(np.frombuffer(sizes, np.int64))[:-1]
-        sets = np.split(np.frombuffer(elements, np.uint64), cuts)
-        return np.frombuffer(ids, np.int64), np.frombuffer(weights, np.int64), sets
+    A pair of sets that shares several clusters counts in the first of them alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 value = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
-                ids_a, weight_a, a = unpack(*(value[f"{c}_a"] for c in ("ids", "sizes", "weights", "elements")))
+                a = _Block({c: value[f"{c}_a"] for c in _PACKED})
                 same = value["block_a"] == value["block_b"]
-                ids_b, weight_b, b = (ids_a, weight_a, a) if same else unpack(*(value[f"{c}_b"] for c in ("ids", "sizes", "weights", "elements")))
-                common = part_enum.common_counts(a, b)
-                union = np.array([len(s) for s in a])[:, None] + np.array([len(s) for s in b]) - common
+                b = a if same else _Block({c: value[f"{c}_b"] for c in _PACKED})
+                common = part_enum.common_counts(a.sets, b.sets)
+                union = np.array([len(s) for s in a.sets])[:, None] + np.array([len(s) for s in b.sets]) - common
                 link = 100 * common >= least * union
+                if max(map(len, a.clusters)) > 1 and max(map(len, b.clusters)) > 1 and link.any():
+                    link &= part_enum.common_counts(a.before(value["cluster"]), b.before(value["cluster"])) == 0
                 if same:
                     np.fill_diagonal(link, False)
-                    near, nodes, weight = link, ids_a, weight_a
+                    near, nodes, weight = link, a.ids, a.weights
                 else:
-                    near = np.block([[np.zeros((len(a), len(a)), bool), link], [link.T, np.zeros((len(b), len(b)), bool)]])
-                    nodes, weight = np.concatenate([ids_a, ids_b]), np.concatenate([weight_a, weight_b])
+                    none_a, none_b = (np.zeros((len(x.ids), len(x.ids)), bool) for x in (a, b))
+                    near = np.block([[none_a, link], [link.T, none_b]])
+                    nodes, weight = np.concatenate([a.ids, b.ids]), np.concatenate([a.weights, b.weights])
                 links = near.astype(np.float64) @ weight
                 label = np.arange(len(nodes))
                 while True:  # the least index that each node reaches inside this pair of blocks
@@ -132,9 +219,10 @@ def _block_compare(least: int):
 def _verify(docs: DataFrame, members: DataFrame, least: int, words: int) -> DataFrame:
     """(u, v, links) from comparing all sets of each cluster, block against block.
 
-    ``members``: doc_id, n_shingles, copies, cluster; one row per different set.  Sets of a cluster
-    are ordered by size and cut into blocks of bounded size; only blocks whose sizes allow a link
-    meet, each pair in a task of its own, which gives at most one row per set that has a link.
+    ``members``: doc_id, n_shingles, copies, set_key, cluster; one row per different set and cluster.
+    Sets of a cluster are ordered by size and cut into blocks of bounded size; only blocks whose
+    sizes allow a link meet, each pair in a task of its own, which gives at most one row per set
+    that has a link.
     """
     weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_ELEMENTS // BLOCK_SETS))
     order = [F.col("n_shingles"), F.col("doc_id")]
@@ -148,39 +236,52 @@ def _verify(docs: DataFrame, members: DataFrame, least: int, words: int) -> Data
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = part_enum.shingle_sets(batch.column("_text").to_pylist(), words)
-            kept = [i for i, c in enumerate(batch.column("set_key").to_pylist()) if c == (part_enum.set_key(sets[i]) if len(sets[i]) else None)]
-            rows = batch.select(["cluster", "block", "_id", "copies"]).take(pa.array(kept, pa.int64()))
-            elements = pa.array([sets[i].tobytes() for i in kept], pa.binary())
-            yield pa.RecordBatch.from_arrays([*rows.columns, elements], names=["cluster", "block", "id", "copies", "elements"])
+            rows = []
+            for i, (key, places) in enumerate(zip(batch.column("set_key").to_pylist(), batch.column("places").to_pylist())):
+                if len(sets[i]) and key == part_enum.set_key(sets[i]):
+                    inside = np.unique(np.array([p["cluster"] for p in places], np.int64)).tobytes()
+                    rows += [(p["cluster"], p["block"], i, sets[i].tobytes(), inside) for p in places]
+            cluster, block, at, elements, inside = zip(*rows) if rows else ((),) * 5
+            own = batch.select(["_id", "copies"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(cluster, pa.int64()),
+                    pa.array(block, pa.int64()),
+                    *own.columns,
+                    pa.array(elements, pa.binary()),
+                    pa.array(inside, pa.binary()),
+                ],
+                names=["cluster", "block", "id", "copies", "elements", "clusters"],
+            )
 
     def gather(table: pa.Table) -> pa.Table:
         once = {(i, e): n for n, (i, e) in enumerate(zip(table["id"].to_pylist(), table["elements"].to_pylist()))}
         table = table.take(list(once.values()))  # repeated rows are one set
-        elements = table["elements"].to_pylist()
-        return pa.table(
-            {
-                "cluster": table["cluster"][:1],
-                "block": table["block"][:1],
-                "ids": [np.array(table["id"].to_pylist(), np.int64).tobytes()],
-                "sizes": [np.array([len(e) // 8 for e in elements], np.int64).tobytes()],
-                "weights": [np.array(table["copies"].to_pylist(), np.int64).tobytes()],
-                "elements": [b"".join(elements)],
-            },
-            schema=pa.schema([("cluster", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "sizes", "weights", "elements"))]),
-        )
-
-    at = placed.select(F.col("doc_id").alias("_member"), "set_key", "copies", "cluster", "block")
+        elements, clusters = table["elements"].to_pylist(), table["clusters"].to_pylist()
+        packed = {
+            "ids": np.array(table["id"].to_pylist(), np.int64).tobytes(),
+            "sizes": np.array([len(e) // 8 for e in elements], np.int64).tobytes(),
+            "weights": np.array(table["copies"].to_pylist(), np.int64).tobytes(),
+            "elements": b"".join(elements),
+            "spread": np.array([len(c) // 8 for c in clusters], np.int64).tobytes(),
+            "clusters": b"".join(clusters),
+        }
+        where = {"cluster": table["cluster"][:1], "block": table["block"][:1]}
+        schema = pa.schema([*((c, pa.int64()) for c in where), *((c, pa.binary()) for c in _PACKED)])
+        return pa.table(where | {c: [packed[c]] for c in _PACKED}, schema=schema)
+
+    at = placed.groupBy(F.col("doc_id").alias("_member"), "set_key", "copies").agg(
+        F.collect_list(F.struct("cluster", "block")).alias("places")  # as many as the set has signatures at most
+    )
     texts = _rows(docs).join(at, F.col("_id") == F.col("_member"))
+    columns = ", ".join(f"{c} binary" for c in _PACKED)
     packed = (
-        texts.mapInArrow(build, "cluster long, block long, id long, copies long, elements binary")
+        texts.mapInArrow(build, "cluster long, block long, id long, copies long, elements binary, clusters binary")
         .groupBy("cluster", "block")
-        .applyInArrow(gather, "cluster long, block long, ids binary, sizes binary, weights binary, elements binary")
+        .applyInArrow(gather, f"cluster long, block long, {columns}")
     )
     packed = materialise(packed, "packed")
-    sides = {
-        s: packed.select(F.col("cluster").alias("cluster"), *(F.col(c).alias(f"{c}_{s}") for c in ("block", "ids", "sizes", "weights", "elements")))
-        for s in "ab"
-    }
+    sides = {s: packed.select("cluster", *(F.col(c).alias(f"{c}_{s}") for c in ("block", *_PACKED))) for s in "ab"}
     met = pairs.join(sides["a"], ["cluster", "block_a"]).join(sides["b"], ["cluster", "block_b"])
     return met.mapInArrow(_block_compare(least), "u long, v long, links long")
 
@@ -204,23 +305,21 @@ def group_similar(docs: DataFrame, least: int = part_enum.LEAST, words: int = pa
     )
     classes = materialise(classes, "classes")
     hot = {bytes(r["set_key"]): r["rep"] for r in classes.filter("copies > 1").orderBy(F.desc("copies"), "set_key").limit(HOT_SETS).collect()}
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    buckets = max(64, total * 5 * (100 - least) // (100 + least) // BUCKET_SIGNATURES)
-    copies = known.join(classes.filter("copies > 1").select("set_key", "rep"), "set_key").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    copies = materialise(copies.filter("u <> v"), "copies")
+    size = known.agg(F.sum("n_shingles").alias("shingles"), F.count("*").alias("rows")).first()
+    buckets = max(64, (size["shingles"] or 0) * 5 * (100 - least) // (100 + least) // BUCKET_SIGNATURES)
+    frequent = classes.filter(F.col("copies") > frequent_limit(size["rows"])).select("set_key")
+    copied = classes.filter("copies > 1").select("set_key", "rep")
+    copies = join_frequent(known, copied, "set_key", frequent).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    copies = materialise(copies.filter("u <> v").distinct(), "copies")
     candidates = materialise(_candidates(docs, hot, buckets, least, words), "candidates")
-    clusters = connected(candidates.unionByName(copies))
-    members = classes.join(clusters, F.col("rep") == F.col("node")).select(
-        F.col("rep").alias("doc_id"), "n_shingles", "copies", "set_key", F.col("label").alias("cluster")
-    )
-    found = materialise(_verify(docs, members, least, words).repartition("u"), "links")
+    found = materialise(_verify(docs, _clusters(candidates, copies, classes), least, words).repartition("u"), "links")
     parts = connected(found.select("u", "v").unionByName(copies))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     sets = classes.join(links, F.col("rep") == F.col("u"), "left").select(
         "set_key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
     )
     return (
-        measured.join(sets, "set_key", "left")
+        join_frequent(measured, sets, "set_key", frequent, "left")
         .join(parts, F.col("doc_id") == F.col("node"), "left")
         .select(
             "doc_id",
@@ -234,5 +333,6 @@ def group_similar(docs: DataFrame, least: int = part_enum.LEAST, words: int = pa
 def keep_one(docs: DataFrame, least: int = part_enum.LEAST, words: int = part_enum.WORDS) -> DataFrame:
     """``docs`` without the rows that link, directly or not, to one of a smaller id; columns unchanged."""
     groups = group_similar(docs, least, words)
-    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), whole_row(docs))
+    return rows.join(gone, F.col("id") == F.col("gone"), "left_anti").select("row.*")

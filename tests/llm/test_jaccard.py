@@ -150,3 +150,68 @@ def test_linked_sets_share_a_signature_at_80():
         if part_enum.linked(base, other, 80) and not np.array_equal(base, other):
             owner, signature = part_enum.signatures([base, other], 80)
             assert set(signature[owner == 0].tolist()) & set(signature[owner == 1].tolist())
+
+
+def test_common_passages_do_not_make_all_pairs(spark, monkeypatch):
+    """Texts that share a licence paragraph chain into one component; few pairs of them are compared."""
+    rng = random.Random(9)
+    passage = [f"licence{i}" for i in range(50)]
+    rows = []
+    for i in range(1200):
+        text = passage + [f"w{rng.randrange(10**6)}" for _ in range(250)]
+        rows.append((i, " ".join(text)))
+        if i % 40 == 0:
+            text[-rng.randint(1, 12)] = "changed"
+            rows.append((100_000 + i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    held = {}
+    clusters = jaccard._clusters
+
+    def kept(*args):
+        held["members"] = jaccard.materialise(clusters(*args), "kept")
+        return held["members"]
+
+    monkeypatch.setattr(jaccard, "_clusters", kept)
+    got = rows_of(jaccard.group_similar(docs))
+    assert got == brute(rows)
+    assert sum(n for *_, n in got) == 60
+    sizes = [r["count"] for r in held["members"].groupBy("cluster").count().collect()]
+    assert sum(n * n for n in sizes) < len(rows) ** 2 / 20  # of all with all
+
+
+def test_signature_clusters_count_each_pair_once(spark, monkeypatch):
+    """Both ways of comparing a component give the same links."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(100)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for _ in range(rng.randint(0, 6)):
+            text[rng.randrange(100)] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    rows += [(500 + i, rows[3][1]) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 512)
+    monkeypatch.setattr(jaccard, "SPLIT_FROM", 0.0)  # every component of more than one block is split
+    assert rows_of(jaccard.group_similar(docs)) == brute(rows)
+
+
+def test_hot_nodes_and_long_chains_settle(spark):
+    from lotlens.llm.components import connected
+
+    star = [(5, i) for i in range(10, 4000)] + [(i, i + 1) for i in range(4000, 4300)] + [(4300, 5), (9000, 9001), (7000, 7000)]
+    edges = spark.createDataFrame(star, "u long, v long")
+    got = {r.node: r.label for r in connected(edges).collect()}
+    assert got == {i: 5 for i in [5, *range(10, 4301)]} | {9000: 9000, 9001: 9000}
+    assert connected(edges.limit(0)).count() == 0
+
+
+def test_own_names_do_not_clash(spark):
+    names = ["row", "id", "gone", "_gone", "_id", "_text", "component_id", "set_key", "u", "v", "node", "label"]
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "A b c d e f g"), (3, "b")], "doc_id long, text string")
+    docs = docs.selectExpr("*", *(f"'{n}' AS {n}" for n in names))
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["_gone"], r["row"]) for r in kept.collect()) == [(1, "_gone", "row"), (3, "_gone", "row")]
