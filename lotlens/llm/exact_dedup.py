@@ -28,7 +28,7 @@ def prefix_of(key: Column, bits: int) -> Column:
 
 
 def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, above: int = 0) -> DataFrame:
-    """One level of the directory over ``entries``' ``key``: a row per used cell of ``above`` + ``max_depth`` bits.
+    """One level of the directory over ``entries``' ``key``: a row per cell of ``above`` + ``max_depth`` bits.
 
     A bucket of depth d holds the keys that share their first d bits.  Where it has more than
     ``capacity`` entries the directory doubles and the bucket splits; so a cell's bucket is its
@@ -38,21 +38,19 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
     """
     end = min(above + max_depth, KEY_BITS)
     cells = entries.groupBy(prefix_of(F.col("key"), end).alias("cell")).agg(F.count("*").alias("n"))
-    levels = cells.select("cell", "n", F.explode(F.sequence(F.lit(above), F.lit(end))).alias("depth"))
-    levels = levels.withColumn("prefix", F.expr(f"shiftrightunsigned(cell, {end} - depth)"))
-    full = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    whole = F.struct("depth", "prefix", "held")
-    return (
-        levels.join(full, ["depth", "prefix"])
-        .filter((F.col("held") <= capacity) | (F.col("depth") == end))
-        .groupBy("cell")
-        .agg(F.min(whole).alias("b"))
-        .select(
-            "cell",
-            F.col("b.depth").alias("bucket_depth"),
-            F.col("b.prefix").alias("bucket"),
-            (F.col("b.held") > capacity).alias("overfull"),
-        )
+    levels = cells.select("n", "cell", F.explode(F.sequence(F.lit(above), F.lit(end))).alias("depth"))
+    held = levels.groupBy("depth", F.expr(f"shiftrightunsigned(cell, {end} - depth)").alias("prefix")).agg(F.sum("n").alias("held"))
+    split = held.filter(F.col("held") > capacity).select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("_above"))
+    # a bucket stands where splitting ends: it fits or is a whole cell, and what it came from did not fit
+    born = held.withColumn("_above", F.shiftrightunsigned("prefix", 1)).join(split, ["depth", "_above"], "left_semi")
+    root = held.filter(F.col("depth") == above)
+    buckets = root.unionByName(born.select(root.columns)).filter((F.col("held") <= capacity) | (F.col("depth") == end))
+    inside = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {end} - depth) - 1")))
+    return buckets.withColumn("_at", inside).select(
+        F.expr(f"shiftleft(prefix, {end} - depth) + _at").alias("cell"),
+        F.col("depth").alias("bucket_depth"),
+        F.col("prefix").alias("bucket"),
+        (F.col("held") > capacity).alias("overfull"),
     )
 
 
