@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,6 +20,7 @@ MOST_TOXIC, MOST_CLEAN = 3000, 6000  # bounds of the labelled sample that the sc
 HELD_STEMS = 300_000  # stems that a worker counts before it hands them on
 LEAST_DOCS, LEAST_RATIO, LEAST_WEIGHT = 4, 10.0, 2.0
 STEM_SIZES = (4, 5, 6)
+N_FEATURES = 6
 
 NEGATIONS = frozenset(
     "not no never none cannot don't isn't aren't won't nicht kein keine keinen nie niemals "
@@ -33,61 +34,123 @@ TARGETS = frozenset(
     "you your you're u ya they them these those people he she du dich dir ihr euch sie dein deine "
     "tu te toi vous ton votre ils elles tú usted ustedes vosotros os ellos ellas su".split()
 )
-THREATS = frozenset(
-    "kill hurt destroy murder shoot stab burn hang beat töten umbringen schlagen vernichten erschießen "
-    "tuer frapper détruire buter matar golpear destruir quemar".split()
+INTENTS = frozenset(
+    "will i'll we'll gonna shall must should going werde werden wird sollst sollten vais va allons dois doit "
+    "voy vamos debes debe deberías".split()
 )
-PLAIN, TARGET, NEGATION, REPORT, THREAT, INSULT = range(6)
+#: Verb stems of a threat and the endings of their language's forms.
+THREAT_FORMS = {
+    "kill hurt destroy murder shoot stab burn hang beat": ("", "s", "ed", "ing", "ting", "bing", "bed", "er", "en"),
+    "töt schlag vernicht erschieß": ("e", "en", "t", "et", "st", "est", "te", "ete", "ten", "eten"),
+    "bring umbring umgebrach": ("en", "t", "e"),
+    "frapp tu but": ("e", "er", "ez", "ons", "ent", "erai", "era", "erons", "eront", "é"),
+    "détrui": ("re", "s", "t", "sons", "sez", "sent", "rai", "ra", "rons", "ront"),
+    "mat golpe quem": ("ar", "o", "as", "a", "amos", "an", "aré", "ará", "aremos", "arán", "é", "ó"),
+    "destru": ("ir", "yo", "yes", "ye", "yen", "iré", "irá", "iremos"),
+}
+THREATS = frozenset(s + e for stems, ends in THREAT_FORMS.items() for s in stems.split() for e in ends) - {"bring", "bringe", "bringen", "bringt", "tu", "but"}
+PLAIN, TARGET, NEGATION, REPORT, INTENT, THREAT, INSULT, AIMED_THREAT, AIMED_INSULT = range(9)
+HOSTILE = (THREAT, INSULT, AIMED_THREAT, AIMED_INSULT)
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _ENDS = ".!?;:,"
 Symbol = tuple[int, float]
 
 
 class Transducer:
-    """Maps symbols (class, weight) to symbols.  ``arcs``: (state, class) -> (next state, factor).
+    """A weighted finite-state transducer over symbols (class, weight).
 
-    ``idle`` says where a class without an arc leads from each state; its weight is unchanged.
+    ``arcs``: (state, class) -> (next state, class out, factor).  ``idle`` says where a class without an
+    arc leads from each state; it goes out as it is.  ``backwards`` reads from the right.
     """
 
-    def __init__(self, arcs: dict[tuple[int, int], tuple[int, float]], idle: dict[int, int]):
-        self.arcs, self.idle = arcs, idle
+    def __init__(
+        self, arcs: dict[tuple[int, int], tuple[int, int, float]], idle: dict[int, int], backwards: bool = False
+    ):
+        self.arcs, self.idle, self.backwards = arcs, idle, backwards
 
-    def __call__(self, symbols: Iterable[Symbol]) -> Iterator[Symbol]:
-        state = 0
-        for kind, weight in symbols:
-            state, factor = self.arcs.get((state, kind), (self.idle[state], 1.0))
-            yield kind, weight * factor
+    def __call__(self, symbols: list[Symbol]) -> list[Symbol]:
+        state, out = 0, []
+        for kind, weight in reversed(symbols) if self.backwards else symbols:
+            state, after, factor = self.arcs.get((state, kind), (self.idle[state], kind, 1.0))
+            out.append((after, weight * factor))
+        return out[::-1] if self.backwards else out
+
+
+def _insult(span: int = 3, factor: float = 1.25) -> Transducer:
+    """Insults heaped on each other: from the second within ``span`` words each weighs more."""
+    arcs = {(0, INSULT): (span, INSULT, 1.0)} | {(s, INSULT): (span, INSULT, factor) for s in range(1, span + 1)}
+    return Transducer(arcs, {s: max(0, s - 1) for s in range(span + 1)})
+
+
+def _threat(span: int = 4, factor: float = 2.0) -> Transducer:
+    """A threatening verb within ``span`` words after a word of intent weighs more."""
+    arcs = {(s, INTENT): (span, INTENT, 1.0) for s in range(span + 1)}
+    arcs |= {(s, THREAT): (s - 1, THREAT, factor) for s in range(1, span + 1)}
+    return Transducer(arcs, {s: max(0, s - 1) for s in range(span + 1)})
+
+
+def _target(backwards: bool, insult: float = 1.5) -> Transducer:
+    """Hostile words that a target stands before (or, read backwards, after) are aimed at it.
+
+    An aimed insult weighs more.
+    """
+    arcs = {(s, TARGET): (1, TARGET, 1.0) for s in (0, 1)}
+    arcs |= {(1, INSULT): (1, AIMED_INSULT, insult), (1, THREAT): (1, AIMED_THREAT, 1.0)}
+    return Transducer(arcs, {0: 0, 1: 1}, backwards)
+
+
+def _aimless(factor: float = 0.2) -> Transducer:
+    """A threat against no one counts little."""
+    return Transducer({(0, THREAT): (0, THREAT, factor)}, {0: 0})
 
 
 def _negation(span: int = 3, factor: float = 0.4) -> Transducer:
     """Hostile words within ``span`` words after a negation weigh less."""
-    arcs = {(s, NEGATION): (span, 1.0) for s in range(span + 1)}
-    arcs |= {(s, k): (s - 1, factor) for s in range(1, span + 1) for k in (INSULT, THREAT)}
+    arcs = {(s, NEGATION): (span, NEGATION, 1.0) for s in range(span + 1)}
+    arcs |= {(s, k): (s - 1, k, factor) for s in range(1, span + 1) for k in HOSTILE}
     return Transducer(arcs, {s: max(0, s - 1) for s in range(span + 1)})
 
 
 def _reported(factor: float = 0.6) -> Transducer:
     """Hostile words after a verb of saying, to the clause's end, weigh less."""
-    arcs = {(s, REPORT): (1, 1.0) for s in (0, 1)} | {(1, k): (1, factor) for k in (INSULT, THREAT)}
+    arcs = {(s, REPORT): (1, REPORT, 1.0) for s in (0, 1)} | {(1, k): (1, k, factor) for k in HOSTILE}
     return Transducer(arcs, {0: 0, 1: 1})
 
 
-_CASCADE = (_negation(), _reported())
+#: Composed in this order; the classes of their input come from the lexicon.
+CASCADE = {
+    "insult": _insult(),
+    "threat": _threat(),
+    "target before": _target(False),
+    "target after": _target(True),
+    "aimless threat": _aimless(),
+    "negation": _negation(),
+    "reported speech": _reported(),
+}
 
 
-def clause_score(symbols: list[Symbol]) -> float:
-    """Weight of one clause: lexicon, then negation, then reported speech, then target.
+def clause_parts(symbols: list[Symbol], without: str = "") -> tuple[float, float, float]:
+    """(insults, threats, aimed) of one clause: what leaves the composed transducers by class.
 
-    A named target raises insults by half; a threat counts fully only with one.
+    ``without`` leaves one transducer out.
     """
-    stream: Iterable[Symbol] = symbols
-    for transducer in _CASCADE:
-        stream = transducer(stream)
+    for name, transducer in CASCADE.items():
+        if name != without:
+            symbols = transducer(symbols)
     hostile = Counter()
-    for kind, weight in stream:
+    for kind, weight in symbols:
         hostile[kind] += weight
-    aimed = any(kind == TARGET for kind, _ in symbols)
-    return hostile[INSULT] * (1.5 if aimed else 1.0) + hostile[THREAT] * (1.0 if aimed else 0.2)
+    insults = hostile[INSULT] + hostile[AIMED_INSULT]
+    return insults, hostile[THREAT] + hostile[AIMED_THREAT], hostile[AIMED_INSULT] + hostile[AIMED_THREAT]
+
+
+def clause_score(symbols: list[Symbol], without: str = "") -> float:
+    """Weight of one clause after all transducers."""
+    insults, threats, _ = clause_parts(symbols, without)
+    return insults + threats
+
+
+_CLOSED = ((NEGATION, NEGATIONS), (REPORT, REPORTS), (TARGET, TARGETS), (INTENT, INTENTS))
 
 
 class _Lexer(dict):
@@ -105,12 +168,11 @@ class _Lexer(dict):
             found = max((self.stems.get(s, 0.0) for s in stems_of(word)), default=0.0)
             if found > weight:
                 kind, weight = INSULT, found
-        if kind == PLAIN:
-            bare = token.strip("\"'()[]«»“”" + _ENDS)
-            if bare in THREATS:
-                kind, weight = THREAT, 1.0
-            else:
-                kind = NEGATION if bare in NEGATIONS else REPORT if bare in REPORTS else TARGET if bare in TARGETS else PLAIN
+        bare = token.strip("\"'()[]«»“”" + _ENDS)
+        if bare in THREATS:  # the learned weight is a threat's too
+            kind, weight = THREAT, max(1.0, weight)
+        elif kind == PLAIN:
+            kind = next((k for k, words in _CLOSED if bare in words), PLAIN)
         self[token] = value = (kind, weight, token[-1] in _ENDS)
         return value
 
@@ -125,7 +187,7 @@ class Model:
     """Weights of stems, and of the document features in the logistic score (the last is the bias)."""
 
     stems: dict[str, float] = field(default_factory=dict)
-    weights: list[float] = field(default_factory=lambda: [0.0, 0.0, 0.0, -4.0])
+    weights: list[float] = field(default_factory=lambda: [0.0] * N_FEATURES + [-4.0])
 
     def __post_init__(self) -> None:
         self._lexer = _Lexer(self.stems)
@@ -133,29 +195,37 @@ class Model:
     def __reduce__(self):
         return Model, (self.stems, self.weights)
 
-    def clauses(self, text: str) -> list[float]:
-        """Scores of the clauses that hold a hostile word."""
+    def symbols(self, text: str) -> list[list[Symbol]]:
+        """The clauses that hold a hostile word, as symbols."""
         lexer = self._lexer
         found = [lexer[t] for t in text.lower().replace("\n", " \n. ").split()]
-        scores, clause, hostile = [], [], False
-        if not any(kind >= THREAT for kind, _, _ in found):
-            return scores
+        clauses, clause, hostile = [], [], False
+        if not any(kind in HOSTILE for kind, _, _ in found):
+            return clauses
         for kind, weight, ends in found:
             clause.append((kind, weight))
-            hostile = hostile or kind >= THREAT
+            hostile = hostile or kind in HOSTILE
             if ends:
                 if hostile:
-                    scores.append(clause_score(clause))
+                    clauses.append(clause)
                 clause, hostile = [], False
-        if hostile:
-            scores.append(clause_score(clause))
-        return scores
+        return [*clauses, clause] if hostile else clauses
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        scores = self.clauses(text or "")
-        if not scores:
-            return 0.0, 0.0, 0.0
-        return max(scores), math.log1p(sum(scores)), math.log1p(len(scores))
+    def clauses(self, text: str) -> list[float]:
+        """Scores of the clauses that hold a hostile word."""
+        return [clause_score(c) for c in self.symbols(text)]
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Highest clause, sum and number of clauses; then, each apart, threats, aimed words, and what was softened."""
+        clauses = self.symbols(text or "")
+        if not clauses:
+            return (0.0,) * N_FEATURES
+        parts = [clause_parts(c) for c in clauses]
+        scores = [insults + threats for insults, threats, _ in parts]
+        threats, aimed = (math.log1p(sum(p[k] for p in parts)) for k in (1, 2))
+        raw = sum(w for c in clauses for kind, w in c if kind in HOSTILE)
+        softened = math.log1p(max(0.0, raw - sum(scores)))
+        return max(scores), math.log1p(sum(scores)), math.log1p(len(scores)), threats, aimed, softened
 
     def score(self, text: str | None) -> float:
         """0 to 1; label 1 is likelier the higher."""
@@ -166,14 +236,16 @@ class Model:
 
 def _known(labels: DataFrame) -> DataFrame:
     """_labelled and _toxic of the ids labelled outside the held-out fold."""
+    labels = labels.select("doc_id", "toxic")
     kept = labels.filter((fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("toxic").isNotNull())
     return kept.groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("toxic").alias("_toxic"))
 
 
 def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, F.col("doc_id") == F.col("_labelled")).select(
-        F.coalesce("text", F.lit("")).alias("_text"), "_toxic"
-    )
+    """(_labelled, _text, _toxic) of the rows with these ids, none of which are in the held-out fold."""
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = rows.filter(fold_of(F.col("_doc"), FOLDS) != HELD_OUT)
+    return rows.join(ids, F.col("_doc") == F.col("_labelled")).select("_labelled", "_text", "_toxic")
 
 
 def _sample(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -229,7 +301,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """
     small_batches(docs.sparkSession)
     known = _known(labels)
-    labelled = _texts(docs, known)
+    labelled = _texts(docs, known.hint("shuffle_hash"))  # the same plan, without a sort of texts, at every size
     sizes = {r["_toxic"]: r["count"] for r in labelled.groupBy("_toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -246,18 +318,25 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     )
     model = Model({r["stem"]: round(r["weight"], 6) for r in found})
 
+    names = [f"f{k}" for k in range(N_FEATURES)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [model.features(t) for t in batch.column("_text").to_pylist()]
-            columns = list(zip(*rows)) or [(), (), ()]
+            columns = list(zip(*rows)) or [()] * N_FEATURES
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_toxic").cast(pa.int64()), *(pa.array(c, pa.float64()) for c in columns)],
-                names=["y", "a", "b", "c"],
+                [
+                    pa.array(batch.column("_labelled").cast(pa.string())),
+                    batch.column("_toxic").cast(pa.int64()),
+                    *(pa.array(c, pa.float64()) for c in columns),
+                ],
+                names=["id", "y", *names],
             )
 
-    rows = _sample(docs, known).mapInArrow(run, "y long, a double, b double, c double").toArrow()
-    order = [("y", "ascending"), ("a", "ascending"), ("b", "ascending"), ("c", "ascending")]
-    data = np.column_stack([c.to_numpy() for c in rows.sort_by(order).columns]).astype(float)
+    found = _sample(docs, known).mapInArrow(run, f"id string, y long, {', '.join(f'{n} double' for n in names)}")
+    found = found.groupBy("id").agg(F.max(F.struct("y", *names)).alias("x")).select("x.*")  # a repeated id is one row
+    rows = found.toArrow().sort_by([(n, "ascending") for n in ("y", *names)])
+    data = np.column_stack([c.to_numpy() for c in rows.columns]).astype(float)
     return Model(model.stems, _fit_logistic(data[:, 1:], data[:, 0]))
 
 

@@ -62,3 +62,68 @@ def test_rare_insults_are_learned(spark):
     labels = docs.selectExpr("doc_id", "if(doc_id < 1000, 1, 0) AS toxic").filter("doc_id > 20")
     model = t.train(docs, labels)  # at most 10 of about 480 toxic rows hold it
     assert "quexling" in model.stems and model.score("a quexling") > model.score("a calm day")
+
+
+PLANTED = {
+    "insult": "a zorbnik and a zorbnik",
+    "threat": "i will kill you",
+    "target before": "you are a zorbnik",
+    "target after": "a zorbnik are you",
+    "aimless threat": "kill time",
+    "negation": "you are not a zorbnik",
+    "reported speech": "he said you are a zorbnik",
+}
+
+
+def test_each_transducer_decides():
+    model = t.Model({"zorbnik": 3.0})
+    assert set(PLANTED) == set(t.CASCADE)
+    for name, text in PLANTED.items():
+        (clause,) = model.symbols(text)
+        assert t.clause_score(clause) != t.clause_score(clause, without=name), name
+    score = lambda text: t.clause_score(model.symbols(text)[0])
+    assert score("you are not a zorbnik") < score("a zorbnik") < score("you are a zorbnik")
+    assert score("killing time") < score("we are killing them") < score("we will kill them")
+    assert score("they said you zorbnik") < score("you zorbnik")
+
+
+def test_forms_of_threats():
+    assert {"kills", "killing", "tötet", "töte", "tue", "tuez", "mataré", "destroyed"} <= t.THREATS
+    assert not t.THREATS & {"tu", "but", "bring"} and not t.THREATS & t.TARGETS
+
+
+def test_clause_features_are_fitted_apart(spark):
+    """Reported and negated insults are labelled clean here: the fit must tell them from direct ones."""
+    rows = []
+    for i in range(200):
+        rows += [(4 * i, f"you are a zorbnik number {i}", 1), (4 * i + 1, f"he said a zorbnik not a zorbnik number {i}", 0)]
+        rows += [(4 * i + 2, f"a calm day number {i}", 0), (4 * i + 3, f"some day number {i}", 0)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    t_ratio = t.LEAST_RATIO
+    try:
+        t.LEAST_RATIO, t.LEAST_WEIGHT = 1.5, 0.1
+        model = t.train(docs, labels)
+    finally:
+        t.LEAST_RATIO, t.LEAST_WEIGHT = t_ratio, 2.0
+    assert len(model.weights) == t.N_FEATURES + 1
+    assert model.score("you are a zorbnik number 7") > 0.5 > model.score("he said a zorbnik not a zorbnik number 7")
+
+
+def test_held_out_beats_always_clean(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    held = [(r.score, labels[r.doc_id]) for r in queries.op2_toxicity(spark, "/root/testdata/sf0.1").collect() if r.held_out and r.doc_id in labels]
+    toxic, clean = [s for s, y in held if y], [s for s, y in held if not y]
+    caught, alarms = sum(s >= 0.5 for s in toxic), sum(s >= 0.5 for s in clean)
+    assert caught / len(toxic) > 0.85 and caught / (caught + alarms) > 0.9
+    assert sum((a > b) + (a == b) / 2 for a in toxic for b in clean) / len(toxic) / len(clean) > 0.93
+
+
+def test_own_names_do_not_clash(spark):
+    names = ["_toxic", "_labelled", "_text", "_doc", "toxic", "id", "y", "f0"]
+    docs = spark.createDataFrame([(i, "you zorbnik" if i % 2 else "a calm day") for i in range(40)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS toxic", "'x' AS text", "1 AS _labelled", "2 AS _toxic")
+    docs = docs.selectExpr("*", *(f"'{n}' AS {n}" for n in names))
+    model = t.train(docs, labels)
+    kept = t.keep_clean(docs, model)
+    assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {"a calm day"}
