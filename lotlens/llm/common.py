@@ -31,6 +31,26 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
 
 
+def set_aside(docs: DataFrame, own: list[str]) -> dict[str, str]:
+    """New names for the columns of ``docs`` whose names an operator's result has itself: ``_in`` is appended."""
+    taken = {c.lower() for c in [*docs.columns, *own]}
+    named: dict[str, str] = {}
+    for column in docs.columns:
+        if column.lower() in {o.lower() for o in own}:
+            name = f"{column}_in"
+            while name.lower() in taken:
+                name += "_in"
+            taken.add(name.lower())
+            named[column] = name
+    return named
+
+
+def unpacked(docs: DataFrame, own: list[str]) -> list[Column]:
+    """The columns of a ``whole_row`` struct, renamed by ``set_aside``."""
+    named = set_aside(docs, own)
+    return [F.col("row")[c].alias(named.get(c, c)) for c in docs.columns]
+
+
 def frequent_limit(rows: int) -> int:
     """Rows of a key from which it counts as frequent: at most FREQUENT_SHARE keys have so many."""
     return max(FREQUENT_SHARE, rows // FREQUENT_SHARE)
