@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import frequent_limit, join_frequent, materialise, small_batches, unpacked, whole_row
 
 LEAST_WORDS = 8
 _BREAK = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
@@ -78,45 +78,38 @@ def find_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     gives no rows; other columns are ignored.
     """
     found = materialise(units(docs, least_words), "units")
-    # one row per document and form, so the earliest document is the least id; frequent forms are
-    # combined before the shuffle
-    first = (
-        found.filter(F.col("start") == F.col("first_here"))
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_docs"))
+    # copies of a form in one document are one row, so the earliest document is the least id; both
+    # steps combine frequent forms before their shuffle
+    held = found.groupBy("digest", "doc_id").agg(F.count("*").alias("n"))
+    first = held.groupBy("digest").agg(
+        F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n_docs"), F.sum("n").alias("n")
     )
-    inside = found.filter(F.col("start") != F.col("first_here")).select(
-        "doc_id", "start", "end", "words", F.col("doc_id").alias("_own"), "digest"
-    )
-    across = (
-        found.filter(F.col("start") == F.col("first_here"))
-        .join(first.filter("n_docs > 1"), "digest")
-        .filter(~F.col("doc_id").eqNullSafe(F.col("first_doc_id")))
-        .select("doc_id", "start", "end", "words", "first_doc_id", "n_docs")
-    )
-    again = inside.join(first, "digest").select("doc_id", "start", "end", "words", "first_doc_id", "n_docs")
-    return across.unionByName(again)
+    first = materialise(first.filter("n > 1"), "repeated")
+    frequent = first.filter(F.col("n") > frequent_limit(found.count())).select("digest")
+    met = join_frequent(found, first.drop("n"), "digest", frequent)
+    later = (F.col("start") != F.col("first_here")) | ~F.col("doc_id").eqNullSafe(F.col("first_doc_id"))
+    return met.filter(later).select("doc_id", "start", "end", "words", "first_doc_id", "n_docs")
 
 
 def remove_repeats(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated units cut from ``text``; ``removed`` holds their original offsets.
 
-    All rows stay; line breaks around a removed unit stay too.  The ids must be unique.
+    All rows stay; line breaks around a removed unit stay too.  The ids must be unique.  A column
+    ``removed`` of ``docs`` is given as ``removed_in``.
     """
     spans = (
         find_repeats(docs, least_words)
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "end", "first_doc_id"))).alias("removed"))
-        .withColumnRenamed("doc_id", "_cut_id")
+        .groupBy(F.col("doc_id").alias("cut_id"))
+        .agg(F.sort_array(F.collect_set(F.struct("start", "end", "first_doc_id"))).alias("spans"))
     )
-    empty = F.expr("cast(array() as " + spans.schema["removed"].dataType.simpleString() + ")")
+    empty = F.expr("cast(array() as " + spans.schema["spans"].dataType.simpleString() + ")")
     cut = F.expr(
-        "array_join(transform(sequence(0, size(removed)), i -> substring(text,"
-        " if(i = 0, 0, removed[i - 1].end) + 1,"
-        " if(i = size(removed), char_length(text), removed[i].start) - if(i = 0, 0, removed[i - 1].end))), '')"
-    )
-    kept = docs.drop("removed") if "removed" in docs.columns else docs
-    joined = kept.join(spans, F.col("doc_id").eqNullSafe(F.col("_cut_id")), "left").drop("_cut_id")
-    return joined.withColumn("removed", F.coalesce("removed", empty)).withColumn(
-        "text", F.when(F.size("removed") > 0, cut).otherwise(F.col("text"))
+        "array_join(transform(sequence(0, size(spans)), i -> substring(whole,"
+        " if(i = 0, 0, spans[i - 1].end) + 1,"
+        " if(i = size(spans), char_length(whole), spans[i].start) - if(i = 0, 0, spans[i - 1].end))), '')"
     )
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("whole"), whole_row(docs))
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("cut_id")), "left").withColumn("spans", F.coalesce("spans", empty))
+    text = F.when(F.size("spans") > 0, cut).otherwise(F.col("whole")).alias("text")
+    kept = [text if name == "text" else c for c, name in zip(unpacked(docs, ["removed"]), docs.columns)]
+    return joined.select(*kept, F.col("spans").alias("removed"))

@@ -45,3 +45,26 @@ def test_query_against_brute_force(spark):
             at += len(part)
     got = {(r.doc_id, r.start, r.first_doc_id) for r in queries.op7_line_dedup(spark, sf).collect()}
     assert got == want
+
+
+def test_documents_are_counted_by_id(spark):
+    line = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line), (None, line)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in line_dedup.find_repeats(docs.filter("doc_id is not null")).select("doc_id", "first_doc_id", "n_docs").collect())
+    assert got == [(2, 1, 2)]
+    assert {r.n_docs for r in line_dedup.find_repeats(docs).collect()} == {3}
+
+
+def test_a_frequent_line_is_found_everywhere(spark):
+    line = "the quick brown fox jumps over the lazy dog"
+    docs = spark.range(3000).selectExpr("id AS doc_id", f"if(id % 2 = 0, '{line}', concat('one two three four five six seven eight ', id)) AS text")
+    got = line_dedup.find_repeats(docs).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2, 3000, 2)) and {(r.first_doc_id, r.n_docs) for r in got} == {(0, 1500)}
+
+
+def test_own_names_do_not_clash(spark):
+    line = "the quick brown fox jumps over the lazy dog"
+    docs = spark.createDataFrame([(1, line), (2, f"new {line}\n{line}")], "doc_id long, text string")
+    docs = docs.selectExpr("*", "'a' AS removed", "'b' AS _cut_id", "'c' AS row", "'d' AS spans", "'e' AS id")
+    got = {r.doc_id: r for r in line_dedup.remove_repeats(docs).collect()}
+    assert got[2].text == f"new {line}\n" and got[2].removed_in == "a" and got[2]["_cut_id"] == "b" and got[2]["row"] == "c"
