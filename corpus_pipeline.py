@@ -39,8 +39,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Length buckets of least padding and batches within a token budget."""
-    return packing.pack(docs)
+    """Length buckets of least padding and batches within a token budget, beside the cleaned documents."""
+    return packing.pack(docs, carry=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
