@@ -22,7 +22,7 @@ BLOCK_SETS = 256
 BUCKET_SIGNATURES = 1_000_000
 HELD_SIGNATURES = 200_000
 HOT_SETS = 1000
-SPLIT_FROM = 1.0  # a component is split from this ratio of all its pairs to those that share a signature
+SPLIT_FROM = 1.0  # a component is split where comparing it whole costs this many times as much
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -120,11 +120,12 @@ def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int
 def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame) -> DataFrame:
     """doc_id, n_shingles, copies, set_key and ``cluster``: linked sets share a cluster at least.
 
-    A cluster is a whole component of candidates, or the holders of one signature: a component of n
-    sets is compared all with all where n * n is no more than the sum of squares over its
-    signatures (copies of one text, which share most signatures), else signature by signature
-    (unlike texts that are chained together by common passages).  So the work is bounded by the
-    pairs that share a signature, and a set has at most as many rows as it has signatures.
+    A cluster is a whole component of candidates, or the holders of one signature.  A component whose
+    n sets fill b blocks ships n * (1 + b) sets to compare all with all; by signature it ships each
+    set once for each shared signature at least.  It is taken the second way where that ships and
+    compares less (unlike texts that common passages chain together), else whole (copies of one
+    text, which share most signatures).  So the work stays within that for the pairs that share a
+    signature, and a set has at most as many rows as it has signatures.
     """
     labels = connected(candidates.select("u", "v").unionByName(copies))
     sets = classes.join(labels, F.col("rep") == F.col("node")).select(
@@ -132,16 +133,18 @@ def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame) -> D
     )
     sets = materialise(sets, "sets")
     whole = sets.withColumnRenamed("label", "cluster")
-    large = sets.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK_SETS)
+    blocks = F.sum(F.greatest(F.col("n_shingles"), F.lit(BLOCK_ELEMENTS // BLOCK_SETS))) / BLOCK_ELEMENTS
+    large = sets.groupBy("label").agg(F.count("*").cast("double").alias("n"), blocks.alias("blocks")).filter("blocks > 1")
     if large.isEmpty():
         return whole
     holders = candidates.groupBy("signature").agg((F.count("*") + 1).cast("double").alias("m"), F.min("u").alias("one"))
     cost = (
         holders.join(labels, F.col("one") == F.col("node"))
         .groupBy("label")
-        .agg(F.sum(F.col("m") * F.col("m")).alias("cost"))
+        .agg(F.sum("m").alias("held"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
     )
-    sparse = materialise(large.join(cost, "label").filter(F.col("n").cast("double") * F.col("n") > F.col("cost") * SPLIT_FROM).select("label"), "sparse")
+    both = large.join(cost, "label").filter(f"n * n > {SPLIT_FROM} * pairs and n * (1 + blocks) > {SPLIT_FROM} * 2 * held")
+    sparse = materialise(both.select("label"), "sparse")
     if sparse.isEmpty():
         return whole
     ends = candidates.select("signature", F.col("u").alias("id")).unionByName(candidates.select("signature", F.col("v").alias("id")))
