@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .normalise import fold
@@ -38,9 +38,7 @@ def _any(patterns: list[str], *texts: Column) -> Column:
     return found
 
 
-def read(description: Column) -> Column:
-    """struct(damage, repaint, needs_repair, claims): true, false, or null where nothing is said."""
-    folded, lower = fold(description), F.lower(F.coalesce(description, F.lit("")))
+def _read(folded: Column, lower: Column) -> Column:
     claims = F.array(*(F.when(folded.rlike(p) | lower.rlike(p), i) for i, p in enumerate(STRONG_CLAIMS)))
     return F.struct(
         F.when(_any(DAMAGE_DENIED, folded, lower), False).when(_any(DAMAGE_STATED, folded, lower), True).alias("damage"),
@@ -50,6 +48,17 @@ def read(description: Column) -> Column:
     )
 
 
+def read(description: Column) -> Column:
+    """struct(damage, repaint, needs_repair, claims): true, false, or null where nothing is said."""
+    return _read(fold(description), F.lower(F.coalesce(description, F.lit(""))))
+
+
+def with_readings(rows: DataFrame, description: Column, name: str = "read") -> DataFrame:
+    """``rows`` with ``read`` of the description, which is folded and lower-cased once for all patterns."""
+    plain = rows.withColumns({"_folded": fold(description), "_lower": F.lower(F.coalesce(description, F.lit("")))})
+    return plain.withColumn(name, _read(F.col("_folded"), F.col("_lower"))).drop("_folded", "_lower")
+
+
 def disclosure(condition: Column, description: Column, kind: str) -> Column:
     """The structured field's statement, else the prose's."""
     return F.coalesce(read(condition)[kind], read(description)[kind])

@@ -97,38 +97,51 @@ def weighted_quantiles(
     weight: str | None = None,
     quantiles: dict[str, float] = QUANTILES,
     tie: Sequence[str] = (),
+    combine: bool = True,
 ) -> DataFrame:
     """Weighted quantiles by the mid-point convention, one column per entry of ``quantiles``, and n.
 
     The i-th smallest value sits at (weight before it + half its own) / total weight; between two
     positions the quantile is interpolated, beyond the ends it is the end value.  Negative weights
     count as 0; a group whose weights are all 0 gets the plain interpolated quantile.  ``tie``
-    orders equal values.
+    orders equal values.  With ``combine`` equal values become one row before the shuffle, so a group
+    costs its task as many rows as it has different values, whatever its size; without it rows are
+    taken as they are, which is shorter for groups that are small anyway.
     """
     w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
-    rows = df.filter(F.col(value).isNotNull()).withColumn("_w", w)
-    ordered = Window.partitionBy(*keys).orderBy(F.col(value), *(F.col(t) for t in tie))
+    rows = df.filter(F.col(value).isNotNull()).withColumn("_w", w.cast("double"))
+    if combine:
+        # equal values: their weights in order of the tie, of which only the first and the last set a position
+        order = F.struct(*(tie or [F.lit(0)]))
+        rows = rows.groupBy(*keys, value).agg(
+            F.sum("_w").alias("_sum"), F.min_by("_w", order).alias("_head"), F.max_by("_w", order).alias("_tail"), F.count("*").alias("_rows")
+        )
+    else:
+        rows = rows.withColumns({"_sum": F.col("_w"), "_head": F.col("_w"), "_tail": F.col("_w"), "_rows": F.lit(1)})
+    ordered = Window.partitionBy(*keys).orderBy(F.col(value), *(F.col(t) for t in ([] if combine else tie)))
     whole = Window.partitionBy(*keys)
+    total = F.col("_total")
     placed = (
-        rows.withColumn("_upto", F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_total", F.sum("_w").over(whole))
-        .withColumn("_at", F.when(F.col("_total") > 0, (F.col("_upto") - F.col("_w") / 2) / F.col("_total")))
-        .withColumn("_next_at", F.lead("_at").over(ordered))
+        rows.withColumn("_upto", F.sum("_sum").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_total", F.sum("_sum").over(whole))
+        .withColumn("_from", F.when(total > 0, (F.col("_upto") - F.col("_sum") + F.col("_head") / 2) / total))
+        .withColumn("_at", F.when(total > 0, (F.col("_upto") - F.col("_tail") / 2) / total))
+        .withColumn("_next_at", F.lead("_from").over(ordered))
         .withColumn("_next", F.lead(value).over(ordered))
         .withColumn("_first", F.row_number().over(ordered) == 1)
     )
 
     def at(q: float) -> Column:
-        here, then, a, b = F.col("_at"), F.col("_next_at"), F.col(value), F.col("_next")
+        start, here, then, a, b = F.col("_from"), F.col("_at"), F.col("_next_at"), F.col(value), F.col("_next")
         inside = F.when(then == here, a).otherwise(a + (b - a) * ((F.lit(q) - here) / (then - here)))
         # the first interval that reaches q: at a shared position both neighbours give the same value
-        reached = F.when(F.col("_first") & (here >= q), a).when(then.isNull() & (here <= q), a)
+        reached = F.when(F.col("_first") & (start >= q), a).when(then.isNull() & (here <= q), a).when((start <= q) & (here >= q), a)
         between = F.when((here <= q) & (then >= q), inside)
         return F.coalesce(F.min(reached), F.min(between))
 
-    plain = [F.expr(f"percentile({value}, {q})") for q in quantiles.values()]
+    plain = [F.expr(f"percentile({value}, {q}, _rows)") for q in quantiles.values()]
     return placed.groupBy(*keys).agg(
-        F.count("*").alias("n"),
+        F.sum("_rows").alias("n"),
         *(
             F.when(F.max("_total") > 0, at(q)).otherwise(p).alias(name)
             for (name, q), p in zip(quantiles.items(), plain, strict=True)
@@ -158,8 +171,8 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str) -
     """Robust line through each group: slope, intercept, n_points, x_span.
 
     The slope is the median over all pairs with different x, the intercept the median of
-    y - slope x; groups below three points or with one x give no row.  Pairs are built from each
-    row's following rows inside a bounded group (callers cap it), so no row meets another group's.
+    y - slope x; groups below three points or with one x give no row.  All pairs of a group are built
+    in one array, so this is for groups of bounded size: comparable sets hold 300 rows at most.
     """
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     packed = points.groupBy(*keys).agg(
@@ -172,10 +185,10 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str) -
         " b -> (b.y - a.y) / (b.x - a.x))))"
     )
     usable = packed.filter((F.col("n_points") >= MIN_SLOPE_POINTS) & (F.col("x_span") > 0)).withColumn(
-        "slope", median_of(F.array_sort(pairs))
+        "slope", median_of(F.sort_array(pairs))
     )
     rest = F.transform(F.col("_p"), lambda p: p["y"] - F.col("slope") * p["x"])
-    return usable.select(*keys, "slope", median_of(F.array_sort(rest)).alias("intercept"), "n_points", "x_span")
+    return usable.select(*keys, "slope", median_of(F.sort_array(rest)).alias("intercept"), "n_points", "x_span")
 
 
 def median_of(ordered: Column) -> Column:

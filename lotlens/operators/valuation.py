@@ -127,7 +127,7 @@ def subgroups(kept: DataFrame) -> DataFrame:
 
 
 def _median(rows: DataFrame, price: str, name: str, more: dict[str, float] | None = None) -> DataFrame:
-    found = stats.weighted_quantiles(rows, ["subject_id"], price, "weight", {name: 0.5, **(more or {})}, tie=["listing_id"])
+    found = stats.weighted_quantiles(rows, ["subject_id"], price, "weight", {name: 0.5, **(more or {})}, ["listing_id"], combine=False)
     return found.drop("n")
 
 
