@@ -39,17 +39,20 @@ def bands(value: Column, tolerance: float = TOLERANCE) -> Column:
     return F.floor(F.log(F.greatest(F.abs(value), F.lit(1.0))) / F.log(F.lit(1.0 + 2 * tolerance))).cast("long")
 
 
-def unknown_numbers(claims: DataFrame, known: DataFrame, key: str, tolerance: float = TOLERANCE) -> DataFrame:
-    """Rows of ``claims`` (key, value) that no number of ``known`` (key, value) matches within tolerance.
+def unknown_numbers(claims: DataFrame, known: DataFrame, key: str | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """Rows of ``claims`` (value, and ``key`` if given) that no number of ``known`` matches within tolerance.
 
     |a - b| <= tolerance max(|a|, |b|, 1).  Cells of the logarithm make the test an equi-join: each
     known number is put into its own cell and both neighbours, so no pair of rows beyond them meets.
     """
-    k = known.select(F.col(key).alias("_k"), F.col("value").alias("_known"), F.explode(F.sequence(bands(F.col("value"), tolerance) - 1, bands(F.col("value"), tolerance) + 1)).alias("_cell"))
+    cell = bands(F.col("value"), tolerance)
+    k = known.select(
+        *([F.col(key).alias("_k")] if key else []), F.col("value").alias("_known"), F.explode(F.sequence(cell - 1, cell + 1)).alias("_cell")
+    )
     near = F.abs(F.col("value") - F.col("_known")) <= F.greatest(F.abs("value"), F.abs("_known"), F.lit(1.0)) * tolerance
-    return claims.withColumn("_band", bands(F.col("value"), tolerance)).join(
-        k, (F.col(key) == F.col("_k")) & (F.col("_band") == F.col("_cell")) & near, "left_anti"
-    ).drop("_band")
+    same = (F.col("_band") == F.col("_cell")) & near
+    same = same & (F.col(key) == F.col("_k")) if key else same
+    return claims.withColumn("_band", cell).join(k, same, "left_anti").drop("_band")
 
 
 def forbidden(text: Column) -> Column:

@@ -66,17 +66,40 @@ def completeness(resolved: DataFrame, expected: int) -> DataFrame:
     )
 
 
-def convert(amounts: DataFrame, rates: DataFrame, at: str = "at") -> DataFrame:
-    """``amounts`` (amount, currency, ``at``) with ``converted``: by the latest rate up to ``at``.
+def both_ways(rates: DataFrame) -> DataFrame:
+    """``rates`` (base, quote, rate, rate_at) and their inverses; rates that are not positive are left out."""
+    known = rates.filter(F.col("rate") > 0).select("base", "quote", F.col("rate").cast("double").alias("rate"), "rate_at")
+    return known.unionByName(known.select(F.col("quote").alias("base"), F.col("base").alias("quote"), (1 / F.col("rate")).alias("rate"), "rate_at"))
 
-    ``rates``: currency, rate, rate_at; a null rate or currency gives null, never a guess.  The
-    as-of lookup unions both sides and carries the last rate forward inside each currency.
+
+def convert(amounts: DataFrame, rates: DataFrame, target: str = "AZN", at: str = "at") -> DataFrame:
+    """``amounts`` (amount, currency, ``at``) with ``converted`` into ``target``: by the latest rate up to ``at``.
+
+    ``rates``: base, quote, rate, rate_at, used in either direction (of two for the same instant the
+    larger); or currency, rate, rate_at, all quoted in ``target``.  The target currency itself has a rate of 1; without a rate the result is null, never
+    a guess.  Each rate holds until the next one of its currency; amounts meet the rates of their
+    month, so a currency that all amounts share is dealt over as many tasks as there are months.
     """
-    r = rates.select(F.col("currency").alias("_c"), F.col("rate").alias("_r"), F.col("rate_at").alias("_t"), F.lit(0).alias("_side"))
-    a = amounts.withColumns({"_c": F.col("currency"), "_t": F.col(at), "_side": F.lit(1)})
-    carried = Window.partitionBy("_c").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(r, allowMissingColumns=True).withColumn("_rate", F.last("_r", True).over(carried))
-    return both.filter("_side = 1").withColumn("converted", F.col("amount") * F.col("_rate")).drop("_c", "_t", "_side", "_r", "_rate")
+    if amounts.schema[at].dataType.typeName() in ("integer", "long", "short", "double"):
+        month = lambda c: F.floor(c / 30).cast("int")  # noqa: E731  days
+    else:
+        month = lambda c: F.year(c) * 12 + F.month(c)
+    if "currency" in rates.columns:
+        rates = rates.select(F.col("currency").alias("base"), F.lit(target).alias("quote"), "rate", "rate_at")
+    used = both_ways(rates).filter(F.col("quote") == target).groupBy("base", "rate_at").agg(F.max("rate").alias("_rate"))
+    until = F.lead("rate_at").over(Window.partitionBy("base").orderBy("rate_at"))
+    horizon = amounts.agg(F.max(at).alias("_horizon"))  # a single row
+    held = used.withColumn("_until", until).join(F.broadcast(horizon), F.lit(True))
+    held = held.filter(F.col("rate_at") <= F.col("_horizon"))
+    last = month(F.coalesce(F.least("_until", "_horizon"), F.col("_horizon")))
+    held = held.select(
+        F.col("base").alias("_base"), F.col("rate_at").alias("_from"), "_until", "_rate",
+        F.explode(F.sequence(month(F.col("rate_at")), last)).alias("_month"),
+    )
+    when = (F.col(at) >= F.col("_from")) & (F.col("_until").isNull() | (F.col(at) < F.col("_until")))
+    met = amounts.join(held, (F.col("currency") == F.col("_base")) & (month(F.col(at)) == F.col("_month")) & when, "left")
+    rate = F.when(F.col("currency") == target, 1.0).otherwise(F.col("_rate"))
+    return met.withColumn("converted", F.col("amount") * rate).select(*amounts.columns, "converted")
 
 
 def pct_difference(a: Column, b: Column) -> Column:

@@ -36,17 +36,19 @@ def days_before(as_of: Column, days: int) -> Column:
     return as_of - F.expr(f"interval {days} days")
 
 
-def in_scopes(listings: DataFrame, as_of: Column, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """Each listing once per window that it was seen in and per scope: its region and the nation."""
+def in_scopes(listings: DataFrame, as_of: Column, windows: Sequence[int] = WINDOWS, scopes: Sequence[str] = ("", NATIONAL)) -> DataFrame:
+    """Each listing once per window that it was seen in and per scope ("": its region, which may be UNKNOWN)."""
     age = F.array(*(F.when(F.col("last_seen") >= days_before(as_of, w), w) for w in windows))
     seen = listings.filter((F.col("price") > 0) & (F.col("last_seen") >= days_before(as_of, max(windows))))
-    scopes = F.array(F.coalesce("region", F.lit("UNKNOWN")), F.lit(NATIONAL))
+    named = F.array(*(F.lit(s) if s else F.coalesce("region", F.lit("UNKNOWN")) for s in scopes))
     return seen.withColumn("window_days", F.explode(F.filter(age, lambda w: w.isNotNull()))).withColumn(
-        "scope", F.explode(scopes)
+        "scope", F.explode(named)
     )
 
 
-def build(listings: DataFrame, as_of: Column, key: str = "model_key", windows: Sequence[int] = WINDOWS) -> DataFrame:
+def build(
+    listings: DataFrame, as_of: Column, key: str = "model_key", windows: Sequence[int] = WINDOWS, scopes: Sequence[str] = ("", NATIONAL)
+) -> DataFrame:
     """One row per (key, scope, window) with at least five listings.
 
     Prices are trimmed of outliers first (not where fewer than five would stay); sample_size, mean,
@@ -55,13 +57,13 @@ def build(listings: DataFrame, as_of: Column, key: str = "model_key", windows: S
     """
     keys = [key, "scope", "window_days"]
     rows = in_scopes(
-        listings.select(key, "listing_id", "region", "price", "mileage_km", "first_seen", "last_seen", "status"), as_of, windows
+        listings.select(key, "listing_id", "region", "price", "mileage_km", "first_seen", "last_seen", "status"), as_of, windows, scopes
     )
     flagged = stats.flag_outliers(rows, keys, "price")
     left = F.sum(F.when(F.col("is_outlier"), 0).otherwise(1)).over(Window.partitionBy(*keys))
     kept = flagged.withColumn("_left", left).filter(~F.col("is_outlier") | (F.col("_left") < MIN_SAMPLE))
     quantiles = stats.weighted_quantiles(kept, keys, "price").withColumnRenamed("n", "sample_size")
-    level = stats.spread(kept, keys, "price").select(*keys, "mean", F.col("cv").alias("dispersion"))
+    level = stats.spread(kept, keys, "price", money=True).select(*keys, "mean", F.col("cv").alias("dispersion"))
     days = whole_days(F.least(F.col("last_seen"), as_of), F.col("first_seen"))
     since = as_of - F.make_dt_interval(F.col("window_days"))
     whole = rows.groupBy(*keys).agg(
@@ -121,6 +123,8 @@ def no_deposit(text: Column) -> Column:
 def finds(listings: DataFrame, snapshots: DataFrame, limit: int = 15, key: str = "model_key") -> DataFrame:
     """Active, expressly undamaged listings below the first quartile of their market, widest gap first.
 
+    A description that words the price as a deposit disqualifies its listing.
+
     ``snapshots`` holds one row per key (one scope, one window), so it is small beside the listings;
     Spark chooses how to join.  Gaps above 40 % are left out as likely errors.
     """
@@ -129,7 +133,7 @@ def finds(listings: DataFrame, snapshots: DataFrame, limit: int = 15, key: str =
     ).select(key, "p25", F.col("p50").alias("median_price"), "sample_size", "median_mileage_km")
     gap = (F.col("median_price") - F.col("price")) / F.col("median_price")
     chosen = listings.filter(
-        (F.col("status") == "ACTIVE") & (F.col("price") > 0) & F.col("damage").eqNullSafe(F.lit(False))
+        (F.col("status") == "ACTIVE") & (F.col("price") > 0) & F.col("damage").eqNullSafe(F.lit(False)) & no_deposit(F.col("description"))
     ).join(market, key)
     further = (F.col("mileage_km") - F.col("median_mileage_km")) / F.nullif(F.col("median_mileage_km"), F.lit(0)) * 100
     return (
@@ -188,8 +192,13 @@ def discover(listings: DataFrame, snapshots: DataFrame, low: float, high: float,
     )
 
 
-def overview(listings: DataFrame, snapshots: DataFrame, observations: DataFrame, as_of: Column, observed_to: Column) -> DataFrame:
-    """One row of counts over the market: listings, changes of the last day, configurations, snapshots."""
+def overview(
+    listings: DataFrame, snapshots: DataFrame, observations: DataFrame, quality: DataFrame, as_of: Column, observed_to: Column
+) -> DataFrame:
+    """One row of counts over the market: listings, price changes of the last day, configurations, snapshots, quality.
+
+    ``quality`` has a row per data-quality issue (observed_at); those of the last seven days count.
+    """
     day = days_before(as_of, 1)
     a = listings.agg(
         F.count_if(F.col("status") == "ACTIVE").alias("active"),
@@ -199,8 +208,29 @@ def overview(listings: DataFrame, snapshots: DataFrame, observations: DataFrame,
         F.count_distinct("model_key").alias("configurations"),
     )
     b = snapshots.agg(
-        F.count_if(F.col("sample_size") >= MIN_FIND_SAMPLE).alias("usable_snapshots"),
+        F.count_if((F.col("sample_size") >= MIN_SAMPLE) & (F.col("scope") == NATIONAL)).alias("usable_snapshots"),
         F.percentile("median_days_on_market", 0.5).alias("median_days_on_market"),
     )
-    c = observations.agg(F.count_if(F.col("observed_at") >= days_before(observed_to, 1)).alias("changes_24h"))
-    return a.join(b, F.lit(True)).join(c, F.lit(True))  # three single rows
+    since = F.col("observed_at") >= days_before(observed_to, 1)
+    c = observations.agg(F.count_if(since & (F.col("change_kind") == "PRICE_CHANGE")).alias("price_changes_24h"))
+    d = quality.agg(F.count_if(F.col("observed_at") >= days_before(as_of, 7)).alias("quality_issues_7d"))
+    return a.join(b, F.lit(True)).join(c, F.lit(True)).join(d, F.lit(True))  # four single rows
+
+
+def dated(snapshots: DataFrame, as_of: Column) -> DataFrame:
+    return snapshots.withColumn("snapshot_date", as_of.cast("date"))
+
+
+def write(snapshots: DataFrame, path: str) -> None:
+    """Add dated snapshots to a table: those of a date that is there already are replaced, others stay.
+
+    A key, scope, date and window has one row, however often its day is run again.
+    """
+    snapshots.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+
+def latest(snapshots: DataFrame, scope: str = NATIONAL, window_days: int = WINDOWS[-1]) -> DataFrame:
+    """The rows of the latest date that a scope and window have."""
+    rows = snapshots.filter((F.col("scope") == scope) & (F.col("window_days") == window_days))
+    newest = rows.agg(F.max("snapshot_date").alias("_newest"))  # a single row
+    return rows.join(F.broadcast(newest), F.col("snapshot_date") == F.col("_newest")).drop("_newest")

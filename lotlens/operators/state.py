@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .snapshots import days_before
@@ -101,6 +101,17 @@ def mark_removed(state: DataFrame, seen: DataFrame, as_of: Column, days: int = R
     return joined.withColumn("status", F.when(F.col("removed"), "REMOVED").otherwise(F.col("status"))).drop("_here")
 
 
+def removal_log(marked: DataFrame, as_of: Column) -> DataFrame:
+    """The log rows of ``mark_removed``: one STATUS_CHANGE per listing that it removed."""
+    rows = marked.filter("removed").select("listing_id", "price", "mileage_km", "status", F.lit("STATUS_CHANGE").alias("change_kind"))
+    return rows.withColumn("observed_at", as_of)
+
+
+def latest_run(runs: DataFrame) -> DataFrame:
+    """The ingestion run that started last (ties: the largest id)."""
+    return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(1)
+
+
 def extraction_rates(parsed: DataFrame, fields: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """One row per field (and group): share of rows with a value, and whether it is below 0.6."""
     shares = parsed.groupBy(*by).agg(
@@ -119,17 +130,18 @@ def should_abort(rates: DataFrame, failures: Column) -> DataFrame:
     )
 
 
-def price_drops(observations: DataFrame, listings: DataFrame, since: Column, limit: int = 500) -> DataFrame:
-    """Latest price changes since an instant beside their listing, newest first."""
-    recent = observations.filter((F.col("observed_at") > since) & (F.col("change_kind") == "PURCHASE"))
+def price_changes(observations: DataFrame, listings: DataFrame, since: Column, kind: str = "PRICE_CHANGE", limit: int = 500) -> DataFrame:
+    """Latest changes of one kind since an instant beside their listing, newest first."""
+    recent = observations.filter((F.col("observed_at") > since) & (F.col("change_kind") == kind))
     held = listings.select("listing_id", F.col("price").alias("listed_price"), "model_key", "status")
     return recent.join(held, "listing_id").orderBy(F.desc("observed_at"), F.desc("seq")).limit(limit)
 
 
-def saved_alerts(saved: DataFrame, listings: DataFrame) -> DataFrame:
-    """Saved items whose listing is cheaper than when last looked at, or was never looked at."""
-    both = saved.join(listings.select("listing_id", "price", "status"), "listing_id")
-    return both.filter(F.col("last_seen_price").isNull() | (F.col("price") < F.col("last_seen_price")))
+def price_drops(observations: DataFrame, listings: DataFrame, since: Column, limit: int = 500) -> DataFrame:
+    """The price changes since an instant that lowered the price: below the observation before."""
+    order = Window.partitionBy("listing_id").orderBy("observed_at", "seq")
+    steps = observations.withColumn("price_before", F.lag("price").over(order)).filter(F.col("price") < F.col("price_before"))
+    return price_changes(steps, listings, since, limit=limit)
 
 
 def orphans(configurations: DataFrame, *referrers: DataFrame, key: str = "config_id") -> DataFrame:

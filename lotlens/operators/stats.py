@@ -34,11 +34,17 @@ def saturating(value: Column, half_point: float) -> Column:
     return F.when(value <= 0, F.lit(0.0)).otherwise(value / (value + F.lit(half_point)))
 
 
-def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def money_mean(value: Column) -> Column:
+    """Aggregate: mean of amounts with two decimals, from whole cents: the same however rows are dealt to tasks."""
+    return F.sum(F.round(value * 100).cast("long")) / (F.count(value) * 100)
+
+
+def spread(df: DataFrame, keys: Sequence[str], value: str, money: bool = False) -> DataFrame:
     """n, mean, median, mad, sigma and cv of ``value`` in each group.
 
     sigma is 1.4826 MAD, or 1.2533 times the mean absolute deviation from the median where the MAD
     is 0, and 0 below two values.  cv is sigma / |median|, 0 below two values or at median 0.
+    ``money``: values have two decimals, and their mean is taken of whole cents.
     """
     centred = df.filter(F.col(value).isNotNull())
     middle = centred.groupBy(*keys).agg(F.median(value).alias("_median"))
@@ -51,7 +57,7 @@ def spread(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
     found = deviations.groupBy(*keys).agg(
         F.count("*").alias("n"),
-        F.avg("_v").alias("mean"),
+        (money_mean(F.col("_v")) if money else F.avg("_v")).alias("mean"),
         F.first("_median").alias("median"),
         F.median("_dev").alias("mad"),
         F.avg("_dev").alias("_mean_dev"),

@@ -6,19 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import disclosures, normalise
-from ..operators import comparables, judgement, snapshots, valuation
+from ..operators import comparables, judgement, snapshots, stats, valuation
 from ..session import materialise
 from ..sources import market
+from .ingestion import _FOLD, readings_sql
 from .statistics import _AT, _twin, quantiles_sql, rounded
 
-# Descriptions dealt to the subjects by their id, and what is read from each: damage, repaint, needs repair, claims
+# Descriptions dealt to the subjects by their id
 DESCRIPTIONS = ("Vurulmayıb, rənglənib", "İdeal vəziyyətdə", "Təmir tələb edir, vuruğu var", "Yeni gəlib")
-_READ = ((False, True, None, 0), (None, None, None, 1), (True, None, True, 0), (None, None, None, 0))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    subjects = market.subjects(spark, sf_dir)
-    pairs = comparables.candidates(subjects, market.listings(spark, sf_dir), market.as_of())
+    rows = materialise(market.listings(spark, sf_dir), "listings")
+    subjects = materialise(market.subjects(spark, sf_dir, rows), "subjects")
+    pairs = comparables.candidates(subjects, rows, market.as_of())
     return subjects, comparables.score(pairs, market.as_of())
 
 
@@ -246,6 +247,24 @@ mids AS (
 VALUATIONS_SQL = "\nSELECT * FROM valued"
 
 
+def slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price against mileage over each subject's comparables, of which the policy admits 300 at most."""
+    _, scored = _pairs(spark, sf_dir)
+    return stats.theil_sen(comparables.select(scored), ["subject_id"], "mileage_km", "price", "listing_id")
+
+
+_MIDDLE = "(list_sort(list({0}))[(count({0}) + 1) // 2] + list_sort(list({0}))[count({0}) // 2 + 1]) / 2"
+SLOPES_SQL = f"""
+, p AS (SELECT subject_id, listing_id, CAST(mileage_km AS DOUBLE) AS x, price AS y FROM chosen),
+d AS (SELECT a.subject_id, (b.y - a.y) / (b.x - a.x) AS v
+  FROM p a JOIN p b ON a.subject_id = b.subject_id AND a.listing_id < b.listing_id AND a.x <> b.x),
+s AS (SELECT subject_id, {_MIDDLE.format("v")} AS slope FROM d GROUP BY 1),
+r AS (SELECT p.*, slope, y - slope * x AS rest FROM p JOIN s USING (subject_id))
+SELECT subject_id, any_value(slope) AS slope, {_MIDDLE.format("rest")} AS intercept, count(*) AS n_points, max(x) - min(x) AS x_span
+FROM r GROUP BY 1 HAVING count(*) >= 3
+"""
+
+
 def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Subjects with summary, valuation, history and the dealt details; and the moves of their comparables."""
     subjects, chosen, summary, valued = _valued(spark, sf_dir)
@@ -282,11 +301,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return facts, moves
 
 
-def _case(values: tuple, kind: str) -> str:
-    whens = " ".join(f"WHEN {i} THEN {'NULL' if v is None else str(v).lower()}" for i, v in enumerate(values))
-    return f"CAST(CASE subject_id % {len(values)} {whens} END AS {kind})"
-
-
+_READINGS = readings_sql("told_folded", "told_lower")
 FACTS_SQL = f"""
 hist AS (
   SELECT listing_id, count(*) FILTER (price <> before) AS moves,
@@ -294,9 +309,8 @@ hist AS (
       THEN (max_by(price, (observed_at, seq)) - min_by(price, (observed_at, seq))) / min_by(price, (observed_at, seq)) * 100 END AS change
   FROM (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY observed_at, seq) AS before FROM observations) GROUP BY 1
 ), facts AS (
-  SELECT *, coalesce(h.moves, 0) AS n_moves, {_case(tuple(r[0] for r in _READ), "BOOLEAN")} AS rd,
-    {_case(tuple(r[1] for r in _READ), "BOOLEAN")} AS rp, {_case(tuple(r[2] for r in _READ), "BOOLEAN")} AS rr,
-    {_case(tuple(r[3] for r in _READ), "INTEGER")} AS rc,
+  SELECT *, coalesce(h.moves, 0) AS n_moves, {_READINGS["damage"]} AS rd,
+    {_READINGS["repaint"]} AS rp, {_READINGS["needs_repair"]} AS rr, {_READINGS["claims"]} AS rc,
     subject_id % 2 = 0 AS has_records,
     (subject_id % 3 = 0)::INT + (subject_id % 2 <> 0)::INT + (subject_id % 5 = 0)::INT AS missing, subject_id % 3 AS conflicts,
     greatest(CAST(floor(epoch({_AT} - s_first_seen) / 86400) AS BIGINT), 0) AS days_listed,
@@ -304,7 +318,9 @@ hist AS (
       + CASE WHEN s_fuel <> 'UNKNOWN' THEN 8e-2 ELSE 0 END + 8e-2 + CASE WHEN s_drivetrain <> 'UNKNOWN' THEN 8e-2 ELSE 0 END
       + CASE WHEN s_body <> 'UNKNOWN' THEN 4e-2 ELSE 0 END, 4) AS specificity,
     (subject_id % 4) / 4e0 AS verified_share
-  FROM subjects JOIN summary USING (subject_id) JOIN valued USING (subject_id) LEFT JOIN hist h ON h.listing_id = subject_id
+  FROM (SELECT *, {_FOLD.format("stated")} AS told_folded, lower(stated) AS told_lower
+        FROM (SELECT *, {market._pick_sql("subject_id", DESCRIPTIONS)} AS stated FROM subjects))
+    JOIN summary USING (subject_id) JOIN valued USING (subject_id) LEFT JOIN hist h ON h.listing_id = subject_id
 ), below AS (
   SELECT *, CASE WHEN outcome = 'OK' AND s_price < low THEN (low - s_price) / low END AS under,
     CASE WHEN with_mileage >= 5 AND median_mileage_km > 0 THEN s_mileage_km / median_mileage_km END AS ratio,
@@ -471,6 +487,7 @@ FROM rated r LEFT JOIN pts p ON r.subject_id = p.subject_id LEFT JOIN cm ON r.su
 QUERIES = {
     "comparables_chosen": comparables_chosen,
     "comparables_summary": comparables_summary,
+    "stats_theil_sen": slopes,
     "valuations": valuations,
     "risk": risk,
     "ratings": ratings,
@@ -483,6 +500,7 @@ _ALL = (*_BASE, VALUED_SQL, market.OBSERVATIONS_SQL, FACTS_SQL)
 ORACLE_SQL = {
     "comparables_chosen": _twin(CHOSEN_SQL, *_BASE),
     "comparables_summary": _twin(SUMMARY_SQL, *_BASE),
+    "stats_theil_sen": _twin(SLOPES_SQL, *_BASE),
     "valuations": _twin(VALUATIONS_SQL, *_BASE, VALUED_SQL),
     "risk": _twin(RISK_SQL, *_ALL),
     "ratings": _twin(RATINGS_SQL, *_ALL, RATED_SQL),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import disclosures, normalise, vocabulary
 from ..operators import evidence, provenance, snapshots, state
 from ..session import table
 from ..sources import market, pages
-from .statistics import _AT, _twin, rounded
+from .statistics import _AT, STRETCHED_SQL, _twin, rounded, stretched
 
 _FOLD = f"trim(regexp_replace(lower(translate(coalesce({{0}}, ''), '{normalise.FOLD_FROM}', '{normalise.FOLD_TO}')), '[^a-z0-9]+', ' ', 'g'))"
 
@@ -74,20 +76,41 @@ WHERE trim(word) <> '' AND {_FOLD.format("word")} NOT IN ({_KNOWN_BODIES}) GROUP
 def document_disclosures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each document states, with one of the market's phrases appended by id."""
     phrases = F.array(*(F.lit(p) for p in _PHRASES))
-    text = F.concat_ws(" ", "text", F.element_at(phrases, (F.col("doc_id") % len(_PHRASES) + 1).cast("int")))
-    read = disclosures.read(text)
-    return table(spark, sf_dir, "documents").select("doc_id", read.alias("r"), snapshots.no_deposit(text).alias("no_deposit")).select("doc_id", "r.*", "no_deposit")
+    phrase = F.element_at(phrases, (F.col("doc_id") % len(_PHRASES) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "text", phrase).alias("stated"))
+    read = disclosures.with_readings(docs, F.col("stated"), "r")
+    return read.select("doc_id", "r.*", snapshots.no_deposit(F.col("stated")).alias("no_deposit"))
 
 
 _PHRASES = ("Vurulmayıb, rənglənib", "не битый, идеальное состояние", "после ДТП, требует ремонта", "ilkin ödəniş 5000", "boyanmayıb, vuruğu var", "")
-_STATED = {"damage": (False, False, True, None, True, None), "repaint": (True, None, None, None, False, None), "needs_repair": (None, None, True, None, None, None), "claims": (0, 1, 0, 0, 0, 0), "no_deposit": (True, True, True, False, True, True)}
 
 
-def _cases(values: tuple) -> str:
-    return " ".join(f"WHEN {i} THEN {'NULL' if v is None else str(v).lower()}" for i, v in enumerate(values))
+def _pattern_sql(patterns: list[str], folded: str, lower: str) -> str:
+    """Whether one of the patterns, none of which may touch a further letter where it is a whole word, is in either form."""
+    edge = r"[^\p{L}\p{N}_]"
+    whole = re.compile(r"\(\?<!\[.*?\]\)(.*)\(\?!\[.*?\]\)")  # how the library writes a whole word
+    found = "|".join(whole.sub(lambda m: f"(?:^|{edge}){m[1]}(?:{edge}|$)", p) for p in patterns)
+    return f"(regexp_matches({folded}, '{found}') OR regexp_matches({lower}, '{found}'))"
+
+
+def readings_sql(folded: str, lower: str) -> dict[str, str]:
+    """DuckDB: what ``disclosures.read`` finds in a text given in its folded and its lower-case form."""
+    holds = lambda patterns: _pattern_sql(patterns, folded, lower)
+    d = disclosures
+    return {
+        "damage": f"CASE WHEN {holds(d.DAMAGE_DENIED)} THEN false WHEN {holds(d.DAMAGE_STATED)} THEN true END",
+        "repaint": f"CASE WHEN {holds(d.REPAINT_DENIED)} THEN false WHEN {holds(d.REPAINT_STATED)} THEN true END",
+        "needs_repair": f"CASE WHEN {holds(d.NEEDS_REPAIR)} THEN true END",
+        "claims": "CAST(" + " + ".join(f"{holds([p])}::INT" for p in d.STRONG_CLAIMS) + " AS INTEGER)",
+    }
 
 
-DISCLOSURES_SQL = "SELECT doc_id, " + ", ".join(f"CASE doc_id % 6 {_cases(v)} END AS {k}" for k, v in _STATED.items()) + " FROM documents"
+DISCLOSURES_SQL = f"""
+WITH t AS (SELECT doc_id, text || ' ' || {market._pick_sql("doc_id", _PHRASES)} AS stated FROM documents),
+f AS (SELECT doc_id, {_FOLD.format("stated")} AS folded, lower(stated) AS low FROM t)
+SELECT doc_id, {", ".join(f"{v} AS {k}" for k, v in readings_sql("folded", "low").items())},
+  NOT ({" OR ".join(f"contains(low, '{p}')" for p in snapshots.DEPOSIT_PHRASES)}) AS no_deposit FROM f
+"""
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,27 +139,17 @@ FROM (SELECT conv_id, turn, role || ': ' || coalesce(text, '') AS line FROM conv
 
 
 def quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Issues per model over listings with prices and years stretched, so that every check fires."""
-    rows = market.listings(spark, sf_dir).withColumns(
-        {"price": F.col("price") * 30 - 30_000, "mileage_km": F.col("mileage_km") * 8, "model_year": F.col("model_year") - 30,
-         "model": F.when(F.col("model") != "ECONOMY", F.col("model"))}
-    )
+    """Issues per model over the stretched listings."""
+    rows = stretched(market.listings(spark, sf_dir))
     found = rows.select("model_key", F.explode(state.issues(F.year("last_seen"))).alias("issue"))
     return found.groupBy("model_key", "issue").agg(F.count("*").alias("n"))
 
 
-QUALITY_SQL = """
-, s AS (SELECT model_key, price * 30 - 30000 AS price, mileage_km * 8 AS km, model_year - 30 AS y, year(last_seen) AS now,
-  CASE WHEN model <> 'ECONOMY' THEN model END AS model FROM listings)
-SELECT model_key, issue, count(*) AS n FROM (
-  SELECT model_key, unnest([CASE WHEN price < 300 OR price > 3000000 THEN 'IMPLAUSIBLE_PRICE' END,
-    CASE WHEN km > 1500000 THEN 'IMPLAUSIBLE_MILEAGE' END, CASE WHEN y < 1950 OR y > now + 2 THEN 'IMPLAUSIBLE_YEAR' END,
-    CASE WHEN model IS NULL THEN 'UNRESOLVABLE' END]) AS issue FROM s) WHERE issue IS NOT NULL GROUP BY 1, 2
-"""
+QUALITY_SQL = "\nSELECT model_key, issue, count(*) AS n FROM issues WHERE issue IS NOT NULL GROUP BY 1, 2\n"
 
 
-def _print(*cols: str) -> object:
-    return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in cols)), 256), 1, 32)
+def _print(*cols: str) -> Column:
+    return normalise.fingerprint([F.col(c) for c in cols], F.lit(""))
 
 
 def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,16 +241,46 @@ RATES_SQL = " UNION ALL ".join(
 )
 
 
-def price_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    since = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
-    rows = state.price_drops(market.observations(spark, sf_dir), market.listings(spark, sf_dir), since)
+def removal_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The STATUS_CHANGE rows of the same run's removals."""
+    rows = market.listings(spark, sf_dir)
+    seen = rows.filter(F.col("last_seen") >= snapshots.days_before(market.as_of(), 30)).select("listing_id")
+    return state.removal_log(state.mark_removed(rows, seen, market.as_of()), market.as_of())
+
+
+REMOVAL_LOG_SQL = f"""
+SELECT listing_id, price, mileage_km, 'REMOVED' AS status, 'STATUS_CHANGE' AS change_kind, {_AT} AS observed_at FROM listings
+WHERE status = 'ACTIVE' AND last_seen < {_AT} - INTERVAL 30 DAY
+"""
+
+
+def _since() -> Column:
+    return F.lit("2024-01-30 00:00:00").cast("timestamp_ntz")
+
+
+def price_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = state.price_changes(market.observations(spark, sf_dir), market.listings(spark, sf_dir), _since())
     return rows.select("listing_id", "observed_at", "price", "listed_price", "model_key", "status", "seq")
 
 
-DROPS_SQL = """
+CHANGES_SQL = """
 SELECT o.listing_id, observed_at, o.price, l.price AS listed_price, model_key, status, seq
 FROM observations o JOIN listings l ON o.listing_id = l.listing_id
-WHERE observed_at > TIMESTAMP '2024-01-30' AND change_kind = 'PURCHASE' ORDER BY observed_at DESC, seq DESC LIMIT 500
+WHERE observed_at > TIMESTAMP '2024-01-30' AND change_kind = 'PRICE_CHANGE' ORDER BY observed_at DESC, seq DESC LIMIT 500
+"""
+
+
+def price_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = state.price_drops(market.observations(spark, sf_dir), market.listings(spark, sf_dir), _since())
+    return rows.select("listing_id", "observed_at", "price", "price_before", "listed_price", "model_key", "status", "seq")
+
+
+DROPS_SQL = """
+, steps AS (SELECT *, lag(price) OVER (PARTITION BY listing_id ORDER BY observed_at, seq) AS price_before FROM observations)
+SELECT o.listing_id, observed_at, o.price, price_before, l.price AS listed_price, model_key, status, seq
+FROM steps o JOIN listings l ON o.listing_id = l.listing_id
+WHERE observed_at > TIMESTAMP '2024-01-30' AND change_kind = 'PRICE_CHANGE' AND o.price < price_before
+ORDER BY observed_at DESC, seq DESC LIMIT 500
 """
 
 
@@ -284,36 +327,37 @@ FROM r GROUP BY 1, 2
 
 
 def exchange_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders converted by the latest rate of their priority up to their date; rates from the lineitems' daily means."""
+    """Orders in P by the latest daily rate up to their date: O is quoted in P, F the other way round."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("currency"), F.col("o_orderdate").alias("at"))
+    direct = F.col("l_linestatus") == "O"
     rates = (
         table(spark, sf_dir, "lineitem")
-        .filter(F.day("l_shipdate") == 1)
-        .groupBy(F.col("l_linestatus").alias("currency"), F.col("l_shipdate").alias("rate_at"))
-        .agg((F.max("l_quantity") / 10).alias("rate"))
+        .groupBy("l_linestatus", F.col("l_shipdate").alias("rate_at"))
+        .agg((F.sum("l_quantity") / (F.count("*") * 10)).alias("rate"))
+        .select(F.when(direct, "O").otherwise("P").alias("base"), F.when(direct, "P").otherwise("F").alias("quote"), "rate", "rate_at")
     )
-    return rounded(provenance.convert(orders, rates).select("o_orderkey", "currency", "amount", "converted"))
+    return rounded(provenance.convert(orders, rates, "P").select("o_orderkey", "currency", "amount", "converted"))
 
 
 FX_SQL = """
-WITH rates AS (SELECT l_linestatus AS c, l_shipdate AS t, max(l_quantity) / 10 AS rate FROM lineitem WHERE day(l_shipdate) = 1 GROUP BY 1, 2)
-SELECT o_orderkey, o_orderstatus AS currency, o_totalprice AS amount, round(o_totalprice * rate, 4) AS converted
+WITH rates AS (SELECT l_linestatus AS c, l_shipdate AS t, CASE WHEN l_linestatus = 'O' THEN sum(l_quantity) / (count(*) * 10)
+    ELSE 1e0 / (sum(l_quantity) / (count(*) * 10)) END AS rate FROM lineitem GROUP BY 1, 2)
+SELECT o_orderkey, o_orderstatus AS currency, o_totalprice AS amount,
+  round(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE o_totalprice * rate END, 4) AS converted
 FROM orders ASOF LEFT JOIN rates ON o_orderstatus = c AND o_orderdate >= t
 """
 
 
 def cited_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order totals that no part price times ten of the same last digit comes within two per cent of."""
-    key = lambda c: F.col(c) % 10
-    claims = table(spark, sf_dir, "orders").select("o_orderkey", key("o_orderkey").alias("k"), F.col("o_totalprice").alias("value"))
-    known = table(spark, sf_dir, "part").select(key("p_partkey").alias("k"), (F.col("p_retailprice") * 10).alias("value")).distinct()
-    return evidence.unknown_numbers(claims, known, "k").select("o_orderkey", "value")
+    """Order totals that no part price times ten comes within two per cent of."""
+    claims = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
+    known = table(spark, sf_dir, "part").select((F.col("p_retailprice") * 10).alias("value")).distinct()
+    return evidence.unknown_numbers(claims, known)
 
 
 CITED_SQL = """
 SELECT o_orderkey, o_totalprice AS value FROM orders o WHERE NOT EXISTS (
-  SELECT 1 FROM part p WHERE p_partkey % 10 = o_orderkey % 10
-    AND abs(o_totalprice - p_retailprice * 10) <= greatest(abs(o_totalprice), abs(p_retailprice * 10), 1e0) * 2e-2)
+  SELECT 1 FROM part p WHERE abs(o_totalprice - p_retailprice * 10) <= greatest(abs(o_totalprice), abs(p_retailprice * 10), 1e0) * 2e-2)
 """
 
 QUERIES = {
@@ -329,6 +373,8 @@ QUERIES = {
     "page_fields": page_fields,
     "page_links": page_links,
     "extraction_rates": extraction_rates,
+    "removal_log": removal_log,
+    "price_changes": price_changes,
     "price_drops": price_drops,
     "orphan_configurations": orphan_configurations,
     "attribute_values": attribute_values,
@@ -343,12 +389,14 @@ ORACLE_SQL = {
     "document_disclosures": DISCLOSURES_SQL,
     "numbers": NUMBERS_SQL,
     "transcripts": TRANSCRIPTS_SQL,
-    "quality_issues": _twin(QUALITY_SQL, market.LISTINGS_SQL),
+    "quality_issues": _twin(QUALITY_SQL, market.LISTINGS_SQL, STRETCHED_SQL),
     "state_upsert": _twin(UPSERT_SQL, market.LISTINGS_SQL),
     "state_removed": _twin(REMOVED_SQL, market.LISTINGS_SQL),
     "page_fields": PAGE_FIELDS_SQL,
     "page_links": LINKS_SQL,
     "extraction_rates": RATES_SQL,
+    "removal_log": _twin(REMOVAL_LOG_SQL, market.LISTINGS_SQL),
+    "price_changes": _twin(CHANGES_SQL, market.LISTINGS_SQL, market.OBSERVATIONS_SQL),
     "price_drops": _twin(DROPS_SQL, market.LISTINGS_SQL, market.OBSERVATIONS_SQL),
     "orphan_configurations": ORPHANS_SQL,
     "attribute_values": VALUES_SQL,

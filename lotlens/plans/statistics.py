@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import snapshots, stats
-from ..session import table
+from ..operators import snapshots, state, stats
+from ..session import materialise, table
 from ..sources import market
 
-NUDGE = 0.0000003  # moves values that end in a 5 off the edge where the last bit decides the rounding
-LATEST = 300  # the policy's cap on a comparable set
 
-
-def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Doubles rounded, as sums of doubles vary in the last bits with the partitioning."""
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 4, exact: tuple[str, ...] = ()) -> DataFrame:
+    """Doubles rounded, as sums of doubles vary in the last bits with the partitioning; not those named ``exact``."""
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" and c not in exact else F.col(c) for c, t in df.dtypes))
 
 
 def _twin(select: str, *views: str) -> str:
@@ -23,17 +20,18 @@ def _twin(select: str, *views: str) -> str:
 
 
 def stats_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.spread(market.listings(spark, sf_dir), ["model_key"], "price"))
+    return rounded(stats.spread(market.listings(spark, sf_dir), ["model_key"], "price", money=True), exact=("mean",))
 
 
 SPREAD_SQL = """
-SELECT model_key, n, round(mean, 4) AS mean, round(median, 4) AS median, round(mad, 4) AS mad,
+SELECT model_key, n, mean, round(median, 4) AS median, round(mad, 4) AS mad,
   round(sigma, 4) AS sigma, round(CASE WHEN n < 2 OR median = 0 THEN 0 ELSE sigma / abs(median) END, 4) AS cv
 FROM (
   SELECT *, CASE WHEN n < 2 THEN 0 WHEN mad > 0 THEN CAST(1.4826 AS DOUBLE) * mad
                  ELSE CAST(1.2533 AS DOUBLE) * mean_dev END AS sigma
   FROM (
-    SELECT l.model_key, count(*) AS n, avg(price) AS mean, any_value(mid) AS median,
+    SELECT l.model_key, count(*) AS n,
+      CAST(sum(CAST(round(price * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS mean, any_value(mid) AS median,
       median(abs(price - mid)) AS mad, avg(abs(price - mid)) AS mean_dev
     FROM listings l JOIN (SELECT model_key, median(price) AS mid FROM listings GROUP BY 1) m
       ON l.model_key = m.model_key
@@ -136,27 +134,6 @@ FROM subjects JOIN listings ON model_key = s_model_key GROUP BY 1
 """
 
 
-def stats_theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Price against mileage over the latest listings of each model and region."""
-    latest = Window.partitionBy("model_key", "region").orderBy(F.desc("last_seen"), F.desc("listing_id"))
-    rows = market.listings(spark, sf_dir).withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= LATEST)
-    found = stats.theil_sen(rows, ["model_key", "region"], "mileage_km", "price", "listing_id")
-    return rounded(found.withColumn("intercept", F.col("intercept") + NUDGE))
-
-
-THEIL_SEN_SQL = f"""
-, p AS (SELECT * FROM (SELECT model_key, region, listing_id, CAST(mileage_km AS DOUBLE) AS x, price AS y,
-    row_number() OVER (PARTITION BY model_key, region ORDER BY last_seen DESC, listing_id DESC) AS rn FROM listings)
-  WHERE rn <= {LATEST}),
-s AS (SELECT a.model_key, a.region, median((b.y - a.y) / (b.x - a.x)) AS slope
-  FROM p a JOIN p b ON a.model_key = b.model_key AND a.region = b.region AND a.listing_id < b.listing_id AND a.x <> b.x
-  GROUP BY 1, 2)
-SELECT p.model_key, p.region, round(any_value(slope), 4) AS slope, round(median(y - slope * x) + {NUDGE}, 4) AS intercept,
-  count(*) AS n_points, round(max(x) - min(x), 4) AS x_span
-FROM p JOIN s ON p.model_key = s.model_key AND p.region = s.region GROUP BY 1, 2 HAVING count(*) >= 3
-"""
-
-
 def stats_effective_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = market.listings(spark, sf_dir).groupBy("model_key", "region")
     return rounded(
@@ -181,7 +158,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def market_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_snapshots(spark, sf_dir).withColumn("mean", F.col("mean") + NUDGE))
+    return rounded(_snapshots(spark, sf_dir), exact=("mean",))
 
 
 _AT = f"TIMESTAMP '{market.AS_OF}'"
@@ -206,7 +183,8 @@ scoped AS (
   WHERE NOT out OR stays < 5
 ), quants AS ({quantiles_sql("kept", "model_key, scope, window_days", "price", "1", "")}
 ), kmid AS (
-  SELECT model_key, scope, window_days, median(price) AS m, avg(price) AS mean, count(*) AS k FROM kept GROUP BY 1, 2, 3
+  SELECT model_key, scope, window_days, median(price) AS m,
+    CAST(sum(CAST(round(price * 100) AS BIGINT)) AS DOUBLE) / (count(*) * 100) AS mean, count(*) AS k FROM kept GROUP BY 1, 2, 3
 ), level AS (
   SELECT s.model_key, s.scope, s.window_days, any_value(mean) AS mean,
     CASE WHEN any_value(k) < 2 OR any_value(m) = 0 THEN 0
@@ -227,34 +205,36 @@ scoped AS (
 MARKET_SNAPSHOTS_SQL = f"""
 SELECT model_key, scope, window_days, median_mileage_km, round(median_days_on_market, 4) AS median_days_on_market,
   new_listings, removed_listings, sample_size, round(p10, 4) AS p10, round(p25, 4) AS p25, round(p50, 4) AS p50,
-  round(p75, 4) AS p75, round(p90, 4) AS p90, round(mean + {NUDGE}, 4) AS mean, round(dispersion, 4) AS dispersion
+  round(p75, 4) AS p75, round(p90, 4) AS p90, mean, round(dispersion, 4) AS dispersion
 FROM snapshots
 """
 
 
-def _national(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 180-day national snapshot, the only one that finds and recommendations read."""
-    rows = snapshots.build(market.listings(spark, sf_dir), market.as_of(), windows=(180,))
-    return rows.filter(F.col("scope") == snapshots.NATIONAL)
+def _national(rows: DataFrame) -> DataFrame:
+    """The 180-day national snapshot of all listings, the only one that finds and recommendations read."""
+    return snapshots.build(rows, market.as_of(), windows=(180,), scopes=(snapshots.NATIONAL,))
 
 
 def finds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(snapshots.finds(market.listings(spark, sf_dir), _national(spark, sf_dir)))
+    rows = materialise(market.listings(spark, sf_dir), "listings")
+    return rounded(snapshots.finds(rows, _national(rows)))
 
 
-FINDS_SQL = """
+_DEPOSIT = " OR ".join(f"contains(lower(description), '{p}')" for p in snapshots.DEPOSIT_PHRASES)
+FINDS_SQL = f"""
 SELECT listing_id, l.model_key, city, round(price, 4) AS price, round(p50, 4) AS median_price, sample_size,
   round((p50 - price) / p50 * 100, 4) AS below_median_pct,
   round(CASE WHEN mileage_km <> 0 THEN (mileage_km - median_mileage_km) / nullif(median_mileage_km, 0) * 100 END, 4) AS mileage_vs_median_pct
 FROM listings l JOIN snapshots s ON l.model_key = s.model_key AND scope = 'ALL' AND window_days = 180
 WHERE status = 'ACTIVE' AND price > 0 AND damage IS FALSE AND sample_size >= 8 AND price < p25
-  AND (p50 - price) / p50 <= 0.40
+  AND (p50 - price) / p50 <= 0.40 AND NOT ({_DEPOSIT})
 ORDER BY (p50 - price) / p50 DESC, listing_id LIMIT 15
 """
 
 
 def discover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(snapshots.discover(market.listings(spark, sf_dir), _national(spark, sf_dir), 20_000.0, 40_000.0))
+    rows = materialise(market.listings(spark, sf_dir), "listings")
+    return rounded(snapshots.discover(rows, _national(rows), 20_000.0, 40_000.0))
 
 
 DISCOVER_SQL = """
@@ -321,12 +301,27 @@ FROM h
 """
 
 
+def stretched(rows: DataFrame) -> DataFrame:
+    """Listings with prices, mileages and years stretched, so that every plausibility check fires."""
+    return rows.withColumns(
+        {"price": F.col("price") * 30 - 30_000, "mileage_km": F.col("mileage_km") * 8, "model_year": F.col("model_year") - 30,
+         "model": F.when(F.col("model") != "ECONOMY", F.col("model"))}
+    )
+
+
+STRETCHED_SQL = """
+stretched AS (SELECT listing_id, model_key, last_seen, price * 30 - 30000 AS price, mileage_km * 8 AS km, model_year - 30 AS y,
+  year(last_seen) AS now, CASE WHEN model <> 'ECONOMY' THEN model END AS model FROM listings),
+issues AS (SELECT listing_id, model_key, last_seen, unnest([CASE WHEN price < 300 OR price > 3000000 THEN 'IMPLAUSIBLE_PRICE' END,
+    CASE WHEN km > 1500000 THEN 'IMPLAUSIBLE_MILEAGE' END, CASE WHEN y < 1950 OR y > now + 2 THEN 'IMPLAUSIBLE_YEAR' END,
+    CASE WHEN model IS NULL THEN 'UNRESOLVABLE' END]) AS issue FROM stretched)"""
+
+
 def market_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(
-        snapshots.overview(
-            market.listings(spark, sf_dir), _snapshots(spark, sf_dir), market.observations(spark, sf_dir), market.as_of(), _observed_to()
-        )
-    )
+    rows = materialise(market.listings(spark, sf_dir), "listings")
+    quality = stretched(rows).select(F.col("last_seen").alias("observed_at"), F.explode(state.issues(F.year("last_seen"))))
+    built = snapshots.build(rows, market.as_of())
+    return rounded(snapshots.overview(rows, built, market.observations(spark, sf_dir), quality, market.as_of(), _observed_to()))
 
 
 OVERVIEW_SQL = f"""
@@ -335,9 +330,11 @@ SELECT * FROM (
     count(*) FILTER (first_seen >= {_AT} - INTERVAL 1 DAY) AS new_24h,
     count(*) FILTER (status = 'REMOVED' AND last_seen >= {_AT} - INTERVAL 1 DAY) AS removed_24h,
     count(DISTINCT model_key) AS configurations FROM listings),
- (SELECT count(*) FILTER (sample_size >= 8) AS usable_snapshots,
+ (SELECT count(*) FILTER (sample_size >= 5 AND scope = 'ALL') AS usable_snapshots,
     round(quantile_cont(median_days_on_market, 0.5), 4) AS median_days_on_market FROM snapshots),
- (SELECT count(*) FILTER (observed_at >= TIMESTAMP '{market.OBSERVED_TO}' - INTERVAL 1 DAY) AS changes_24h FROM observations)
+ (SELECT count(*) FILTER (observed_at >= TIMESTAMP '{market.OBSERVED_TO}' - INTERVAL 1 DAY AND change_kind = 'PRICE_CHANGE')
+    AS price_changes_24h FROM observations),
+ (SELECT count(*) FILTER (issue IS NOT NULL AND last_seen >= {_AT} - INTERVAL 7 DAY) AS quality_issues_7d FROM issues)
 """
 
 QUERIES = {
@@ -346,7 +343,6 @@ QUERIES = {
     "stats_weighted_quantiles": stats_weighted_quantiles,
     "stats_interpolated_quantiles": stats_interpolated_quantiles,
     "stats_percentile_rank": stats_percentile_rank,
-    "stats_theil_sen": stats_theil_sen,
     "stats_effective_size": stats_effective_size,
     "market_snapshots": market_snapshots,
     "finds": finds,
@@ -363,7 +359,6 @@ ORACLE_SQL = {
     "stats_weighted_quantiles": _twin(WEIGHTED_QUANTILES_SQL, market.LISTINGS_SQL),
     "stats_interpolated_quantiles": INTERPOLATED_SQL,
     "stats_percentile_rank": _twin(PERCENTILE_RANK_SQL, market.LISTINGS_SQL, market.SUBJECTS_SQL),
-    "stats_theil_sen": _twin(THEIL_SEN_SQL, market.LISTINGS_SQL),
     "stats_effective_size": _twin(EFFECTIVE_SQL, market.LISTINGS_SQL),
     "market_snapshots": _twin(MARKET_SNAPSHOTS_SQL, market.LISTINGS_SQL, SNAPSHOTS_SQL),
     "finds": _twin(FINDS_SQL, market.LISTINGS_SQL, SNAPSHOTS_SQL),
@@ -371,5 +366,5 @@ ORACLE_SQL = {
     "budgets": BUDGETS_SQL,
     "price_moves": _twin(PRICE_MOVES_SQL, market.LISTINGS_SQL, market.OBSERVATIONS_SQL),
     "price_history": _twin(PRICE_HISTORY_SQL, market.OBSERVATIONS_SQL),
-    "market_overview": _twin(OVERVIEW_SQL, market.LISTINGS_SQL, SNAPSHOTS_SQL, market.OBSERVATIONS_SQL),
+    "market_overview": _twin(OVERVIEW_SQL, market.LISTINGS_SQL, SNAPSHOTS_SQL, market.OBSERVATIONS_SQL, STRETCHED_SQL),
 }

@@ -7,7 +7,7 @@ Each view has a twin in DuckDB SQL beside it (``LISTINGS_SQL`` and so on) for th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
@@ -22,6 +22,8 @@ FUELS = ("PETROL", "LPG", "HYBRID", "PLUGIN_HYBRID", "ELECTRIC", "DIESEL", "UNKN
 GEARS = ("AUTOMATIC", "MANUAL", "CVT")
 DRIVES = ("FWD", "RWD", "AWD", "UNKNOWN")
 BODIES = ("SEDAN", "WAGON", "SUV", "CROSSOVER", "UNKNOWN")
+TEXTS = ("Vurulmayıb, rənglənib", "İdeal vəziyyətdə", "Təmir tələb edir, vuruğu var", "Yeni gəlib", "ilkin ödəniş 5000", "")
+CHANGES = {"view": "FIRST_SEEN", "purchase": "PRICE_CHANGE", "click": "MILEAGE_CHANGE", "signup": "DESCRIPTION_CHANGE", "error": "STATUS_CHANGE"}
 
 
 def _pick(key: str, names: tuple[str, ...]) -> Column:
@@ -38,9 +40,8 @@ def as_of() -> Column:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per listing: configuration, price, mileage, place, dates, status, disclosures."""
-    lines = table(spark, sf_dir, "lineitem")
-    first = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*_TIE))
-    lines = lines.withColumn("_rn", first).filter("_rn = 1")
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*_TIE)).alias("first"))
+    lines = lines.select("l_orderkey", "l_linenumber", "first.*")
     places = (
         table(spark, sf_dir, "supplier")
         .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
@@ -76,6 +77,7 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.least("o_orderdate", "l_shipdate").alias("first_seen"),
             F.greatest("o_orderdate", "l_shipdate").alias("last_seen"),
             F.when(F.col("l_linestatus") == "O", "ACTIVE").otherwise("REMOVED").alias("status"),
+            _pick("l_suppkey", TEXTS).alias("description"),
             F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False).alias("damage"),
         )
     )
@@ -99,6 +101,7 @@ lot_first AS (
     CAST((51 - l_quantity) * 4000 AS BIGINT) AS mileage_km, n_name AS city, r_name AS region,
     least(o_orderdate, l_shipdate) AS first_seen, greatest(o_orderdate, l_shipdate) AS last_seen,
     CASE WHEN l_linestatus = 'O' THEN 'ACTIVE' ELSE 'REMOVED' END AS status,
+    {_pick_sql("l_suppkey", TEXTS)} AS description,
     CASE l_returnflag WHEN 'R' THEN true WHEN 'A' THEN false END AS damage
   FROM lot_first
   JOIN orders ON l_orderkey = o_orderkey
@@ -115,10 +118,10 @@ SUBJECT_FIELDS = (
 )
 
 
-def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The items to appraise: each seller's latest listing (ties: the largest id)."""
+def subjects(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """The items to appraise: each seller's latest listing (ties: the largest id), out of ``rows``, all listings."""
     latest = F.struct("last_seen", "listing_id")
-    rows = listings(spark, sf_dir)
+    rows = listings(spark, sf_dir) if rows is None else rows
     return (
         rows.withColumn("_all", F.struct(*rows.columns))
         .groupBy("seller_id")
@@ -144,13 +147,14 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") * 10 + F.col("event_id") % 7 + 1).alias("listing_id"),
         F.col("ts").alias("observed_at"),
         F.col("value").alias("price"),
-        F.upper("event_type").alias("change_kind"),
+        F.element_at(F.create_map(*(F.lit(x) for pair in CHANGES.items() for x in pair)), F.col("event_type")).alias("change_kind"),
         F.col("event_id").alias("seq"),
     )
 
 
-OBSERVATIONS_SQL = """
+_KINDS = " ".join(f"WHEN '{event}' THEN '{kind}'" for event, kind in CHANGES.items())
+OBSERVATIONS_SQL = f"""
 observations AS (
-  SELECT user_id * 10 + event_id % 7 + 1 AS listing_id, ts AS observed_at, value AS price, upper(event_type) AS change_kind, event_id AS seq
+  SELECT user_id * 10 + event_id % 7 + 1 AS listing_id, ts AS observed_at, value AS price, CASE event_type {_KINDS} END AS change_kind, event_id AS seq
   FROM events
 )"""
