@@ -41,6 +41,8 @@ MAX_TIER = 3
 WINDOW_DAYS = 180
 MOST_CANDIDATES = 2000
 
+SALTS = 32
+
 # Closeness of two different members
 BODY_AFFINITY = {
     ("CROSSOVER", "SUV"): 0.8,
@@ -156,11 +158,16 @@ def bare_url(url: Column) -> Column:
 def candidates(subjects: DataFrame, listings: DataFrame, as_of: Column, most: int = MOST_CANDIDATES) -> DataFrame:
     """The latest ``most`` listings of each subject's model inside the window, subject columns beside them.
 
-    The cap is applied per model, before the join, so a popular model costs one sorted pass.
+    The cap is applied per model, before the join: in each of SALTS parts of a model first, so that no
+    task sorts a popular model whole.
     """
     seen = listings.filter((F.col("last_seen") >= days_before(as_of, WINDOW_DAYS)) & (F.col("price") > 0))
-    latest = Window.partitionBy("model_key").orderBy(F.desc("last_seen"), F.desc("listing_id"))
-    capped = seen.withColumn("_rn", F.row_number().over(latest)).filter(F.col("_rn") <= most).drop("_rn")
+    newest = [F.desc("last_seen"), F.desc("listing_id")]
+    part = Window.partitionBy("model_key", F.pmod("listing_id", F.lit(SALTS))).orderBy(*newest)
+    whole = Window.partitionBy("model_key").orderBy(*newest)
+    capped = seen
+    for window in (part, whole):
+        capped = capped.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= most).drop("_rn")
     return capped.join(subjects, F.col("model_key") == F.col("s_model_key"))
 
 

@@ -265,9 +265,12 @@ FROM r GROUP BY 1 HAVING count(*) >= 3
 """
 
 
-def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Subjects with summary, valuation, history and the dealt details; and the moves of their comparables."""
-    subjects, chosen, summary, valued = _valued(spark, sf_dir)
+def _facts(spark: SparkSession, sf_dir: str, made: tuple[DataFrame, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Subjects with summary, valuation, history and the dealt details; and the moves of their comparables.
+
+    ``made``: what ``_valued`` gave, if it was asked already.
+    """
+    subjects, chosen, summary, valued = made or _valued(spark, sf_dir)
     history = snapshots.history(market.observations(spark, sf_dir)).select("listing_id", "moves", "total_change_pct")
     fields = {n: F.col(f"s_{n}") for n in normalise.SPECIFICITY if n != "engine_code"}
     key = F.col("subject_id")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import appraisal, ingestion, statistics
+from . import appraisal, ingestion, services, statistics
 
-_MODULES = (statistics, appraisal, ingestion)
+_MODULES = (statistics, appraisal, ingestion, services)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
