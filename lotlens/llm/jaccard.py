@@ -22,6 +22,8 @@ BLOCK_SETS = 256
 BUCKET_SIGNATURES = 1_000_000
 HELD_SIGNATURES = 200_000
 HOT_SETS = 1000
+BUILT_BYTES = 8 << 20
+SHIPPED = 10  # only blocks of like sizes meet, so a whole component ships a part of n * (1 + b) sets
 SPLIT_FROM = 1.0  # a component is split where comparing it whole costs this many times as much
 
 
@@ -143,7 +145,7 @@ def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame) -> D
         .groupBy("label")
         .agg(F.sum("m").alias("held"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
     )
-    both = large.join(cost, "label").filter(f"n * n > {SPLIT_FROM} * pairs and n * (1 + blocks) > {SPLIT_FROM} * 2 * held")
+    both = large.join(cost, "label").filter(f"n * n > {SPLIT_FROM} * pairs and n * (1 + blocks) > {SPLIT_FROM} * {SHIPPED} * held")
     sparse = materialise(both.select("label"), "sparse")
     if sparse.isEmpty():
         return whole
@@ -237,25 +239,26 @@ def _verify(docs: DataFrame, members: DataFrame, least: int, words: int) -> Data
     pairs = pairs.select("cluster", "block_a", "block_b")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cluster", "block", "id", "copies", "elements", "clusters"]
+        kinds = [pa.int64()] * 4 + [pa.binary()] * 2
+
+        def packed(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [()] * 6, kinds)], names=names)
+
         for batch in batches:
             sets = part_enum.shingle_sets(batch.column("_text").to_pylist(), words)
-            rows = []
-            for i, (key, places) in enumerate(zip(batch.column("set_key").to_pylist(), batch.column("places").to_pylist())):
-                if len(sets[i]) and key == part_enum.set_key(sets[i]):
+            columns = [batch.column(c).to_pylist() for c in ("_id", "copies", "set_key", "places")]
+            rows, size = [], 0
+            for elements, i, copies, key, places in zip(sets, *columns):
+                if len(elements) and key == part_enum.set_key(elements):
                     inside = np.unique(np.array([p["cluster"] for p in places], np.int64)).tobytes()
-                    rows += [(p["cluster"], p["block"], i, sets[i].tobytes(), inside) for p in places]
-            cluster, block, at, elements, inside = zip(*rows) if rows else ((),) * 5
-            own = batch.select(["_id", "copies"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cluster, pa.int64()),
-                    pa.array(block, pa.int64()),
-                    *own.columns,
-                    pa.array(elements, pa.binary()),
-                    pa.array(inside, pa.binary()),
-                ],
-                names=["cluster", "block", "id", "copies", "elements", "clusters"],
-            )
+                    for p in places:
+                        rows.append((p["cluster"], p["block"], i, copies, elements.tobytes(), inside))
+                        size += elements.nbytes + len(inside)
+                        if size > BUILT_BYTES:
+                            yield packed(rows)
+                            rows, size = [], 0
+            yield packed(rows)
 
     def gather(table: pa.Table) -> pa.Table:
         once = {(i, e): n for n, (i, e) in enumerate(zip(table["id"].to_pylist(), table["elements"].to_pylist()))}
