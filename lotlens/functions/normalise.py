@@ -78,7 +78,7 @@ def body(raw: Column) -> Column:
     key = lookup_key(raw)
     order = list(V.BODIES)
     ranks = V.spellings({name: keys for name, keys in V.BODIES.items()})
-    rank_of = F.create_map(*(F.lit(x) for k, name in ranks.items() for x in (k, order.index(name))))
+    rank_of = V.as_map({k: order.index(name) for k, name in ranks.items()}, "int")
     best = F.array_min(F.filter(F.transform(F.split(key, " "), lambda w: F.try_element_at(rank_of, w)), lambda r: r.isNotNull()))
     worded = F.try_element_at(F.array(*(F.lit(o) for o in order)), best + 1)
     return F.coalesce(V.look_up(V.BODIES, key), worded, F.lit("UNKNOWN"))

@@ -5,6 +5,8 @@ The tables are small and fixed, so a lookup is one map access in the same stage
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -179,8 +181,9 @@ def spellings(table: dict[str, str]) -> dict[str, str]:
     return {key: member for member, keys in table.items() for key in keys.split(", ")}
 
 
-def as_map(found: dict[str, str]) -> Column:
-    return F.create_map(*(F.lit(x) for pair in found.items() for x in pair))
+def as_map(found: dict, kind: str = "string") -> Column:
+    """``found`` as one literal map: the JSON is read once, when the plan is optimised."""
+    return F.from_json(F.lit(json.dumps(found, ensure_ascii=False)), f"map<string,{kind}>")
 
 
 def look_up(table: dict[str, str], key: Column) -> Column:

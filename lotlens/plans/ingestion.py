@@ -336,14 +336,14 @@ def exchange_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg((F.sum("l_quantity") / (F.count("*") * 10)).alias("rate"))
         .select(F.when(direct, "O").otherwise("P").alias("base"), F.when(direct, "P").otherwise("F").alias("quote"), "rate", "rate_at")
     )
-    return rounded(provenance.convert(orders, rates, "P").select("o_orderkey", "currency", "amount", "converted"))
+    return provenance.convert(orders, rates, "P").select("o_orderkey", "currency", "amount", "converted")
 
 
 FX_SQL = """
 WITH rates AS (SELECT l_linestatus AS c, l_shipdate AS t, CASE WHEN l_linestatus = 'O' THEN sum(l_quantity) / (count(*) * 10)
     ELSE 1e0 / (sum(l_quantity) / (count(*) * 10)) END AS rate FROM lineitem GROUP BY 1, 2)
 SELECT o_orderkey, o_orderstatus AS currency, o_totalprice AS amount,
-  round(CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE o_totalprice * rate END, 4) AS converted
+  CASE WHEN o_orderstatus = 'P' THEN o_totalprice ELSE o_totalprice * rate END AS converted
 FROM orders ASOF LEFT JOIN rates ON o_orderstatus = c AND o_orderdate >= t
 """
 

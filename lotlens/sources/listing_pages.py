@@ -41,10 +41,10 @@ def payload(html: Column) -> Column:
     return F.map_filter(found, lambda _, v: v.isNotNull())
 
 
-def fields(raw: Column) -> dict[str, Column]:
-    """The configuration that a payload states, in canonical members."""
+def fields(raw: Column, make: Column | None = None) -> dict[str, Column]:
+    """The configuration that a payload states, in canonical members; ``make`` if it is worked out already."""
     text = lambda n: F.try_element_at(raw, F.lit(n))
-    make = normalise.make(text("make"))
+    make = normalise.make(text("make")) if make is None else make
     return {
         "make": make,
         "model": normalise.model(make, text("model")),
@@ -64,19 +64,24 @@ def parse(landed: DataFrame) -> DataFrame:
     A page without an identifier or a price gives a row with errors and no listing_id.  The
     structured condition is read before the prose.
     """
-    rows = landed.select("page_id", "url", payload(F.col("html")).alias("raw"))
     text = lambda n: F.try_element_at(F.col("raw"), F.lit(n))
+    rows = landed.select("page_id", "url", payload(F.col("html")).alias("raw"))
+    rows = disclosures.with_readings(disclosures.with_readings(rows, text("condition"), "_box"), text("description"), "_prose")
     amount, currency = normalise.money(text("price"))
-    known = fields(F.col("raw"))
-    identifier = F.coalesce(text("external_id"), normalise.id_from_url(F.col("url")))
+    make = normalise.make(text("make"))
+    rows = rows.withColumns(
+        {"_amount": amount, "_make": make, "_city": normalise.city(text("city")),
+         "_id": F.coalesce(text("external_id"), normalise.id_from_url(F.col("url")))}
+    )
+    c = F.col
+    known = fields(c("raw"), c("_make"))
     errors = F.filter(
-        F.array(F.when(identifier.isNull(), "NO_IDENTIFIER"), F.when(amount.isNull(), "NO_PRICE")), lambda e: e.isNotNull()
+        F.array(F.when(c("_id").isNull(), "NO_IDENTIFIER"), F.when(c("_amount").isNull(), "NO_PRICE")), lambda e: e.isNotNull()
     )
-    city = normalise.city(text("city"))
     unmapped = F.filter(
         F.array(
-            F.when(text("make").isNotNull() & known["make"].isNull(), F.concat(F.lit("make:"), text("make"))),
-            F.when(text("city").isNotNull() & city.isNull(), F.concat(F.lit("city:"), text("city"))),
+            F.when(text("make").isNotNull() & c("_make").isNull(), F.concat(F.lit("make:"), text("make"))),
+            F.when(text("city").isNotNull() & c("_city").isNull(), F.concat(F.lit("city:"), text("city"))),
         ),
         lambda u: u.isNotNull(),
     )
@@ -84,14 +89,14 @@ def parse(landed: DataFrame) -> DataFrame:
     return rows.select(
         "page_id",
         "url",
-        F.when(F.size(errors) == 0, identifier).alias("listing_id"),
-        amount.cast("double").alias("price"),
-        currency.alias("currency"),
+        F.when(c("_amount").isNotNull(), c("_id")).alias("listing_id"),
+        c("_amount").cast("double").alias("price"),
+        F.when(c("_amount").isNotNull(), currency).alias("currency"),
         normalise.whole_number(text("mileage_km")).alias("mileage_km"),
-        city.alias("city"),
+        c("_city").alias("city"),
         *(known[n].alias(n) for n in known if n != "trim"),
         normalise.category("seller_type", text("seller_type")).alias("seller_type"),
-        *(disclosures.disclosure(text("condition"), text("description"), k).alias(k) for k in ("damage", "repaint")),
+        *(F.coalesce(F.col("_box")[k], F.col("_prose")[k]).alias(k) for k in ("damage", "repaint")),
         text("description").alias("description"),
         "raw",
         F.filter(F.array(*(F.when(text(n).isNull(), n) for n in asked)), lambda n: n.isNotNull()).alias("missing"),
@@ -118,11 +123,13 @@ def replay(stored: DataFrame) -> DataFrame:
 
     Adds new_config_id, new_body and verdict (same, changed, or unresolved where make or model is not known any more).
     """
-    known = fields(F.col("raw"))
-    fresh = normalise.identity(known)["config_id"]
-    resolved = known["make"].isNotNull() & known["model"].isNotNull()
-    verdict = F.when(~resolved, "unresolved").when(F.col("config_id").eqNullSafe(fresh), "same").otherwise("changed")
-    return stored.select("*", F.when(resolved, fresh).alias("new_config_id"), known["body"].alias("new_body"), verdict.alias("verdict"))
+    known = {n: c.alias(n) for n, c in fields(F.col("raw")).items()}
+    rows = stored.withColumn("_now", F.struct(*known.values()))
+    now = {n: F.col("_now")[n] for n in known}
+    rows = rows.withColumn("_fresh", F.when(now["make"].isNotNull() & now["model"].isNotNull(), normalise.identity(now)["config_id"]))
+    same = F.col("config_id").eqNullSafe(F.col("_fresh"))
+    verdict = F.when(F.col("_fresh").isNull(), "unresolved").when(same, "same").otherwise("changed")
+    return rows.select(*stored.columns, F.col("_fresh").alias("new_config_id"), now["body"].alias("new_body"), verdict.alias("verdict"))
 
 
 def replay_report(replayed: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ def extract(html: Column, pattern: str, group: int = 1) -> Column:
     """The matched group without tags and with single spaces; null where nothing is left."""
     found = F.regexp_replace(F.regexp_extract(html, pattern, group), "<[^>]+>", " ")
     text = F.trim(F.regexp_replace(found, r"\s+", " "))
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))  # the text is worked out once
 
 
 def parse(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
