@@ -6,11 +6,12 @@ shingles would have to share a hash for a count to be off by one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import part_enum
@@ -23,27 +24,38 @@ BUCKET_SIGNATURES = 1_000_000
 HELD_SIGNATURES = 200_000
 HOT_SETS = 1000
 BUILT_BYTES = 8 << 20
-SHIPPED = 10  # only blocks of like sizes meet, so a whole component ships a part of n * (1 + b) sets
+HELD_MEMBERS = 200_000
+WIDE = 8192  # holders of a signature from which sketches are not compared
+SHIPPED = 3  # times that a set is shipped for each signature: packed, then met from either side
 SPLIT_FROM = 1.0  # a component is split where comparing it whole costs this many times as much
 
 
+_SKETCH = [f"sketch{k}" for k in range(part_enum.SKETCH_WORDS)]
+
+
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
 
 
 def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles and a key that equal sets share (null without shingles)."""
+    """doc_id, n_shingles, a key that equal sets share (null without shingles) and the words of a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = part_enum.shingle_sets(batch.column("_text").to_pylist(), words)
             keys = [part_enum.set_key(s) if len(s) else None for s in sets]
+            sketch = part_enum.sketches(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())],
-                names=["doc_id", "n_shingles", "set_key"],
+                [
+                    batch.column("_id"),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(keys, pa.binary()),
+                    *(pa.array(sketch[:, k]) for k in range(part_enum.SKETCH_WORDS)),
+                ],
+                names=["doc_id", "n_shingles", "set_key", *_SKETCH],
             )
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
+    return _rows(docs).mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {', '.join(f'{c} long' for c in _SKETCH)}")
 
 
 def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int, words: int) -> DataFrame:
@@ -119,12 +131,66 @@ def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int
     return signed.groupBy("bucket").applyInArrow(meet, "signature long, u long, v long")
 
 
-def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame) -> DataFrame:
+def _plausible(candidates: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    """``candidates`` with those pairs of documents only that sketches do not rule out, through any holder.
+
+    ``sets``: doc_id, n_shingles and sketch, one row per id.  Each member of a signature is first compared with its
+    one other document in the JVM.  Members that this rules out, in a signature of three or more, are compared
+    with all holders of the signature; ``v`` is then the least document that they reach there.
+    No linked pair is ruled out.  A signature of more than WIDE holders is taken as it is.
+    """
+    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SKETCH))
+    apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _SKETCH), F.lit(0))
+    near = apart <= F.floor((100 - least) * (F.col("n_u") + F.col("n_v")) / (100 + least))
+    pairs = candidates.select("u", "v").distinct()
+    hot = pairs.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > frequent_limit(pairs.count())).select("v")
+    judged = join_frequent(pairs.join(side("u"), "u"), side("v"), "v", hot).select("u", "v", near.alias("near"))
+    judged = materialise(judged, "judged")
+    holders = candidates.join(judged, ["u", "v"]).groupBy("signature").agg(
+        F.count("*").alias("held"), F.count_if(~F.col("near")).alias("far"), F.min("v").alias("first")
+    )
+    open_ = materialise(holders.filter("far > 0 and held > 1"), "open")
+    wide = candidates.join(open_.filter(f"held >= {WIDE}").select("signature"), "signature", "left_semi")
+    some = open_.filter(f"held < {WIDE}")
+    members = candidates.join(some.select("signature"), "signature", "left_semi").select("signature", F.col("u").alias("doc_id"))
+    members = members.unionByName(some.select("signature", F.col("first").alias("doc_id"))).distinct()
+    total = members.count()
+    bucket = F.pmod(F.xxhash64("signature"), F.lit(max(1, total // HELD_MEMBERS + 1)))
+
+    def compare(table: pa.Table) -> pa.Table:
+        signature, ids, sizes = (table[c].to_numpy() for c in ("signature", "doc_id", "n_shingles"))
+        sketch = np.ascontiguousarray(np.stack([table[c].to_numpy() for c in _SKETCH], 1))
+        order = np.lexsort((ids, signature))
+        signature, ids, sizes, sketch = signature[order], ids[order], sizes[order], sketch[order]
+        cuts = np.nonzero(np.diff(signature))[0] + 1
+        found = []
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+            label = np.arange(b - a)
+            strips = [slice(x, min(x + 1024, b)) for x in range(a, b, 1024)]
+            links = [part_enum.may_link(sketch[s], sizes[s], sketch[a:b], sizes[a:b], least) for s in strips]
+            while True:  # the least holder that each reaches
+                after = np.concatenate([np.where(near, label, b - a).min(1) for near in links])
+                after = np.minimum(label, after)
+                after = after[after]
+                if (after == label).all():
+                    break
+                label = after
+            other = np.nonzero(label != np.arange(b - a))[0]
+            found.append(np.stack([signature[a + other], ids[a + other], ids[a + label[other]]], 1))
+        rows = np.concatenate([*found, np.zeros((0, 3), np.int64)])
+        return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("signature", "u", "v"))})
+
+    told = members.join(sets, "doc_id").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "signature long, u long, v long")
+    kept = candidates.join(judged.filter("near"), ["u", "v"]).join(open_.select("signature"), "signature", "left_anti")
+    return kept.select("signature", "u", "v").unionByName(told).unionByName(wide.select("signature", "u", "v"))
+
+
+def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """doc_id, n_shingles, copies, set_key and ``cluster``: linked sets share a cluster at least.
 
-    A cluster is a whole component of candidates, or the holders of one signature.  A component whose
-    n sets fill b blocks ships n * (1 + b) sets to compare all with all; by signature it ships each
-    set once for each shared signature at least.  It is taken the second way where that ships and
+    A cluster is a whole component of candidates, or the holders of one signature.  A whole component
+    ships each block of sets once for each block of like sizes; by signature it ships each set
+    some times for each shared signature.  It is taken the second way where that ships and
     compares less (unlike texts that common passages chain together), else whole (copies of one
     text, which share most signatures).  So the work stays within that for the pairs that share a
     signature, and a set has at most as many rows as it has signatures.
@@ -135,8 +201,17 @@ def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame) -> D
     )
     sets = materialise(sets, "sets")
     whole = sets.withColumnRenamed("label", "cluster")
-    blocks = F.sum(F.greatest(F.col("n_shingles"), F.lit(BLOCK_ELEMENTS // BLOCK_SETS))) / BLOCK_ELEMENTS
-    large = sets.groupBy("label").agg(F.count("*").cast("double").alias("n"), blocks.alias("blocks")).filter("blocks > 1")
+    weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_ELEMENTS // BLOCK_SETS))
+    band = F.floor(F.log(weight.cast("double")) / math.log(100 / least)).alias("band")
+    banded = sets.groupBy("label", band).agg(F.count("*").cast("double").alias("n"), F.sum(weight).alias("w"))
+    after = F.coalesce(F.lead("w").over(Window.partitionBy("label").orderBy("band")), F.lit(0))
+    met = F.col("w") + (F.col("w") * F.col("w") + 2 * F.col("w") * after) / BLOCK_ELEMENTS  # a band meets itself and the next
+    large = (
+        banded.withColumn("met", met)
+        .groupBy("label")
+        .agg(F.sum("n").alias("n"), F.sum("w").cast("double").alias("w"), F.sum("met").alias("met"))
+        .filter(F.col("w") > BLOCK_ELEMENTS)
+    )
     if large.isEmpty():
         return whole
     holders = candidates.groupBy("signature").agg((F.count("*") + 1).cast("double").alias("m"), F.min("u").alias("one"))
@@ -145,7 +220,7 @@ def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame) -> D
         .groupBy("label")
         .agg(F.sum("m").alias("held"), F.sum(F.col("m") * F.col("m")).alias("pairs"))
     )
-    both = large.join(cost, "label").filter(f"n * n > {SPLIT_FROM} * pairs and n * (1 + blocks) > {SPLIT_FROM} * {SHIPPED} * held")
+    both = large.join(cost, "label").filter(f"n * n > {SPLIT_FROM} * pairs and met > {SPLIT_FROM} * {SHIPPED} * held * w / n")
     sparse = materialise(both.select("label"), "sparse")
     if sparse.isEmpty():
         return whole
@@ -318,7 +393,11 @@ def group_similar(docs: DataFrame, least: int = part_enum.LEAST, words: int = pa
     copies = join_frequent(known, copied, "set_key", frequent).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     copies = materialise(copies.filter("u <> v").distinct(), "copies")
     candidates = materialise(_candidates(docs, hot, buckets, least, words), "candidates")
-    found = materialise(_verify(docs, _clusters(candidates, copies, classes), least, words).repartition("u"), "links")
+    sketched = known.select("doc_id", "n_shingles", *_SKETCH)
+    sketched = sketched.groupBy("doc_id").agg(F.count("*").alias("texts"), *(F.min(c).alias(c) for c in ("n_shingles", *_SKETCH)))
+    if sketched.filter("texts > 1").isEmpty():  # every id has one sketch
+        candidates = materialise(_plausible(candidates, sketched.drop("texts"), least), "plausible")
+    found = materialise(_verify(docs, _clusters(candidates, copies, classes, least), least, words).repartition("u"), "links")
     parts = connected(found.select("u", "v").unionByName(copies))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
     sets = classes.join(links, F.col("rep") == F.col("u"), "left").select(

@@ -97,6 +97,32 @@ def set_key(elements: np.ndarray) -> bytes:
     return np.array([a, b], np.uint64).tobytes()
 
 
+SKETCH_WORDS = 8
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH_WORDS 64-bit words per set: the parity of its elements in each of 64 * SKETCH_WORDS cells.
+
+    An element that only one of two sets has changes one bit, so sketches never differ in more
+    bits than the sets do in elements.
+    """
+    cells = 64 * SKETCH_WORDS
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    owner = np.repeat(np.arange(len(sets), dtype=np.int64) * cells, sizes)
+    flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
+    counts = np.bincount(owner + (flat % _U(cells)).astype(np.int64), minlength=len(sets) * cells)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), SKETCH_WORDS)
+
+
+def may_link(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, least: int) -> np.ndarray:
+    """Matrix of the pairs of sets that their sketches and sizes do not rule out."""
+    a, b = a.view(np.uint64), b.view(np.uint64)
+    apart = np.zeros((len(a), len(b)), np.int64)
+    for word in range(SKETCH_WORDS):
+        apart += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
+    return apart <= (100 - least) * (size_a[:, None] + size_b[None, :]) // (100 + least)
+
+
 def bands(largest: int, least: int = LEAST) -> np.ndarray:
     """Upper ends of the size bands up to ``largest``: each about (100 / least) ** 2 times the last."""
     ends = [1]

@@ -175,7 +175,6 @@ def test_common_passages_do_not_make_all_pairs(spark, monkeypatch):
         return held["members"]
 
     monkeypatch.setattr(jaccard, "_clusters", kept)
-    monkeypatch.setattr(jaccard, "SHIPPED", 2)  # at this size shipping decides for the whole component otherwise
     assert rows_of(jaccard.group_similar(docs)) == want
     sizes = [r["count"] for r in held["members"].groupBy("cluster").count().collect()]
     assert sum(n * n for n in sizes) < len(rows) ** 2 / 20  # of all with all
@@ -218,3 +217,29 @@ def test_own_names_do_not_clash(spark):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r["_gone"], r["row"]) for r in kept.collect()) == [(1, "_gone", "row"), (3, "_gone", "row")]
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 900))).astype(np.uint64))
+        change = int(rng.integers(0, len(base) // 4 + 1))
+        other = np.unique(np.concatenate([rng.permutation(base)[change:], rng.integers(0, 2**63, change // 3).astype(np.uint64)]))
+        s = part_enum.sketches([base, other])
+        near = part_enum.may_link(s[:1], np.array([len(base)]), s[1:], np.array([len(other)]), 80)[0, 0]
+        assert near or not part_enum.linked(base, other, 80)
+
+
+def test_signatures_with_several_families(spark):
+    """Families that share a passage meet in its signatures: those unlike the first holder are compared with the others."""
+    rng = random.Random(21)
+    passage = [f"licence{i}" for i in range(40)]
+    rows = []
+    for family in range(60):
+        base = passage + [f"f{family}x{rng.randrange(10**6)}" for _ in range(90)]
+        for copy in range(3):
+            text = list(base)
+            text[rng.randrange(50, 130)] = f"edit{family}x{copy}"
+            rows.append((family * 10 + copy, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert rows_of(jaccard.group_similar(docs)) == brute(rows)
