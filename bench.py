@@ -12,9 +12,10 @@ from lotlens.session import local_session
 
 HEADLINE = [
     "stats_spread", "stats_outliers", "stats_weighted_quantiles", "stats_interpolated_quantiles", "stats_percentile_rank",
-    "stats_effective_size", "market_snapshots", "finds", "budgets", "price_moves", "price_history", "comparables_chosen",
-    "valuations", "negotiations", "fold_keys", "identities", "document_disclosures", "transcripts", "state_upsert",
-    "page_fields", "page_links", "attribute_values", "exchange_rates",
+    "stats_effective_size", "market_snapshots", "finds", "discover", "market_overview", "budgets", "price_moves", "price_history",
+    "comparables_chosen", "stats_theil_sen", "valuations", "risk", "ratings", "confidences", "negotiations", "inspection_plans",
+    "bundles", "report_findings", "fold_keys", "identities", "document_disclosures", "transcripts", "state_upsert", "page_fields",
+    "page_links", "listing_page_fields", "attribute_values", "exchange_rates", "cited_numbers", "saved_alerts", "market_context",
 ]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import disclosures, normalise
 from ..operators import comparables, judgement, snapshots, stats, valuation
-from ..session import materialise
+from ..session import once
 from ..sources import market
 from .ingestion import _FOLD, readings_sql
 from .statistics import _AT, _twin, quantiles_sql, rounded
@@ -17,8 +17,8 @@ DESCRIPTIONS = ("Vurulmayıb, rənglənib", "İdeal vəziyyətdə", "Təmir təl
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = materialise(market.listings(spark, sf_dir), "listings")
-    subjects = materialise(market.subjects(spark, sf_dir, rows), "subjects")
+    rows = market.listings(spark, sf_dir)
+    subjects = once(spark, sf_dir, "subjects", lambda: market.subjects(spark, sf_dir, rows))
     pairs = comparables.candidates(subjects, rows, market.as_of())
     return subjects, comparables.score(pairs, market.as_of())
 
@@ -145,10 +145,11 @@ FROM summary
 
 
 def _valued(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Subjects, their comparables, the summary of these and the valuation, each made once for all queries."""
     subjects, scored = _pairs(spark, sf_dir)
-    chosen = materialise(comparables.select(scored), "chosen")
-    summary = materialise(comparables.summarise(subjects, scored, chosen), "summary")
-    return subjects, chosen, summary, valuation.value(summary, chosen)
+    chosen = once(spark, sf_dir, "chosen", lambda: comparables.select(scored))
+    summary = once(spark, sf_dir, "summary", lambda: comparables.summarise(subjects, scored, chosen))
+    return subjects, chosen, summary, once(spark, sf_dir, "valued", lambda: valuation.value(summary, chosen))
 
 
 def valuations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,12 +266,9 @@ FROM r GROUP BY 1 HAVING count(*) >= 3
 """
 
 
-def _facts(spark: SparkSession, sf_dir: str, made: tuple[DataFrame, ...] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Subjects with summary, valuation, history and the dealt details; and the moves of their comparables.
-
-    ``made``: what ``_valued`` gave, if it was asked already.
-    """
-    subjects, chosen, summary, valued = made or _valued(spark, sf_dir)
+def _facts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Subjects with summary, valuation, history and the dealt details; and the moves of their comparables."""
+    subjects, chosen, summary, valued = _valued(spark, sf_dir)
     history = snapshots.history(market.observations(spark, sf_dir)).select("listing_id", "moves", "total_change_pct")
     fields = {n: F.col(f"s_{n}") for n in normalise.SPECIFICITY if n != "engine_code"}
     key = F.col("subject_id")
@@ -293,7 +291,8 @@ def _facts(spark: SparkSession, sf_dir: str, made: tuple[DataFrame, ...] | None
             }
         )
     )
-    facts = materialise(facts, "facts")
+    made = facts
+    facts = once(spark, sf_dir, "facts", lambda: made)
     moves = (
         chosen.select("subject_id", "listing_id")
         .join(history, "listing_id")

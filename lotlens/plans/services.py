@@ -98,8 +98,8 @@ def _appraised(facts: DataFrame, moves: DataFrame) -> DataFrame:
 
 def bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the bundle of each subject holds, read back from its JSON."""
-    subjects, chosen, summary, valued = appraisal._valued(spark, sf_dir)
-    facts, moves = appraisal._facts(spark, sf_dir, (subjects, chosen, summary, valued))
+    _, chosen, _, _ = appraisal._valued(spark, sf_dir)
+    facts, moves = appraisal._facts(spark, sf_dir)
     rows = materialise(_appraised(facts, moves), "appraised")
     made = evidence.assemble(rows, chosen, market.as_of())
     at = lambda path: F.get_json_object("bundle", f"$.{path}")
@@ -265,7 +265,7 @@ def _configurations(rows: DataFrame) -> DataFrame:
 
 def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots of two days, the later written twice, and what a conversation reads of the latest day."""
-    rows = materialise(market.listings(spark, sf_dir), "listings")
+    rows = market.listings(spark, sf_dir)
     path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
     for days in (30, 0, 0):
         at = snapshots.days_before(market.as_of(), days)

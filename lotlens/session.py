@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -64,11 +66,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_tables: dict[tuple[str, str, str], tuple[str, StructType]] = {}
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table derived from the read-only tables of ``sf_dir``, written the first time an application asks for it.
+
+    Later queries read it from the shared folder, as they would a table that a nightly job keeps.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        made = materialise(build(), name)
+        _tables[key] = (_written[-1][1], made.schema)
+    path, schema = _tables[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            drop(spark, path)
         except Exception:  # the JVM may have ended already; the folder is then the cluster's to clear
             return

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import once, table
 
 AS_OF = "2001-08-01 00:00:00"
 OBSERVED_TO = "2024-01-31 00:00:00"  # the observations are from another month than the listings
@@ -40,6 +40,10 @@ def as_of() -> Column:
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per listing: configuration, price, mileage, place, dates, status, disclosures."""
+    return once(spark, sf_dir, "listings", lambda: _listings(spark, sf_dir))
+
+
+def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*_TIE)).alias("first"))
     lines = lines.select("l_orderkey", "l_linenumber", "first.*")
     places = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import state
+from ..session import drop
 
 
 def latest_in_batch(batch: DataFrame) -> DataFrame:
@@ -36,6 +37,8 @@ def upsert_stream(
         upserted.write.mode("overwrite").parquet(f"{state_dir}/v={n + 1}")
         done = spark.read.parquet(f"{state_dir}/v={n + 1}")
         state.transitions(done, as_of).write.mode("overwrite").parquet(f"{log_dir}/batch={n}")
+        if n > 1:
+            drop(spark, f"{state_dir}/v={n - 1}")  # batch n may run again and needs v=n; nothing needs what was before
 
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
