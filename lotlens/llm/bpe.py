@@ -34,6 +34,9 @@ class Coder:
 
     def __init__(self, definition: str):
         made = json.loads(definition)
+        before = made.get("pre_tokenizer") or {}
+        if before.get("type") != "ByteLevel" or not before.get("use_regex", True) or made.get("normalizer"):
+            raise ValueError("only byte-level tokenizer files with the standard pattern and no normaliser are supported")
         vocab, merges = made["model"]["vocab"], made["model"]["merges"]
         letters = byte_letters()
         values = {c: b for b, c in letters.items()}
@@ -201,8 +204,9 @@ class Coder:
         return found
 
     def decode(self, ids: list[int]) -> str:
+        """The text of ``ids``; an id outside the vocabulary stands for nothing."""
         pieces = self.pieces
-        return b"".join([pieces[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join([pieces.get(i, b"") for i in ids]).decode("utf-8", "replace")
 
 
 def _coder(definition: str) -> Coder:

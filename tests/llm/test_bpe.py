@@ -59,3 +59,18 @@ def test_query_matches_library(spark, library):
         ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), sha(",".join(map(str, ids))))
         assert r.decoded_sha256 == sha(library.decode(ids, skip_special_tokens=False))
+
+
+def test_trees_agree_on_random_words(coder):
+    rng = random.Random(17)
+    for alphabet in ("ab", "the ", "aeiounrst", "é中😀x"):
+        words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 64))) for _ in range(120)]
+        for word in [w for w in words if len(w.encode()) <= 64]:
+            packed = coder.merge_alike([word.encode()], 64)[0]
+            assert list(coder.merge(word)) == list(memoryview(packed).cast("I")), word
+
+
+def test_unknown_ids_and_other_tokenizers(coder):
+    assert coder.decode([10**9]) == "" and coder.decode([coder.byte_ids[65], 10**9, coder.byte_ids[66]]) == "AB"
+    with pytest.raises(ValueError):
+        bpe.Coder('{"model": {"vocab": {}, "merges": []}, "pre_tokenizer": {"type": "Whitespace"}}')
