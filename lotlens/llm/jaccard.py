@@ -139,20 +139,21 @@ def _plausible(candidates: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     with all holders of the signature; ``v`` is then the least document that they reach there.
     No linked pair is ruled out.  A signature of more than WIDE holders is taken as it is.
     """
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SKETCH))
+    # hints: the same plan at every size, so that what small tables shuffle tells what large ones will
+    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SKETCH)).hint("shuffle_hash")
     apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _SKETCH), F.lit(0))
     near = apart <= F.floor((100 - least) * (F.col("n_u") + F.col("n_v")) / (100 + least))
     pairs = candidates.select("u", "v").distinct()
     hot = pairs.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > frequent_limit(pairs.count())).select("v")
     judged = join_frequent(pairs.join(side("u"), "u"), side("v"), "v", hot).select("u", "v", near.alias("near"))
-    judged = materialise(judged, "judged")
-    holders = candidates.join(judged, ["u", "v"]).groupBy("signature").agg(
+    rows = materialise(candidates.join(judged.hint("shuffle_hash"), ["u", "v"]), "judged")
+    holders = rows.groupBy("signature").agg(
         F.count("*").alias("held"), F.count_if(~F.col("near")).alias("far"), F.min("v").alias("first")
     )
     open_ = materialise(holders.filter("far > 0 and held > 1"), "open")
-    wide = candidates.join(open_.filter(f"held >= {WIDE}").select("signature"), "signature", "left_semi")
+    wide = rows.join(open_.filter(f"held >= {WIDE}").select("signature"), "signature", "left_semi")
     some = open_.filter(f"held < {WIDE}")
-    members = candidates.join(some.select("signature"), "signature", "left_semi").select("signature", F.col("u").alias("doc_id"))
+    members = rows.join(some.select("signature").hint("shuffle_hash"), "signature", "left_semi").select("signature", F.col("u").alias("doc_id"))
     members = members.unionByName(some.select("signature", F.col("first").alias("doc_id"))).distinct()
     total = members.count()
     bucket = F.pmod(F.xxhash64("signature"), F.lit(max(1, total // HELD_MEMBERS + 1)))
@@ -180,8 +181,8 @@ def _plausible(candidates: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         rows = np.concatenate([*found, np.zeros((0, 3), np.int64)])
         return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("signature", "u", "v"))})
 
-    told = members.join(sets, "doc_id").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "signature long, u long, v long")
-    kept = candidates.join(judged.filter("near"), ["u", "v"]).join(open_.select("signature"), "signature", "left_anti")
+    told = members.join(sets.hint("shuffle_hash"), "doc_id").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "signature long, u long, v long")
+    kept = rows.filter("near").join(open_.select("signature").hint("shuffle_hash"), "signature", "left_anti")
     return kept.select("signature", "u", "v").unionByName(told).unionByName(wide.select("signature", "u", "v"))
 
 
