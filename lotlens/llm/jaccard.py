@@ -18,13 +18,13 @@ from . import part_enum
 from .common import frequent_limit, join_frequent, materialise, number_rows, small_batches, whole_row
 from .components import connected
 
-BLOCK_ELEMENTS = 32_768
-BLOCK_SETS = 256
+BLOCK_ELEMENTS = 131_072
+BLOCK_SETS = 1024
 BUCKET_SIGNATURES = 1_000_000
 HELD_SIGNATURES = 200_000
 HOT_SETS = 1000
 BUILT_BYTES = 8 << 20
-HELD_MEMBERS = 200_000
+HELD_MEMBERS = 100_000
 WIDE = 8192  # holders of a signature from which sketches are not compared
 SHIPPED = 3  # times that a set is shipped for each signature: packed, then met from either side
 SPLIT_FROM = 1.0  # a component is split where comparing it whole costs this many times as much

@@ -97,7 +97,7 @@ def set_key(elements: np.ndarray) -> bytes:
     return np.array([a, b], np.uint64).tobytes()
 
 
-SKETCH_WORDS = 8
+SKETCH_WORDS = 32
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
