@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, jaccard, langid, line_dedup, media_gif, packing, secrets, sharding, toxicity
+from . import bpe, conversations, exact_dedup, jaccard, langid, line_dedup, media_gif, packing, secrets, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_media_gif": op9_media_gif,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_conversations": op11_conversations,
 }
 
 ORACLE_SQL: dict[str, str] = {
