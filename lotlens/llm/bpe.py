@@ -180,11 +180,11 @@ class Coder:
                 for word in alike:
                     self.known[word] = np.array(self.merge(word), "<u4").tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; strings of special tokens stand for those tokens."""
+    def encode_batch(self, texts: list[str], special: bool = True) -> list[np.ndarray]:
+        """Ids of each text; with ``special``, strings of special tokens stand for those tokens."""
         split: list[list[str]] = []
         for text in texts:
-            if self.split and any(s in text for s in self.special):
+            if special and self.split and any(s in text for s in self.special):
                 words: list[str] = []
                 for part in self.split.split(text):
                     words += [part] if part in self.special else self.words.findall(part)
@@ -196,8 +196,11 @@ class Coder:
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
             new = wanted
-        self.learn(new - self.special.keys())
-        self.known.update({s: np.array([i], "<u4").tobytes() for s, i in self.special.items()})
+        if special:
+            self.learn(new - self.special.keys())
+            self.known.update({s: np.array([i], "<u4").tobytes() for s, i in self.special.items()})
+        else:  # no match of the pattern is such a string as a whole
+            self.learn(new)
         found = [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4") for words in split]
         for word in [w for w in new if len(w) > 64]:  # long words recur too seldom to keep
             self.known.pop(word, None)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, exact_dedup, jaccard, langid, line_dedup, media_gif, packing, secrets, sharding, toxicity
+from . import align, bpe, conversations, exact_dedup, jaccard, langid, line_dedup, media_gif, packing, secrets, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,15 @@ def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = align.align(
+        _documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return found.drop("pairs")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -92,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_media_gif": op9_media_gif,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversations": op11_conversations,
+    "op12_alignment": op12_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
