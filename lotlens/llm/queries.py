@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, conversations, exact_dedup, jaccard, langid, line_dedup, media_gif, packing, secrets, sharding, toxicity
+from . import align, bpe, conversations, exact_dedup, jaccard, langid, line_dedup, media_gif, packing, secrets, sharding, suffix_dedup, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,13 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("pairs")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    length = F.aggregate("spans", F.lit(0).cast("long"), lambda sum_, span: sum_ + span["end"] - span["start"])
+    return suffix_dedup.find_repeats(_documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", length.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_toxicity": op2_toxicity,
@@ -102,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_conversations": op11_conversations,
     "op12_alignment": op12_alignment,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,5 +124,30 @@ WITH t AS (
 )
 SELECT doc_id, keep_id, group_size, (doc_id = keep_id AND copy_no = 1) AS kept, sha256(text) AS text_sha256
 FROM g
+""",
+    "op13_suffix_dedup": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)
+), f AS (
+  SELECT s, min(doc_id) AS least FROM w GROUP BY s
+), hit AS (
+  SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s AND w.doc_id > f.least
+), b AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 2) AS byte FROM (SELECT doc_id, h, unnest(range(n)) AS p FROM d)
+), c AS (
+  SELECT b.doc_id, b.p, b.byte, coalesce(max(hit.i) OVER (PARTITION BY b.doc_id ORDER BY b.p), -50) >= b.p - 49 AS gone
+  FROM b LEFT JOIN hit ON b.doc_id = hit.doc_id AND b.p = hit.i
+), e AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM c
+), r AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE begins) AS n_spans,
+         sha256(unhex(coalesce(string_agg(byte, '' ORDER BY p) FILTER (WHERE NOT gone), ''))) AS kept_sha256
+  FROM e GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(r.n_removed, 0) AS n_removed, coalesce(r.n_spans, 0) AS n_spans,
+       coalesce(r.kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """,
 }
