@@ -34,7 +34,7 @@ def issues(observed_year: Column) -> Column:
     return F.filter(found, lambda i: i.isNotNull())
 
 
-def upsert(state: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
+def upsert(state: DataFrame, batch: DataFrame, as_of: Column | None = None) -> DataFrame:
     """The next state and what happened to each key, from one full outer join on ``listing_id``.
 
     ``state``: listing_id, price, mileage_km, description, fingerprint, status, first_seen,
@@ -44,8 +44,11 @@ def upsert(state: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
 
     A seen listing becomes active again without an observation; an unknown mileage or an empty
     description never replaces a known one; a row without a price is skipped and not even touched.
+    Without ``as_of`` each row of the batch was seen at its own ``observed_at``.
     """
-    b = batch.select("listing_id", *(F.col(c).alias(f"n_{c}") for c in ("price", "mileage_km", "description", "fingerprint", "posted_at")), F.lit(True).alias("_in"))
+    own = ("price", "mileage_km", "description", "fingerprint", "posted_at", *(("observed_at",) if as_of is None else ()))
+    b = batch.select("listing_id", *(F.col(c).alias(f"n_{c}") for c in own), F.lit(True).alias("_in"))
+    as_of = F.col("n_observed_at") if as_of is None else as_of
     both = state.withColumn("_old", F.lit(True)).join(b, "listing_id", "full_outer")
     c = F.col
     seen = F.coalesce(c("_in"), F.lit(False)) & c("n_price").isNotNull()
@@ -89,8 +92,9 @@ def upsert(state: DataFrame, batch: DataFrame, as_of: Column) -> DataFrame:
 
 def transitions(upserted: DataFrame, as_of: Column) -> DataFrame:
     """The log rows of an upsert: one per change."""
-    rows = upserted.select("listing_id", "price", "mileage_km", "status", F.explode("changes").alias("change_kind"))
-    return rows.withColumn("observed_at", as_of)
+    return upserted.select(
+        "listing_id", "price", "mileage_km", "status", F.explode("changes").alias("change_kind"), as_of.alias("observed_at")
+    )
 
 
 def mark_removed(state: DataFrame, seen: DataFrame, as_of: Column, days: int = REMOVED_AFTER_DAYS) -> DataFrame:

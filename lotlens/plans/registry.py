@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import appraisal, ingestion, services, statistics
+from . import appraisal, ingestion, requests, services, statistics
 
-_MODULES = (statistics, appraisal, ingestion, services)
+_MODULES = (statistics, appraisal, ingestion, services, requests)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}

@@ -21,7 +21,9 @@ def latest_in_batch(batch: DataFrame) -> DataFrame:
 def upsert_stream(
     rows: DataFrame, state_dir: str, log_dir: str, checkpoint: str, empty_state: DataFrame
 ) -> StreamingQuery:
-    """Fold a stream of listing rows into a state table, one version per micro-batch.
+    """Fold a stream of listing rows into a small state, rewritten whole per micro-batch, each row at its own time.
+
+    ``state_table`` keeps a large state in partitions.
 
     The state of batch n is written to ``state_dir``/v=n+1 and read by the next batch, so a batch
     that is run again overwrites its own version and nothing else; its transitions go to
@@ -31,12 +33,10 @@ def upsert_stream(
     def fold(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         before = spark.read.schema(empty_state.schema).parquet(f"{state_dir}/v={n}") if n else empty_state
-        now = batch.agg(F.max("observed_at")).first()[0]
-        as_of = F.lit(now).cast("timestamp_ntz")
-        upserted = state.upsert(before, latest_in_batch(batch), as_of)
+        upserted = state.upsert(before, latest_in_batch(batch))
         upserted.write.mode("overwrite").parquet(f"{state_dir}/v={n + 1}")
         done = spark.read.parquet(f"{state_dir}/v={n + 1}")
-        state.transitions(done, as_of).write.mode("overwrite").parquet(f"{log_dir}/batch={n}")
+        state.transitions(done, F.col("last_seen")).write.mode("overwrite").parquet(f"{log_dir}/batch={n}")
         if n > 1:
             drop(spark, f"{state_dir}/v={n - 1}")  # batch n may run again and needs v=n; nothing needs what was before
 
