@@ -23,17 +23,17 @@ LIMITED_SQL = f"""
 WITH asked AS (
   SELECT event_type, list(epoch_us(ts) ORDER BY ts, event_id) AS times, list(event_id ORDER BY ts, event_id) AS ids FROM events GROUP BY 1
 ), folded AS (
-  SELECT event_type, times, ids, list_reduce(list_transform(times, t -> [t]), (hits, t) ->
-    CASE WHEN len(list_filter(hits[-{_LIMIT}:], h -> h >= t[1] - {_SECONDS * 1_000_000})) < {_LIMIT} THEN list_append(hits, t[1]) ELSE hits END) AS hits
+  SELECT event_type, times, ids, list_reduce(list_transform(times, lambda t: [t]), lambda hits, t:
+    CASE WHEN len(list_filter(hits[-{_LIMIT}:], lambda h: h >= t[1] - {_SECONDS * 1_000_000})) < {_LIMIT} THEN list_append(hits, t[1]) ELSE hits END) AS hits
   FROM asked
 ), each AS (
-  SELECT event_type, unnest(times) AS at, unnest(ids) AS id FROM asked
+  SELECT event_type, unnest(times) AS t_at, unnest(ids) AS id FROM asked
 ), hit AS (
-  SELECT event_type, at, count(*) AS n FROM (SELECT event_type, unnest(hits) AS at FROM folded) GROUP BY 1, 2
+  SELECT event_type, t_at, count(*) AS n FROM (SELECT event_type, unnest(hits) AS t_at FROM folded) GROUP BY 1, 2
 )
 SELECT each.event_type AS key, each.id AS seq,
-  row_number() OVER (PARTITION BY each.event_type, each.at ORDER BY each.id) <= coalesce(hit.n, 0) AS allowed
-FROM each LEFT JOIN hit ON each.event_type = hit.event_type AND each.at = hit.at
+  row_number() OVER (PARTITION BY each.event_type, each.t_at ORDER BY each.id) <= coalesce(hit.n, 0) AS allowed
+FROM each LEFT JOIN hit ON each.event_type = hit.event_type AND each.t_at = hit.t_at
 """
 
 
