@@ -21,12 +21,11 @@ from .part_enum import mix
 
 LENGTH = 50
 GRAM = 20
-PIECE = 4 << 20  # bytes handled at once
+PIECE = 1 << 20  # bytes handled at once
 BUCKET_ANCHORS = 4_000_000
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 HELD_ANCHORS = 400_000
 HOT_TEXTS = 1000
-HOT_HOLDERS = 20_000
 MOST_HOT = 1_000_000
 SEEDS = 20
 _U = np.uint64
@@ -283,30 +282,52 @@ def _found_in_buckets(texts: DataFrame, hot, buckets: int, meeting: int, length:
             refs, ids = (batch.column(c).to_numpy()[row] for c in ("_ref", "_id"))
             at, ends = _cut(bucket)
             r, f, until = row.tolist(), first.tolist(), (last + length).tolist()
-            held = [b"".join([raws[r[k]][f[k] : until[k]] for k in range(a, b)]) for a, b in zip(at, ends)]
-            columns = [pa.array(bucket[at], pa.int64()), pa.array(held, pa.binary())]
-            for values, kind in ((refs, np.int64), (ids, np.int64), (first, np.int64), (last - first + length, np.int32)):
-                columns.append(pa.array([values[a:b].astype(kind).tobytes() for a, b in zip(at, ends)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "bytes", "refs", "ids", "firsts", "sizes"])
+            out: dict[str, list[bytes]] = {c: [] for c in ("bytes", "sizes", "which", "refs", "ids", "firsts")}
+            for a, b in zip(at, ends):
+                index: dict[bytes, int] = {}  # equal contexts go once
+                which = [index.setdefault(raws[r[k]][f[k] : until[k]], len(index)) for k in range(a, b)]
+                out["bytes"].append(b"".join(index))
+                out["sizes"].append(np.array(list(map(len, index)), np.int32).tobytes())
+                out["which"].append(np.array(which, np.int32).tobytes())
+                for name, values in (("refs", refs), ("ids", ids), ("firsts", first)):
+                    out[name].append(values[a:b].astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at], pa.int64()), *(pa.array(v, pa.binary()) for v in out.values())], names=["bucket", *out])
 
     def compare(table: pa.Table) -> pa.Table:
-        raw = np.frombuffer(b"".join(table["bytes"].to_pylist()), np.uint8)
+        index: dict[bytes, int] = {}
+        parts = []
+        for held, sizes, which in zip(*(table[c].to_pylist() for c in ("bytes", "sizes", "which"))):
+            ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
+            own = [index.setdefault(held[a:b], len(index)) for a, b in zip([0, *ends[:-1]], ends)]
+            parts.append(np.array(own, np.int64)[np.frombuffer(which, np.int32)])
+        which = np.concatenate(parts)
         refs, ids, firsts = (np.frombuffer(b"".join(table[c].to_pylist()), np.int64) for c in ("refs", "ids", "firsts"))
-        sizes = np.frombuffer(b"".join(table["sizes"].to_pylist()), np.int32).astype(np.int64)
+        least = np.full(len(index), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids)
+        raw, sizes = np.frombuffer(b"".join(index), np.uint8), np.array(list(map(len, index)), np.int64)
         windows = sizes - length + 1
         context = np.repeat(np.arange(len(sizes)), windows)
         inside = np.arange(len(context)) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = (np.cumsum(sizes) - sizes)[context] + inside
-        found = previous_factors(raw, starts, ids[context], length)
+        found = previous_factors(raw, (np.cumsum(sizes) - sizes)[context] + inside, least[context], length)
         edge = np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))
         new_context = inside == 0
         begin = np.nonzero(found & (new_context | (edge[:-1] == 1)))[0]
         end = np.nonzero(found & (np.concatenate([new_context[1:], [True]]) | (edge[1:] == -1)))[0]
-        c = context[begin]
-        columns = [refs[c], firsts[c] + inside[begin], firsts[c] + inside[end]]
+        # the least holder of a context loses what the suffix array found, every later one the whole
+        later = ids > least[which]
+        runs_of = np.bincount(context[begin], minlength=len(sizes))
+        at = np.cumsum(runs_of) - runs_of
+        own = np.nonzero(~later)[0]
+        holder = np.repeat(own, runs_of[which[own]])
+        run = np.arange(len(holder)) - np.repeat(np.cumsum(runs_of[which[own]]) - runs_of[which[own]], runs_of[which[own]]) + at[which[holder]]
+        columns = [
+            np.concatenate([refs[holder], refs[later]]),
+            np.concatenate([firsts[holder] + inside[begin[run]], firsts[later]]),
+            np.concatenate([firsts[holder] + inside[end[run]], firsts[later] + windows[which[later]] - 1]),
+        ]
         return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(("ref", "first", "last"), columns)})
 
-    dealt = texts.mapInArrow(deal, "bucket long, bytes binary, refs binary, ids binary, firsts binary, sizes binary")
+    dealt = texts.mapInArrow(deal, "bucket long, bytes binary, sizes binary, which binary, refs binary, ids binary, firsts binary")
     return dealt.groupBy("bucket").applyInArrow(compare, "ref long, first long, last long")
 
 
@@ -352,7 +373,7 @@ def _named(docs: DataFrame) -> DataFrame:
     raise RuntimeError("texts share hashes under every seed")
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_holders: int = HOT_HOLDERS) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_holders: int | None = None) -> DataFrame:
     """Bytes of each text that a string of ``length`` bytes covers which also starts in a text of a smaller doc_id.
 
     Columns: doc_id, n_bytes, spans (array of start, end in UTF-8 bytes: maximal runs to remove), kept_sha256 (of the remaining
@@ -361,8 +382,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_ho
     judged against other texts, and the others lose all, if they have ``length`` bytes.  Ids are integers.  An empty
     table gives no rows; other columns are ignored.  ``gram``: bytes of an anchor, 16 to 24, at most ``length``.
 
-    No task holds an anchor's holders beyond ``hot_holders`` (or a millionth of all anchors): the windows of more frequent ones
-    are counted one by one.
+    No task holds an anchor's holders beyond ``hot_holders`` (those that fill a bucket, or a millionth of all anchors): the
+    windows of more frequent ones are counted one by one.
     """
     if not 16 <= gram <= min(24, length):
         raise ValueError("an anchor has 16 to 24 bytes, and no more than the least length")
@@ -376,7 +397,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_ho
     size = classes.agg(F.sum("bytes").alias("bytes"), F.sum("copies").alias("rows")).first()
     anchors = (size["bytes"] or 0) * 2 // (length - gram + 2)
     buckets = max(64, anchors // BUCKET_ANCHORS)
-    hot_limit = max(hot_holders, anchors // MOST_HOT)
+    met = (length - gram + 2 + 2 * length) // 2  # bytes of the windows that share an anchor
+    hot_limit = max(hot_holders or BUCKET_BYTES // met, anchors // MOST_HOT)
     many = {r["_ref"]: r["keep"] for r in classes.filter("copies > 1").orderBy(F.desc("copies"), "_ref").limit(HOT_TEXTS).collect()}
     shared = materialise(_shared(known.select("_ref", "_id", "_text"), many, buckets, hot_limit, length, gram), "suffix-shared")
     often = sorted(c for r in shared.filter("ref is null").collect() for c in r["codes"])  # at most MOST_HOT
@@ -386,7 +408,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_ho
     one = known.groupBy("_ref", "_id").agg(F.first("_text").alias("_text"))
     texts = one.join(wanted, (F.col("_ref") == F.col("ref")) & (F.col("_id") == F.col("keep"))).select("_ref", "_id", "_text", "codes")
     held = shared.filter("ref is not null").agg(F.sum(F.size("codes"))).first()[0] or 0
-    meeting = max(64, held * (length - gram + 2 + 2 * length) // 2 // BUCKET_BYTES)
+    meeting = max(64, held * met // BUCKET_BYTES)
     found = _found_in_buckets(texts, hot, buckets, meeting, length, gram)
     if often:
         found = found.unionByName(_found_by_window(texts, hot, buckets, length, gram))

@@ -67,7 +67,7 @@ def planted():
     return rows
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [None, 1])
 def test_planted_and_edges(spark, hot):
     rows = planted()
     docs = spark.createDataFrame([(i, t, 1, "u") for i, t in rows], "doc_id long, text string, ref int, keep string").repartition(4)
