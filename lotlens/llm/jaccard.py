@@ -20,42 +20,36 @@ from .components import connected
 
 BLOCK_ELEMENTS = 131_072
 BLOCK_SETS = 1024
+TILE_BLOCKS = 8
+BUCKET_BLOCKS = 32  # blocks, or small clusters, that one task takes at a time
 BUCKET_SIGNATURES = 1_000_000
 HELD_SIGNATURES = 200_000
 HOT_SETS = 1000
 BUILT_BYTES = 8 << 20
 HELD_MEMBERS = 100_000
-WIDE = 8192  # holders of a signature from which sketches are not compared
-SHIPPED = 3  # times that a set is shipped for each signature: packed, then met from either side
+SHORT = 5  # bytes of a signature beside its bucket: two that agree in these by chance give candidates, which are checked
+TILE = 1024  # holders of a signature whose sketches one task compares with as many others at a time
+HELD_ROWS = 2_000_000  # members of signatures that a bucket keeps to tell equal groups
+SHIPPED = 2  # times that a set is shipped for each signature: packed, then met
 SPLIT_FROM = 1.0  # a component is split where comparing it whole costs this many times as much
 
 
-_SKETCH = [f"sketch{k}" for k in range(part_enum.SKETCH_WORDS)]
-
-
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text"))
 
 
 def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, a key that equal sets share (null without shingles) and the words of a sketch."""
+    """doc_id, n_shingles, a key that equal sets share (null without shingles) and a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = part_enum.shingle_sets(batch.column("_text").to_pylist(), words)
             keys = [part_enum.set_key(s) if len(s) else None for s in sets]
-            sketch = part_enum.sketches(sets)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id"),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(keys, pa.binary()),
-                    *(pa.array(sketch[:, k]) for k in range(part_enum.SKETCH_WORDS)),
-                ],
-                names=["doc_id", "n_shingles", "set_key", *_SKETCH],
-            )
+            sizes, sketches = [len(s) for s in sets], part_enum.sketches(sets)
+            columns = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), *columns], names=["doc_id", "n_shingles", "set_key", "sketch"])
 
-    return _rows(docs).mapInArrow(run, f"doc_id long, n_shingles long, set_key binary, {', '.join(f'{c} long' for c in _SKETCH)}")
+    return _rows(docs).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
 def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int, words: int) -> DataFrame:
@@ -63,7 +57,10 @@ def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int
 
     Workers deal packed arrays of signatures to ``buckets`` by the signature's value, so a shuffled
     row holds many.  A bucket's task reads them as a stream and keeps one document per different
-    signature (16 bytes each), never the members of a frequent one.  Rows out are one per member but the first, never pairs.
+    signature, never the members of a frequent one.  Rows out are one per member but the first, never pairs.
+    Near copies share most signatures: signatures of the same documents become one, named by a hash of
+    those (two groups under one name are one larger group, which loses no link).  A bucket with more
+    than HELD_ROWS members of shared signatures gives them under their own names.
     ``hot`` maps the keys of the most frequent sets to their representatives, which alone sign.
     """
 
@@ -81,97 +78,138 @@ def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int
             owner, signature = part_enum.signatures([sets[i] for i in chosen], least)
             who = np.array([ids[i] for i in chosen], np.int64)[owner]
             bucket = (signature % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
+            order = np.lexsort((who, bucket))
             bucket, signature, who = bucket[order], signature[order], who[order]
             at = np.nonzero(np.diff(bucket, prepend=-1))[0].tolist()
             ends = [*at[1:], len(bucket)]
+            ids_, times = [], []
+            for a, b in zip(at, ends):
+                i, n = np.unique(who[a:b], return_counts=True)
+                ids_.append(i.tobytes())
+                times.append(n.astype(np.int32).tobytes())
+            short = np.ascontiguousarray((signature >> np.uint64(64 - 8 * SHORT)).view(np.uint8).reshape(-1, 8)[:, :SHORT])
+            columns = [[short[a:b].tobytes() for a, b in zip(at, ends)], ids_, times]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(bucket[at], pa.int64()),
-                    pa.array([signature[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                    pa.array([who[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()),
-                ],
-                names=["bucket", "signatures", "ids"],
+                [pa.array(bucket[at], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "signatures", "ids", "times"]
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, firsts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def step(signatures: list[bytes], ids: list[bytes]) -> pa.RecordBatch:
-            nonlocal seen, firsts
-            signature, who = np.frombuffer(b"".join(signatures), np.uint64), np.frombuffer(b"".join(ids), np.int64)
+        seen, firsts, groups = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        place = np.uint64(0)
+        held: list[np.ndarray] = []
+        large = False
+
+        def step(signatures: list[bytes], ids: list[bytes], times: list[bytes]) -> np.ndarray:
+            """(signature, u, v) as rows of an array; a signature's group hash is brought up to date."""
+            nonlocal seen, firsts, groups
+            short = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, SHORT)
+            signature = np.zeros((len(short), 8), np.uint8)
+            signature[:, :SHORT] = short
+            signature = signature.view(np.uint64)[:, 0]
+            who = np.repeat(np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(times), np.int32))
             order = np.lexsort((who, signature))
             signature, who = signature[order], who[order]
+            once = np.concatenate([[True], (signature[1:] != signature[:-1]) | (who[1:] != who[:-1])])
+            signature, who = signature[once], who[once]
             new = np.concatenate([[True], signature[1:] != signature[:-1]])
-            runs = signature[new]
-            at = np.searchsorted(seen, runs)
-            known = np.zeros(len(runs), bool)
+            kinds = signature[new]
+            at = np.searchsorted(seen, kinds)
+            known = np.zeros(len(kinds), bool)
             inside = at < len(seen)
-            known[inside] = seen[at[inside]] == runs[inside]
+            known[inside] = seen[at[inside]] == kinds[inside]
             lead = who[new]
             lead[known] = firsts[at[known]]
             first = lead[np.cumsum(new) - 1]
             other = who != first
-            seen, firsts = np.insert(seen, at[~known], runs[~known]), np.insert(firsts, at[~known], lead[~known])
-            columns = (signature[other].view(np.int64), who[other], first[other])
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["signature", "u", "v"])
-
-        signatures, ids, size = [], [], 0
+            sums = np.add.reduceat(np.where(other, part_enum.mix(who.view(np.uint64)), np.uint64(0)), np.nonzero(new)[0])
+            groups[at[known]] += sums[known]
+            fresh = ~known
+            own = part_enum.mix(lead.view(np.uint64)) + sums
+            seen, firsts = np.insert(seen, at[fresh], kinds[fresh]), np.insert(firsts, at[fresh], lead[fresh])
+            groups = np.insert(groups, at[fresh], own[fresh])
+            return np.stack([signature[other].view(np.int64), who[other], first[other]])
+
+        def named(rows: np.ndarray, by_group: bool) -> pa.RecordBatch:
+            signature, u, v = rows[:, np.argsort(rows[0], kind="stable")]
+            at = np.nonzero(np.concatenate([np.ones(min(1, len(u)), bool), signature[1:] != signature[:-1]]))[0]
+            if len(at):  # the least member leads
+                lead = np.repeat(np.minimum(np.minimum.reduceat(u, at), v[at]), np.diff([*at.tolist(), len(u)]))
+                u, v = np.where(u == lead, v, u), lead
+            values = signature.view(np.uint64)
+            name = part_enum.mix(groups[np.searchsorted(seen, values)] if by_group else part_enum.mix(values) + place).view(np.int64)
+            order = np.lexsort((v, u, name))
+            rows = np.stack([name[order], u[order], v[order]])
+            once = np.concatenate([np.ones(min(1, len(u)), bool), (np.diff(rows, axis=1) != 0).any(0)])
+            return pa.RecordBatch.from_arrays([pa.array(r[once], pa.int64()) for r in rows], names=["signature", "u", "v"])
+
+        lists: tuple[list[bytes], ...] = ([], [], [])
+        size = 0
         for batch in batches:
-            signatures += batch.column("signatures").to_pylist()
-            ids += batch.column("ids").to_pylist()
-            size += sum(map(len, ids[-batch.num_rows :])) // 8
+            if batch.num_rows:
+                place = np.uint64(batch.column("bucket")[0].as_py() + 1)
+            for kept, name in zip(lists, ("signatures", "ids", "times")):
+                kept += batch.column(name).to_pylist()
+            size += sum(map(len, lists[0][-batch.num_rows :])) // SHORT
             if size >= HELD_SIGNATURES:
-                yield step(signatures, ids)
-                signatures, ids, size = [], [], 0
-        if ids:
-            yield step(signatures, ids)
-
-    signed = _rows(docs).mapInArrow(sign, "bucket long, signatures binary, ids binary")
+                held.append(step(*lists))
+                lists, size = ([], [], []), 0
+                if large or sum(r.shape[1] for r in held) > HELD_ROWS:
+                    large = True
+                    yield named(np.concatenate(held, 1), False)
+                    held = []
+        if lists[0]:
+            held.append(step(*lists))
+        if held:
+            yield named(np.concatenate(held, 1), not large)
+
+    signed = _rows(docs).mapInArrow(sign, "bucket long, signatures binary, ids binary, times binary")
     return signed.groupBy("bucket").applyInArrow(meet, "signature long, u long, v long")
 
 
 def _plausible(candidates: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     """``candidates`` with those pairs of documents only that sketches do not rule out, through any holder.
 
-    ``sets``: doc_id, n_shingles and sketch, one row per id.  Each member of a signature is first compared with its
-    one other document in the JVM.  Members that this rules out, in a signature of three or more, are compared
-    with all holders of the signature; ``v`` is then the least document that they reach there.
-    No linked pair is ruled out.  A signature of more than WIDE holders is taken as it is.
+    ``sets``: doc_id, n_shingles and sketch, one row per id (no sketch: nothing is ruled out).  Each pair (u, v) is judged
+    once.  Members that this rules out, in a signature of three or more, are compared with all holders of the
+    signature, TILE by TILE; ``v`` is then the least document that they reach there.  No linked pair is ruled out.
     """
     # hints: the same plan at every size, so that what small tables shuffle tells what large ones will
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), *(F.col(c).alias(f"{c}_{s}") for c in _SKETCH)).hint("shuffle_hash")
-    apart = sum((F.bit_count(F.col(f"{c}_u").bitwiseXOR(F.col(f"{c}_v"))) for c in _SKETCH), F.lit(0))
-    near = apart <= F.floor((100 - least) * (F.col("n_u") + F.col("n_v")) / (100 + least))
-    pairs = candidates.select("u", "v").distinct()
+    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}")).hint("shuffle_hash")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [batch.column(c).to_pylist() if c[0] == "s" else batch.column(c).to_numpy() for c in ("s_u", "n_u", "s_v", "n_v")]
+            near = part_enum.pairs_may_link(*held, least)
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near)], names=["u", "v", "near"])
+
+    pairs = materialise(candidates.select("u", "v").distinct(), "pairs")
     hot = pairs.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > frequent_limit(pairs.count())).select("v")
-    judged = join_frequent(pairs.join(side("u"), "u"), side("v"), "v", hot).select("u", "v", near.alias("near"))
+    both = join_frequent(pairs.join(side("u"), "u"), side("v"), "v", hot).select("u", "v", "n_u", "n_v", "s_u", "s_v")
+    judged = both.mapInArrow(judge, "u long, v long, near boolean")
     rows = materialise(candidates.join(judged.hint("shuffle_hash"), ["u", "v"]), "judged")
     holders = rows.groupBy("signature").agg(
         F.count("*").alias("held"), F.count_if(~F.col("near")).alias("far"), F.min("v").alias("first")
     )
-    open_ = materialise(holders.filter("far > 0 and held > 1"), "open")
-    wide = rows.join(open_.filter(f"held >= {WIDE}").select("signature"), "signature", "left_semi")
-    some = open_.filter(f"held < {WIDE}")
-    members = rows.join(some.select("signature").hint("shuffle_hash"), "signature", "left_semi").select("signature", F.col("u").alias("doc_id"))
-    members = members.unionByName(some.select("signature", F.col("first").alias("doc_id"))).distinct()
-    total = members.count()
-    bucket = F.pmod(F.xxhash64("signature"), F.lit(max(1, total // HELD_MEMBERS + 1)))
+    open_ = materialise(holders.filter("far > 0 and held > 1").withColumn("tiles", F.expr(f"held div {TILE} + 1")), "open")
+    members = rows.join(open_.select("signature").hint("shuffle_hash"), "signature", "left_semi").select("signature", F.col("u").alias("doc_id"))
+    members = members.unionByName(open_.select("signature", F.col("first").alias("doc_id"))).distinct()
+    numbered = number_rows(members, [F.col("doc_id")], {"_before": F.lit(1)}, ["signature"], "holders").withColumn("tile", F.expr(f"_before div {TILE}"))
+    met = numbered.join(open_.select("signature", "tiles").hint("shuffle_hash"), "signature").withColumn("_other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    met = met.select("signature", "doc_id", F.least("tile", "_other").alias("a"), F.greatest("tile", "_other").alias("b"))
+    total = open_.agg(F.sum(F.expr("(held + 1) * tiles"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("signature", "a", "b"), F.lit(max(1, total // HELD_MEMBERS + 1)))
 
     def compare(table: pa.Table) -> pa.Table:
-        signature, ids, sizes = (table[c].to_numpy() for c in ("signature", "doc_id", "n_shingles"))
-        sketch = np.ascontiguousarray(np.stack([table[c].to_numpy() for c in _SKETCH], 1))
-        order = np.lexsort((ids, signature))
-        signature, ids, sizes, sketch = signature[order], ids[order], sizes[order], sketch[order]
-        cuts = np.nonzero(np.diff(signature))[0] + 1
+        table = table.sort_by([(c, "ascending") for c in ("signature", "a", "b", "doc_id")])
+        signature, a_, b_, ids, sizes = (table[c].to_numpy() for c in ("signature", "a", "b", "doc_id", "n_shingles"))
+        sketch = table["sketch"].to_pylist()
+        cuts = (np.nonzero((np.diff(signature) != 0) | (np.diff(a_) != 0) | (np.diff(b_) != 0))[0] + 1).tolist()
         found = []
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)]):
+        for a, b in zip([0, *cuts], [*cuts, len(ids)]):
             label = np.arange(b - a)
-            strips = [slice(x, min(x + 1024, b)) for x in range(a, b, 1024)]
-            links = [part_enum.may_link(sketch[s], sizes[s], sketch[a:b], sizes[a:b], least) for s in strips]
+            links = part_enum.may_link(sketch[a:b], sizes[a:b], sketch[a:b], sizes[a:b], least)
             while True:  # the least holder that each reaches
-                after = np.concatenate([np.where(near, label, b - a).min(1) for near in links])
-                after = np.minimum(label, after)
+                after = np.minimum(label, np.where(links, label, b - a).min(1))
                 after = after[after]
                 if (after == label).all():
                     break
@@ -181,9 +219,9 @@ def _plausible(candidates: DataFrame, sets: DataFrame, least: int) -> DataFrame:
         rows = np.concatenate([*found, np.zeros((0, 3), np.int64)])
         return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("signature", "u", "v"))})
 
-    told = members.join(sets.hint("shuffle_hash"), "doc_id").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "signature long, u long, v long")
+    told = met.join(sets.hint("shuffle_hash"), "doc_id").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare, "signature long, u long, v long")
     kept = rows.filter("near").join(open_.select("signature").hint("shuffle_hash"), "signature", "left_anti")
-    return kept.select("signature", "u", "v").unionByName(told).unionByName(wide.select("signature", "u", "v"))
+    return kept.select("signature", "u", "v").unionByName(told)
 
 
 def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame, least: int) -> DataFrame:
@@ -206,7 +244,7 @@ def _clusters(candidates: DataFrame, copies: DataFrame, classes: DataFrame, leas
     band = F.floor(F.log(weight.cast("double")) / math.log(100 / least)).alias("band")
     banded = sets.groupBy("label", band).agg(F.count("*").cast("double").alias("n"), F.sum(weight).alias("w"))
     after = F.coalesce(F.lead("w").over(Window.partitionBy("label").orderBy("band")), F.lit(0))
-    met = F.col("w") + (F.col("w") * F.col("w") + 2 * F.col("w") * after) / BLOCK_ELEMENTS  # a band meets itself and the next
+    met = F.col("w") + (F.col("w") * F.col("w") + 2 * F.col("w") * after) / (BLOCK_ELEMENTS * TILE_BLOCKS)  # a band meets itself and the next
     large = (
         banded.withColumn("met", met)
         .groupBy("label")
@@ -250,49 +288,62 @@ class _Block:
         self.ids, self.weights = whole["ids"], whole["weights"]
         self.sets = np.split(whole["elements"], np.cumsum(whole["sizes"])[:-1])
         self.clusters = np.split(whole["clusters"], np.cumsum(whole["spread"])[:-1])
+        self.low, self.high = int(whole["sizes"].min()), int(whole["sizes"].max())
 
     def before(self, cluster: int) -> list[np.ndarray]:
         return [c[c < cluster] for c in self.clusters]
 
 
-def _block_compare(least: int):
-    """Compares two packed blocks per row; gives each linked set its least mate and its links' weight.
+def _compare(a: _Block, b: _Block, cluster: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, links): each linked set of two blocks, its least mate in them and its links' weight.
 
     A pair of sets that shares several clusters counts in the first of them alone.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                value = {n: batch.column(n)[row].as_py() for n in batch.schema.names}
-                a = _Block({c: value[f"{c}_a"] for c in _PACKED})
-                same = value["block_a"] == value["block_b"]
-                b = a if same else _Block({c: value[f"{c}_b"] for c in _PACKED})
-                common = part_enum.common_counts(a.sets, b.sets)
-                union = np.array([len(s) for s in a.sets])[:, None] + np.array([len(s) for s in b.sets]) - common
-                link = 100 * common >= least * union
-                if max(map(len, a.clusters)) > 1 and max(map(len, b.clusters)) > 1 and link.any():
-                    link &= part_enum.common_counts(a.before(value["cluster"]), b.before(value["cluster"])) == 0
-                if same:
-                    np.fill_diagonal(link, False)
-                    near, nodes, weight = link, a.ids, a.weights
-                else:
-                    none_a, none_b = (np.zeros((len(x.ids), len(x.ids)), bool) for x in (a, b))
-                    near = np.block([[none_a, link], [link.T, none_b]])
-                    nodes, weight = np.concatenate([a.ids, b.ids]), np.concatenate([a.weights, b.weights])
-                links = near.astype(np.float64) @ weight
-                label = np.arange(len(nodes))
-                while True:  # the least index that each node reaches inside this pair of blocks
-                    after = np.minimum(label, np.where(near, label, len(nodes)).min(1, initial=len(nodes)))
-                    after = after[after]
-                    if (after == label).all():
-                        break
-                    label = after
-                found = np.nonzero(near.any(1))[0]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes[found]), pa.array(nodes[label[found]]), pa.array(links[found].astype(np.int64))],
-                    names=["u", "v", "links"],
-                )
+    same = a is b
+    common = part_enum.common_counts(a.sets, b.sets)
+    union = np.array([len(s) for s in a.sets])[:, None] + np.array([len(s) for s in b.sets]) - common
+    link = 100 * common >= least * union
+    if max(map(len, a.clusters)) > 1 and max(map(len, b.clusters)) > 1 and link.any():
+        link &= part_enum.common_counts(a.before(cluster), b.before(cluster)) == 0
+    if same:
+        np.fill_diagonal(link, False)
+        near, nodes, weight = link, a.ids, a.weights
+    else:
+        none_a, none_b = (np.zeros((len(x.ids), len(x.ids)), bool) for x in (a, b))
+        near = np.block([[none_a, link], [link.T, none_b]])
+        nodes, weight = np.concatenate([a.ids, b.ids]), np.concatenate([a.weights, b.weights])
+    links = near.astype(np.float64) @ weight
+    label = np.arange(len(nodes))
+    while True:  # the least index that each node reaches inside this pair of blocks
+        after = np.minimum(label, np.where(near, label, len(nodes)).min(1, initial=len(nodes)))
+        after = after[after]
+        if (after == label).all():
+            break
+        label = after
+    found = np.nonzero(near.any(1))[0]
+    return nodes[found], nodes[label[found]], links[found].astype(np.int64)
+
+
+def _tile_compare(least: int):
+    """Compares the blocks of the tiles of a bucket, block against block, where their sizes allow a link."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("cluster", "tile_a", "tile_b", "block")])
+        where = np.stack([table[c].to_numpy() for c in ("cluster", "tile_a", "tile_b")])
+        cuts = (np.nonzero((np.diff(where, axis=1) != 0).any(0))[0] + 1).tolist()
+        packed = {c: table[c].combine_chunks() for c in ("block", *_PACKED)}
+        found = [tuple(np.zeros(0, np.int64) for _ in range(3))]
+        for start, end in zip([0, *cuts], [*cuts, table.num_rows]):
+            cluster, tile_a, tile_b = where[:, start].tolist()
+            blocks = []
+            for row in range(start, end):
+                at = packed["block"][row].as_py()
+                blocks.append((at, _Block({c: packed[c][row].as_py() for c in _PACKED})))
+            for i, (at_a, a) in enumerate(blocks):
+                for at_b, b in blocks[i:]:
+                    if at_a // TILE_BLOCKS == tile_a and at_b // TILE_BLOCKS == tile_b and 100 * a.high >= least * b.low:
+                        found.append(_compare(a, b, cluster, least))
+        return pa.table({n: pa.array(np.concatenate([f[k] for f in found])) for k, n in enumerate(("u", "v", "links"))})
 
     return run
 
@@ -301,9 +352,9 @@ def _verify(docs: DataFrame, members: DataFrame, least: int, words: int) -> Data
     """(u, v, links) from comparing all sets of each cluster, block against block.
 
     ``members``: doc_id, n_shingles, copies, set_key, cluster; one row per different set and cluster.
-    Sets of a cluster are ordered by size and cut into blocks of bounded size; only blocks whose
-    sizes allow a link meet, each pair in a task of its own, which gives at most one row per set
-    that has a link.
+    Sets of a cluster are ordered by size and cut into blocks of bounded size; only blocks whose sizes
+    allow a link meet.  A tile is TILE_BLOCKS blocks against as many others, so a block is shipped once for
+    each tile of its cluster.  A pair of blocks gives at most one row per set that has a link.
     """
     weight = F.greatest(F.col("n_shingles"), F.lit(BLOCK_ELEMENTS // BLOCK_SETS))
     order = [F.col("n_shingles"), F.col("doc_id")]
@@ -363,9 +414,12 @@ def _verify(docs: DataFrame, members: DataFrame, least: int, words: int) -> Data
         .applyInArrow(gather, f"cluster long, block long, {columns}")
     )
     packed = materialise(packed, "packed")
-    sides = {s: packed.select("cluster", *(F.col(c).alias(f"{c}_{s}") for c in ("block", *_PACKED))) for s in "ab"}
-    met = pairs.join(sides["a"], ["cluster", "block_a"]).join(sides["b"], ["cluster", "block_b"])
-    return met.mapInArrow(_block_compare(least), "u long, v long, links long")
+    tile = lambda c: F.expr(f"{c} div {TILE_BLOCKS}")
+    tiles = pairs.select("cluster", tile("block_a").alias("tile_a"), tile("block_b").alias("tile_b"), F.explode(F.array("block_a", "block_b")).alias("block"))
+    wanted = materialise(tiles.distinct(), "tiles")
+    bucket = F.pmod(F.xxhash64("cluster", "tile_a", "tile_b"), F.lit(wanted.count() // BUCKET_BLOCKS + 1))
+    met = wanted.join(packed, ["cluster", "block"]).withColumn("bucket", bucket)
+    return met.groupBy("bucket").applyInArrow(_tile_compare(least), "u long, v long, links long")
 
 
 def group_similar(docs: DataFrame, least: int = part_enum.LEAST, words: int = part_enum.WORDS) -> DataFrame:
@@ -393,11 +447,12 @@ def group_similar(docs: DataFrame, least: int = part_enum.LEAST, words: int = pa
     copied = classes.filter("copies > 1").select("set_key", "rep")
     copies = join_frequent(known, copied, "set_key", frequent).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     copies = materialise(copies.filter("u <> v").distinct(), "copies")
-    candidates = materialise(_candidates(docs, hot, buckets, least, words), "candidates")
-    sketched = known.select("doc_id", "n_shingles", *_SKETCH)
-    sketched = sketched.groupBy("doc_id").agg(F.count("*").alias("texts"), *(F.min(c).alias(c) for c in ("n_shingles", *_SKETCH)))
-    if sketched.filter("texts > 1").isEmpty():  # every id has one sketch
-        candidates = materialise(_plausible(candidates, sketched.drop("texts"), least), "plausible")
+    candidates = materialise(_candidates(docs, hot, buckets, least, words).distinct(), "candidates")
+    texts = known.groupBy("doc_id").agg(F.min("set_key").alias("_least"), F.max("set_key").alias("_most"))
+    several = F.col("_least") != F.col("_most")  # an id of several texts has no sketch of its own
+    sketched = known.groupBy("doc_id").agg(F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    sketched = sketched.join(texts, "doc_id").select("doc_id", "n_shingles", F.when(~several, F.col("sketch")).alias("sketch"))
+    candidates = materialise(_plausible(candidates, sketched, least), "plausible")
     found = materialise(_verify(docs, _clusters(candidates, copies, classes, least), least, words).repartition("u"), "links")
     parts = connected(found.select("u", "v").unionByName(copies))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))

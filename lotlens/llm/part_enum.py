@@ -97,30 +97,66 @@ def set_key(elements: np.ndarray) -> bytes:
     return np.array([a, b], np.uint64).tobytes()
 
 
-SKETCH_WORDS = 32
+LEAST_CELLS = 512
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SKETCH_WORDS 64-bit words per set: the parity of its elements in each of 64 * SKETCH_WORDS cells.
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """A bit per cell and set: the parity of the set's elements in that cell, for 2 to 4 cells per element.
 
     An element that only one of two sets has changes one bit, so sketches never differ in more
-    bits than the sets do in elements.
+    bits than the sets do in elements.  The number of cells is a power of two, so halves of a sketch fold
+    to the sketch of half as many cells.
     """
-    cells = 64 * SKETCH_WORDS
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-    owner = np.repeat(np.arange(len(sets), dtype=np.int64) * cells, sizes)
+    cells = np.array([max(LEAST_CELLS, 1 << (2 * n - 1).bit_length()) if n else LEAST_CELLS for n in sizes.tolist()], np.int64)
+    ends = np.cumsum(cells)
     flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
-    counts = np.bincount(owner + (flat % _U(cells)).astype(np.int64), minlength=len(sets) * cells)
-    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64).reshape(len(sets), SKETCH_WORDS)
+    place = (flat & np.repeat(cells - 1, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(ends - cells, sizes)
+    counts = np.bincount(place, minlength=int(cells.sum()))
+    raw = np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[(e - c) // 8 : e // 8] for c, e in zip(cells.tolist(), ends.tolist())]
+
+
+def _stacked(held: list[bytes], width: int) -> np.ndarray:
+    """Sketches as rows of 64-bit words, folded to ``width`` bytes."""
+    out = np.zeros((len(held), width // 8), np.uint64)
+    sizes = np.fromiter(map(len, held), np.int64, len(held))
+    for size in np.unique(sizes).tolist():
+        at = np.nonzero(sizes == size)[0]
+        rows = np.frombuffer(b"".join([held[i] for i in at.tolist()]), np.uint64).reshape(len(at), size // 8)
+        while rows.shape[1] > width // 8:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[at] = rows
+    return out
+
+
+def _few(apart: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
+    fits = 100 * np.minimum(a, b) >= least * np.maximum(a, b)
+    return fits & (apart <= (100 - least) * (a + b) // (100 + least))
 
 
-def may_link(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, least: int) -> np.ndarray:
-    """Matrix of the pairs of sets that their sketches and sizes do not rule out."""
-    a, b = a.view(np.uint64), b.view(np.uint64)
+def may_link(a: list[bytes | None], size_a: np.ndarray, b: list[bytes | None], size_b: np.ndarray, least: int) -> np.ndarray:
+    """Matrix of the pairs of sets that their sketches and sizes do not rule out; without a sketch nothing is."""
+    open_a, open_b = (np.array([s is None for s in side], bool) for side in (a, b))
+    width = min((len(s) for s in [*a, *b] if s is not None), default=8)
+    blank = bytes(width)
+    x, y = (_stacked([blank if s is None else s for s in side], width) for side in (a, b))
     apart = np.zeros((len(a), len(b)), np.int64)
-    for word in range(SKETCH_WORDS):
-        apart += np.bitwise_count(a[:, word, None] ^ b[None, :, word])
-    return apart <= (100 - least) * (size_a[:, None] + size_b[None, :]) // (100 + least)
+    for word in range(width // 8):
+        apart += np.bitwise_count(x[:, word, None] ^ y[None, :, word])
+    return _few(apart, size_a[:, None], size_b[None, :], least) | open_a[:, None] | open_b[None, :]
+
+
+def pairs_may_link(a: list[bytes | None], size_a: np.ndarray, b: list[bytes | None], size_b: np.ndarray, least: int) -> np.ndarray:
+    """``may_link`` of each element of ``a`` with the one at its place in ``b``."""
+    width = np.array([0 if x is None or y is None else min(len(x), len(y)) for x, y in zip(a, b)], np.int64)
+    near = width == 0
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.nonzero(width == w)[0].tolist()
+        x, y = _stacked([a[i] for i in at], w), _stacked([b[i] for i in at], w)
+        near[at] = _few(np.bitwise_count(x ^ y).sum(1, dtype=np.int64), size_a[at], size_b[at], least)
+    return near
 
 
 def bands(largest: int, least: int = LEAST) -> np.ndarray:
