@@ -38,23 +38,24 @@ FURTHER = {
     "compression": "powertrain",
     "odometer": "documents",
 }
+# The items' names, by which items of one priority and system are ordered
 CHECKS = {
-    "diagnostic": "Read stored and pending fault codes",
-    "cold_start": "Watch a start of the cold engine",
-    "structure": "Inspect chassis and structure from below",
-    "paint": "Measure the paint of every panel",
-    "fluids": "Check fluids and look for leaks",
-    "transmission": "Drive the gearbox cold and hot under load",
-    "suspension": "Check suspension, bushings and steering for play",
-    "brakes": "Check pads, discs and brake fluid",
-    "tyres": "Check age, depth and wear of the tyres",
-    "electrics": "Try warning lights and all electrical functions",
-    "documents": "Compare papers, ownership and the VIN plate",
-    "rust": "Look for corrosion at sills and underbody",
-    "alignment": "Check wheel alignment and geometry",
-    "major_service": "Verify the services due at this mileage",
-    "compression": "Test the engine's compression",
-    "odometer": "Compare the odometer with records and control units",
+    "diagnostic": "Full diagnostic scan for stored and pending fault codes",
+    "cold_start": "Cold engine start, observed from the first turn of the key",
+    "structure": "Structural and chassis inspection on a lift",
+    "paint": "Paint thickness measurement across all panels",
+    "fluids": "Fluid condition and leak inspection",
+    "transmission": "Transmission behaviour under load, hot and cold",
+    "suspension": "Suspension, bushings and steering play",
+    "brakes": "Brake pad, disc and fluid condition",
+    "tyres": "Tyre age, tread depth and even wear across all four",
+    "electrics": "Electrical systems, warning lights and all comfort functions",
+    "documents": "Registration, ownership documents and VIN plate consistency",
+    "rust": "Underbody and sill corrosion inspection",
+    "alignment": "Wheel alignment and geometry check",
+    "major_service": "Verification that mileage-due major services were performed",
+    "compression": "Engine compression or leak-down test",
+    "odometer": "Odometer verification against service records and ECU data",
 }
 ASKED_OF_SIGNALS = ("DAMAGE", "MILEAGE_ANOMALY", "MILEAGE_SEQUENCE", "INCONSISTENCY", "LISTING_BEHAVIOUR", "HISTORY_GAPS")
 
