@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import stats
 
 # Windows in days, least sample of a snapshot, of a find; largest gap of a find
@@ -47,23 +48,27 @@ def in_scopes(listings: DataFrame, as_of: Column, windows: Sequence[int] = WINDO
 
 
 def build(
-    listings: DataFrame, as_of: Column, key: str = "model_key", windows: Sequence[int] = WINDOWS, scopes: Sequence[str] = ("", NATIONAL)
-) -> DataFrame:
+    listings: DataFrame, as_of: Column, key: str = "model_key", windows: Sequence[int] = WINDOWS, scopes: Sequence[str] = ("", NATIONAL),
+    large: bool = False,
+) -> DataFrame:
     """One row per (key, scope, window) with at least five listings.
 
-    Prices are trimmed of outliers first (not where fewer than five would stay); sample_size, mean,
+    Prices are trimmed of outliers first; sample_size, mean,
     quantiles and dispersion come from the trimmed prices, mileage, days on market, new and removed
-    counts from all of the scope's listings.  One job for all scopes and windows.
+    counts from all of the scope's listings.  One job for all scopes and windows.  ``large``: a group may have more
+    different prices than a task can hold.
+
+    Trimming never leaves fewer than five of the eight or more prices that it needs: of a group's deviations the
+    first half and the next one are at most twice their median, which is less than three sigmas.
     """
     keys = [key, "scope", "window_days"]
     rows = in_scopes(
         listings.select(key, "listing_id", "region", "price", "mileage_km", "first_seen", "last_seen", "status"), as_of, windows, scopes
     )
-    flagged = stats.flag_outliers(rows, keys, "price")
-    left = F.sum(F.when(F.col("is_outlier"), 0).otherwise(1)).over(Window.partitionBy(*keys))
-    kept = flagged.withColumn("_left", left).filter(~F.col("is_outlier") | (F.col("_left") < MIN_SAMPLE))
-    quantiles = stats.weighted_quantiles(kept, keys, "price").withColumnRenamed("n", "sample_size")
-    level = stats.spread(kept, keys, "price", money=True).select(*keys, "mean", F.col("cv").alias("dispersion"))
+    kept = stats.flag_outliers(rows, keys, "price", large=large).filter(~F.col("is_outlier"))
+    kept = materialise(kept, "trimmed") if large else kept
+    quantiles = stats.weighted_quantiles(kept, keys, "price", large=large).withColumnRenamed("n", "sample_size")
+    level = stats.spread(kept, keys, "price", money=True, large=large).select(*keys, "mean", F.col("cv").alias("dispersion"))
     days = whole_days(F.least(F.col("last_seen"), as_of), F.col("first_seen"))
     since = as_of - F.make_dt_interval(F.col("window_days"))
     whole = rows.groupBy(*keys).agg(

@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from . import selection
+
 # Scale of the MAD and of the mean deviation, outlier threshold and least sample
 MAD_TO_SIGMA = 1.4826
 MEAN_DEV_TO_SIGMA = 1.2533
@@ -39,15 +42,24 @@ def money_mean(value: Column) -> Column:
     return F.sum(F.round(value * 100).cast("long")) / (F.count(value) * 100)
 
 
-def spread(df: DataFrame, keys: Sequence[str], value: str, money: bool = False) -> DataFrame:
+def _medians(df: DataFrame, keys: Sequence[str], value: str, name: str, large: bool) -> DataFrame:
+    if large:
+        return selection.quantiles(df, keys, value, {name: 0.5}).drop("n")
+    return df.groupBy(*keys).agg(F.median(value).alias(name))
+
+
+def spread(df: DataFrame, keys: Sequence[str], value: str, money: bool = False, large: bool = False) -> DataFrame:
     """n, mean, median, mad, sigma and cv of ``value`` in each group.
 
     sigma is 1.4826 MAD, or 1.2533 times the mean absolute deviation from the median where the MAD
     is 0, and 0 below two values.  cv is sigma / |median|, 0 below two values or at median 0.
-    ``money``: values have two decimals, and their mean is taken of whole cents.
+    ``money``: values have two decimals, and their mean is taken of whole cents.  ``large``: groups may have
+    more different values than a task can hold; medians are then selected by histograms.
     """
     centred = df.filter(F.col(value).isNotNull())
-    middle = centred.groupBy(*keys).agg(F.median(value).alias("_median"))
+    if large:
+        centred = materialise(centred, "centred")
+    middle = _medians(centred, keys, value, "_median", large)
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
     deviations = (
         centred.alias("l")
@@ -55,13 +67,19 @@ def spread(df: DataFrame, keys: Sequence[str], value: str, money: bool = False)
         .select(*(F.col(f"l.{k}") for k in keys), F.col(f"l.{value}").alias("_v"), "_median")
         .withColumn("_dev", F.abs(F.col("_v") - F.col("_median")))
     )
+    if large:
+        deviations = materialise(deviations, "deviations")
     found = deviations.groupBy(*keys).agg(
         F.count("*").alias("n"),
         (money_mean(F.col("_v")) if money else F.avg("_v")).alias("mean"),
         F.first("_median").alias("median"),
-        F.median("_dev").alias("mad"),
+        *(() if large else (F.median("_dev").alias("mad"),)),
         F.avg("_dev").alias("_mean_dev"),
     )
+    if large:
+        mads = _medians(deviations, keys, "_dev", "mad", large)
+        on = [F.col(f"l.{k}").eqNullSafe(F.col(f"m.{k}")) for k in keys]
+        found = found.alias("l").join(mads.alias("m"), on).select("l.*", "m.mad")
     sigma = (
         F.when(F.col("n") < 2, 0.0)
         .when(F.col("mad") > 0, F.col("mad") * MAD_TO_SIGMA)
@@ -80,13 +98,14 @@ def flag_outliers(
     value: str,
     threshold: float = OUTLIER_THRESHOLD,
     min_sample: int = OUTLIER_MIN_SAMPLE,
+    large: bool = False,
 ) -> DataFrame:
     """``df`` with boolean ``is_outlier``: outside median +- threshold sigma of its group.
 
     Groups below ``min_sample`` values or without spread keep everything; a null value is no
     outlier.
     """
-    bounds = spread(df, keys, value).select(
+    bounds = spread(df, keys, value, large=large).select(
         *(F.col(k).alias(f"_b_{k}") for k in keys),
         F.when((F.col("n") >= min_sample) & (F.col("sigma") > 0), F.col("sigma") * threshold).alias("_reach"),
         F.col("median").alias("_mid"),
@@ -104,6 +123,7 @@ def weighted_quantiles(
     quantiles: dict[str, float] = QUANTILES,
     tie: Sequence[str] = (),
     combine: bool = True,
+    large: bool = False,
 ) -> DataFrame:
     """Weighted quantiles by the mid-point convention, one column per entry of ``quantiles``, and n.
 
@@ -112,7 +132,8 @@ def weighted_quantiles(
     count as 0; a group whose weights are all 0 gets the plain interpolated quantile.  ``tie``
     orders equal values.  With ``combine`` equal values become one row before the shuffle, so a group
     costs its task as many rows as it has different values, whatever its size; without it rows are
-    taken as they are, which is shorter for groups that are small anyway.
+    taken as they are, which is shorter for groups that are small anyway.  ``large``: groups may have more
+    different values than a task can hold; weights are then added up over ranges of values.
     """
     w = F.greatest(F.coalesce(F.col(weight), F.lit(0.0)), F.lit(0.0)) if weight else F.lit(1.0)
     rows = df.filter(F.col(value).isNotNull()).withColumn("_w", w.cast("double"))
@@ -124,6 +145,8 @@ def weighted_quantiles(
         )
     else:
         rows = rows.withColumns({"_sum": F.col("_w"), "_head": F.col("_w"), "_tail": F.col("_w"), "_rows": F.lit(1)})
+    if large:
+        return _large_quantiles(rows, keys, value, quantiles, [] if combine else tie)
     ordered = Window.partitionBy(*keys).orderBy(F.col(value), *(F.col(t) for t in ([] if combine else tie)))
     whole = Window.partitionBy(*keys)
     total = F.col("_total")
@@ -155,6 +178,35 @@ def weighted_quantiles(
     )
 
 
+def _large_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], tie: Sequence[str]) -> DataFrame:
+    """``weighted_quantiles`` of combined rows without a window over a group: each quantile lies between the last
+    position up to it and the first one from it on, which two aggregates find."""
+    written = selection.running_total(rows, keys, [value, *tie], "_sum", "_upto")
+    totals = written.groupBy(*keys).agg(F.sum("_sum").alias("_total"), F.sum("_rows").alias("n"), F.min(value).alias("_low"), F.max(value).alias("_top"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    joined = written.alias("l").join(totals.alias("t"), on).select("l.*", "t._total", "t.n", "t._low", "t._top")
+    total, v = F.col("_total"), F.col(value).cast("double")
+    start = (F.col("_upto") - F.col("_sum") + F.col("_head") / 2) / total
+    end = (F.col("_upto") - F.col("_tail") / 2) / total
+    placed = joined.filter(total > 0).withColumns({"_from": start, "_at": end})
+    ends = []
+    for name, q in quantiles.items():
+        ends.append(F.max(F.when(F.col("_from") <= q, F.struct(F.least("_at", F.lit(q)).alias("at"), v.alias("v")))).alias(f"_{name}_a"))
+        ends.append(F.min(F.when(F.col("_at") >= q, F.struct(F.greatest("_from", F.lit(q)).alias("at"), v.alias("v")))).alias(f"_{name}_b"))
+    found = placed.groupBy(*keys, "n", "_low", "_top").agg(*ends)
+
+    def told(name: str, q: float) -> Column:
+        a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
+        inside = F.when(a["at"] == b["at"], F.least(a["v"], b["v"])).otherwise(a["v"] + (b["v"] - a["v"]) * (q - a["at"]) / (b["at"] - a["at"]))
+        return F.when(a.isNull(), F.col("_low").cast("double")).when(b.isNull(), F.col("_top").cast("double")).otherwise(inside)
+
+    weighted = found.select(*keys, "n", *(told(name, q).alias(name) for name, q in quantiles.items()))
+    weightless = totals.filter("_total <= 0").select(*keys)
+    some = rows.alias("r").join(weightless.alias("w"), [F.col(f"r.{k}").eqNullSafe(F.col(f"w.{k}")) for k in keys], "left_semi")
+    plain = selection.quantiles(some.withColumn("_one", F.explode(F.expr("sequence(1, int(_rows))"))), keys, value, quantiles)
+    return weighted.unionByName(plain)
+
+
 def weighted_mean(value: str, weight: str) -> Column:
     """Aggregate: sum of value times weight over the weights, the plain mean where those are all 0."""
     total = F.sum(weight)
