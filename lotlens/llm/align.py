@@ -64,6 +64,8 @@ class Pair:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.size_a, self.size_b = (np.array(list(map(len, side)), np.int64) for side in (self.bytes_a, self.bytes_b))
+        self.flat_a, self.flat_b = (np.frombuffer(b"".join(side), np.uint8) for side in (self.bytes_a, self.bytes_b))
+        self.from_a, self.from_b = (np.cumsum(sizes) - sizes for sizes in (self.size_a, self.size_b))
         self.width = len(str(max(len(self.bytes_a), len(self.bytes_b)))) + 1
         most = max(len(self.bytes_a), len(self.bytes_b))
         self.digits = np.frombuffer("".join(str(i).ljust(self.width) for i in range(most)).encode(), np.uint8).reshape(most, self.width)
@@ -73,15 +75,22 @@ class Pair:
         """Ids under A and B; texts whose joined bytes differ from the text's after a space have none in either."""
         coded_a = self.a.encode_batch([" " + t for t in texts], special=False)
         coded_b = [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)] if texts else []
-        none = np.zeros(0, np.int64)
-        for k, text in enumerate(texts):
-            want = b" " + text.encode()
-            if not text or not all(
-                b"".join([side[i] for i in ids.tolist()]) == want for side, ids in ((self.bytes_a, coded_a[k]), (self.bytes_b, coded_b[k]))
-            ):
-                coded_a[k] = coded_b[k] = none
+        wanted = [(b" " + t.encode()) if t else b"" for t in texts]
+        told = self._told(coded_a, self.size_a, self.flat_a, self.from_a, wanted) & self._told(coded_b, self.size_b, self.flat_b, self.from_b, wanted)
+        for k in np.nonzero(~told | (np.array(list(map(len, wanted)), np.int64) == 0))[0].tolist():
+            coded_a[k] = coded_b[k] = np.zeros(0, np.int64)
         return [a.astype(np.int64) for a in coded_a], coded_b
 
+    @staticmethod
+    def _told(coded: list[np.ndarray], sizes: np.ndarray, flat: np.ndarray, start: np.ndarray, wanted: list[bytes]) -> np.ndarray:
+        """Whether the joined bytes of each text's ids are the wanted ones."""
+        ids = np.concatenate([*coded, np.zeros(0, np.int64)]).astype(np.int64)
+        size = sizes[ids]
+        ends = np.cumsum(size)
+        raw = flat[np.repeat(start[ids] - (ends - size), size) + np.arange(int(size.sum()))].tobytes()
+        places = np.concatenate([[0], ends])[np.cumsum([0, *(len(c) for c in coded)])].tolist()
+        return np.array([raw[a:b] == w for a, b, w in zip(places[:-1], places[1:], wanted)], bool)
+
     def written(self, ids: np.ndarray, after: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The decimals of ``ids``, each followed by its byte of ``after``, and where each one ends."""
         long = self.long[ids]
