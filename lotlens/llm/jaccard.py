@@ -406,7 +406,7 @@ def _verify(docs: DataFrame, members: DataFrame, least: int, words: int) -> Data
     at = placed.groupBy(F.col("doc_id").alias("_member"), "set_key", "copies").agg(
         F.collect_list(F.struct("cluster", "block")).alias("places")  # as many as the set has signatures at most
     )
-    texts = _rows(docs).join(at, F.col("_id") == F.col("_member"))
+    texts = _rows(docs).join(at.hint("shuffle_hash"), F.col("_id") == F.col("_member"))  # one plan at every size, see _plausible
     columns = ", ".join(f"{c} binary" for c in _PACKED)
     packed = (
         texts.mapInArrow(build, "cluster long, block long, id long, copies long, elements binary, clusters binary")
