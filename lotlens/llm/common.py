@@ -31,6 +31,14 @@ def whole_row(docs: DataFrame) -> Column:
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
 
 
+def text_beside_row(docs: DataFrame) -> tuple[DataFrame, T.StructType, str]:
+    """(rows, schema, name): ``text`` as Spark resolves it, as ``_text`` beside the ``whole_row``; the schema of
+    both; and the text column's own name, which may differ in case."""
+    rows = docs.select(F.col("text").alias("_text"), whole_row(docs))
+    name = "text" if "text" in docs.columns else next(c for c in docs.columns if c.lower() == "text")
+    return rows, rows.schema, name
+
+
 def set_aside(docs: DataFrame, own: list[str]) -> dict[str, str]:
     """New names for the columns of ``docs`` whose names an operator's result has itself: ``_in`` is appended."""
     taken = {c.lower() for c in [*docs.columns, *own]}

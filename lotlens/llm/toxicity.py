@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, small_batches
+from .common import fold_of, small_batches, text_beside_row
 
 FOLDS, HELD_OUT = 5, 0
 MOST_TOXIC, MOST_CLEAN = 3000, 6000  # bounds of the labelled sample that the score is fitted on
@@ -372,7 +372,8 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = batch.column("_text").to_pylist()
             yield batch.filter(pa.array([model.score(t) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows, schema, _ = text_beside_row(docs)
+    return rows.mapInArrow(run, schema).select("row.*")

@@ -127,3 +127,13 @@ def test_own_names_do_not_clash(spark):
     model = t.train(docs, labels)
     kept = t.keep_clean(docs, model)
     assert kept.columns == docs.columns and {r.text for r in kept.collect()} == {"a calm day"}
+
+
+def test_keep_clean_resolves_the_text_column_as_spark_does(spark):
+    model = t.train(*(spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels")))
+    rows = [(1, "You are a worthless idiot", 1, "fine"), (2, "A quiet day.", 2, "You are a worthless idiot"), (3, None, 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, TEXT string, `a.b` int, last string")
+    out = t.keep_clean(docs, model)
+    scores = {r.doc_id: r.predicted for r in t.score(docs, model).collect()}
+    assert out.columns == docs.columns
+    assert sorted(tuple(r) for r in out.collect()) == [r for r in rows if not scores[r[0]]]
