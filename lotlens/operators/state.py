@@ -34,6 +34,26 @@ def issues(observed_year: Column) -> Column:
     return F.filter(found, lambda i: i.isNotNull())
 
 
+def issue_details(observed_year: Column) -> Column:
+    """``issues`` with what is wrong about each: structs of issue and detail."""
+    c = F.col
+    told = lambda text, value: F.format_string(text, value)
+    pair = lambda issue, detail: F.struct(F.lit(issue).alias("issue"), detail.alias("detail"))
+    price, km, year = F.format_number("price", 0), F.format_number("mileage_km", 0), c("model_year").cast("int")
+    found = F.array(
+        F.when(c("price") < MIN_PRICE, pair("IMPLAUSIBLE_PRICE", told("%s is too low a price", price))),
+        F.when(c("price") > MAX_PRICE, pair("IMPLAUSIBLE_PRICE", told("%s is too high a price", price))),
+        F.when(c("mileage_km") > MAX_MILEAGE, pair("IMPLAUSIBLE_MILEAGE", told("%s km, perhaps another unit", km))),
+        F.when(year < MIN_YEAR, pair("IMPLAUSIBLE_YEAR", told("year %d is too early", year))),
+        F.when(year > observed_year + YEARS_AHEAD, pair("IMPLAUSIBLE_YEAR", told("year %d is yet to come", year))),
+        F.when(
+            F.coalesce(c("make"), F.lit("")).isin("") | F.coalesce(c("model"), F.lit("")).isin(""),
+            pair("UNRESOLVABLE", F.lit("make or model is not known, so there is nothing to compare with")),
+        ),
+    )
+    return F.filter(found, lambda i: i.isNotNull())
+
+
 def upsert(state: DataFrame, batch: DataFrame, as_of: Column | None = None) -> DataFrame:
     """The next state and what happened to each key, from one full outer join on ``listing_id``.
 

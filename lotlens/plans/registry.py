@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import appraisal, ingestion, reports, requests, services, statistics
+from . import appraisal, ingestion, reports, requests, services, statistics, store
 
-_MODULES = (statistics, appraisal, ingestion, services, requests, reports)
+_MODULES = (statistics, appraisal, ingestion, services, requests, reports, store)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
