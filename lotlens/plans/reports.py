@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, reports
+from ..operators import responses as responses_of
 from ..session import materialise, once
 from ..sources import market
 from . import appraisal
@@ -145,13 +146,44 @@ SELECT subject_id, CASE subject_id % 9 WHEN 2 THEN 'NOT_JSON' WHEN 8 THEN 'NOT_J
 FROM rated
 """
 
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a client reads of each subject, out of its response."""
+    _, chosen, _, _ = appraisal._valued(spark, sf_dir)
+    facts, moves = appraisal._facts(spark, sf_dir)
+    made = materialise(responses_of.respond(materialise(_appraised(facts, moves), "appraised"), chosen, market.as_of()), "responses")
+    at = lambda path: F.get_json_object("response", f"$.{path}")
+    types = F.transform(F.from_json(at("risk.signals"), "array<struct<type: string>>"), lambda s: s["type"])
+    listed = F.transform(F.from_json(at("comparables"), "array<struct<listing_id: long>>"), lambda x: x["listing_id"].cast("string"))
+    applied = F.filter(F.from_json(at("valuation.adjustments"), "array<struct<label: string, applied: boolean>>"), lambda a: a["applied"])
+    return made.select(
+        "subject_id", at("valuation.central_estimate.formatted").alias("central"), at("price_position.asking_price.formatted").alias("asking"),
+        at("price_position.rating_label").alias("rating"), F.round(at("price_position.gap_analysis.unexplained").cast("double"), 2).alias("unexplained"),
+        F.array_join(F.transform(applied, lambda a: a["label"]), ",").alias("applied"), F.array_join(types, ",").alias("signals"),
+        F.size(listed).alias("n_comparables"), F.array_join(listed, ",").alias("comparables"), at("negotiation.opening.amount").isNotNull().alias("negotiable"),
+    )
+
+
+RESPONSES_SQL = f"""
+, shown AS (
+  SELECT subject_id, CAST(count(*) AS INTEGER) AS n, string_agg(CAST(listing_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM chosen WHERE rank <= 20 GROUP BY 1
+), told AS (SELECT subject_id, string_agg(kind, ',' ORDER BY rank DESC, conf DESC, kind) AS kinds FROM weighed GROUP BY 1)
+SELECT r.subject_id, format('{{:,}}', CAST(round(central) AS BIGINT)) || ' AZN' AS central, format('{{:,}}', CAST(round(s_price) AS BIGINT)) || ' AZN' AS asking,
+  upper(rating[1]) || lower(replace(rating[2:], '_', ' ')) AS rating, round(CASE WHEN outcome = 'OK' THEN total_gap - explained END, 2) AS unexplained,
+  concat_ws(',', CASE WHEN mileage_reason = 'APPLIED' THEN 'Mileage' END, CASE WHEN age_reason = 'APPLIED' THEN 'Model year' END,
+    CASE WHEN geography_reason = 'APPLIED' THEN 'Location' END, CASE WHEN disclosure_reason = 'APPLIED' THEN 'Disclosed condition' END) AS applied,
+  coalesce(t.kinds, '') AS signals, coalesce(n, 0) AS n_comparables, coalesce(ids, '') AS comparables, central IS NOT NULL AS negotiable
+FROM rated r LEFT JOIN shown s ON r.subject_id = s.subject_id LEFT JOIN told t ON r.subject_id = t.subject_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_checks": report_checks,
     "reports_without_model": reports_without_model,
     "reports_parsed": reports_parsed,
+    "responses": responses,
 }
 ORACLE_SQL: dict[str, str] = {
     "report_checks": _twin(CHECKS_SQL, *_ALL),
     "reports_without_model": _twin(WITHOUT_SQL, *_ALL),
     "reports_parsed": _twin(PARSED_SQL, *_ALL),
+    "responses": _twin(RESPONSES_SQL, *_ALL),
 }
