@@ -55,7 +55,7 @@ def blank(text: Column) -> Column:
 
 def make(raw: Column) -> Column:
     """Canonical make; null for blank and unknown ones."""
-    names = V.spellings({m: f"{m.lower().replace('-', ' ')}, {keys}" for m, keys in V.MAKES.items()})
+    names = V.spellings({m: (m.lower().replace("-", " "), *keys) for m, keys in V.MAKES.items()})
     return F.when(~blank(raw), F.try_element_at(V.as_map(names), lookup_key(raw)))
 
 

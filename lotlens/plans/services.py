@@ -449,7 +449,7 @@ def _look_sql(table_of: dict[str, str], expr: str) -> str:
     return _map_sql(vocabulary.spellings(table_of), _key_sql(expr))
 
 
-_MAKE_NAMES = vocabulary.spellings({m: f"{m.lower().replace('-', ' ')}, {keys}" for m, keys in vocabulary.MAKES.items()})
+_MAKE_NAMES = vocabulary.spellings({m: (m.lower().replace("-", " "), *keys) for m, keys in vocabulary.MAKES.items()})
 _ALIASES = {f"{m}|{key}": name for m, t in vocabulary.MODEL_ALIASES.items() for key, name in vocabulary.spellings(t).items()}
 _BODY_ORDER = list(vocabulary.BODIES)
 _BODY_RANKS = {k: _BODY_ORDER.index(v) + 1 for k, v in vocabulary.spellings(vocabulary.BODIES).items()}
