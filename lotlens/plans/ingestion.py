@@ -285,7 +285,10 @@ ORDER BY observed_at DESC, seq DESC LIMIT 500
 
 
 def orphan_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that neither an active nor an expressly undamaged listing refers to."""
+    """Parts that neither an active nor an expressly undamaged listing refers to.
+
+    Lines of large quantities stand for those listings: of all lines together no part is left out, so none would be an orphan.
+    """
     lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
     one, two = lines.filter("l_linestatus = 'O' and l_quantity > 40"), lines.filter("l_returnflag = 'A' and l_quantity > 45")
     return state.orphans(table(spark, sf_dir, "part"), one, two, key="p_partkey").select("p_partkey", "p_brand", "p_type")

@@ -313,14 +313,15 @@ SELECT listing_id, CASE WHEN listing_id % 9 <> 0 THEN lower(make) ELSE split_par
 
 
 def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer, with orders or without, by the number of their orders."""
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"))
-    return context.profiles(users, table(spark, sf_dir, "orders").filter("o_custkey % 4 <> 0").select(F.col("o_custkey").alias("user_id")))
+    return context.profiles(users, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")))
 
 
 PROFILES_SQL = """
 SELECT c_custkey AS user_id, c_name AS name, coalesce(n, 0) AS analyses,
   CASE WHEN n IS NULL THEN 'none' WHEN n < 5 THEN 'some' ELSE 'knows' END AS familiarity
-FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1) ON c_custkey = o_custkey
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey
 """
 
 
