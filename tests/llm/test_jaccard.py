@@ -243,3 +243,54 @@ def test_signatures_with_several_families(spark):
             rows.append((family * 10 + copy, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     assert rows_of(jaccard.group_similar(docs)) == brute(rows)
+
+
+def wide_rows():
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(4000)]
+    passage = [rng.choice(words) for _ in range(40)]
+    rows = [(i, " ".join(passage + [rng.choice(words) for _ in range(rng.randint(3, 12))])) for i in range(100, 180)]
+    base = [rng.choice(words) for _ in range(150)]
+    for i in range(40):
+        text = list(base)
+        text[rng.randrange(150)] = rng.choice(words)
+        rows.append((500 - i, " ".join(text)))
+    return rows
+
+
+def test_small_tiles_give_the_same(spark, monkeypatch):
+    for name, value in (("TILE", 4), ("TILE_BLOCKS", 1), ("BUCKET_BLOCKS", 2), ("BLOCK_ELEMENTS", 500), ("HELD_ROWS", 50), ("HELD_SIGNATURES", 200)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = wide_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(jaccard.group_similar(docs)) == brute(rows)
+
+
+def test_one_repeated_id_does_not_switch_the_filter_off(spark, monkeypatch):
+    kept, real = {}, jaccard.materialise
+
+    def counted(df, name):
+        made = real(df, name)
+        kept.setdefault(name, made.count())
+        return made
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    jaccard.group_similar(docs)
+    without = kept.pop("plausible")
+    kept.clear()
+    jaccard.group_similar(docs.unionByName(spark.createDataFrame([(1, "another text of the same id, on its own")], docs.schema)))
+    assert kept["plausible"] <= without + 20 and without < kept["candidates"]
+
+
+def test_sketches_of_long_sets_still_tell():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64)) for _ in range(3)]
+    sets.append(np.unique(np.concatenate([sets[0][:19_000], rng.integers(0, 2**63, 900).astype(np.uint64)])))
+    sketch, sizes = part_enum.sketches(sets), np.array(list(map(len, sets)))
+    near = part_enum.may_link(sketch, sizes, sketch, sizes, 80)
+    assert near.tolist() == [[i == j or {i, j} == {0, 3} for j in range(4)] for i in range(4)]
+    flat = [(i, j) for i in range(4) for j in range(4)]
+    pairs = part_enum.pairs_may_link([sketch[i] for i, _ in flat], sizes[[i for i, _ in flat]], [sketch[j] for _, j in flat], sizes[[j for _, j in flat]], 80)
+    assert pairs.tolist() == near.ravel().tolist()
+    assert part_enum.pairs_may_link([None], sizes[:1], sketch[:1], sizes[:1], 80).all()
