@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from . import selection
+from . import selection, slopes
 
 # Scale of the MAD and of the mean deviation, outlier threshold and least sample
 MAD_TO_SIGMA = 1.4826
@@ -225,14 +227,17 @@ def percentile_rank(value: Column, target: Column) -> Column:
     return F.avg(F.when(value.isNotNull(), score)) * 100
 
 
-def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str) -> DataFrame:
+def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str, large: bool = False) -> DataFrame:
     """Robust line through each group: slope, intercept, n_points, x_span.
 
     The slope is the median over all pairs with different x, the intercept the median of
     y - slope x; groups below three points or with one x give no row.  All pairs of a group are built
-    in one array, so this is for groups of bounded size: comparable sets hold 300 rows at most.
+    in one array, so this is for groups of bounded size: comparable sets hold 300 rows at most.  With ``large``
+    pairs are counted instead, in n log^2 n steps for n points, which alone a task then holds.
     """
     points = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if large:
+        return _large_theil_sen(points, keys, x, y)
     packed = points.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct(F.col(row_id).alias("i"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")))).alias("_p"),
         F.count("*").alias("n_points"),
@@ -249,6 +254,20 @@ def theil_sen(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str) -
     return usable.select(*keys, "slope", median_of(F.sort_array(rest)).alias("intercept"), "n_points", "x_span")
 
 
+def _large_theil_sen(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    def fit(table: pa.Table) -> pa.Table:
+        a, b = table["_x"].to_numpy(), table["_y"].to_numpy()
+        slope = slopes.median_slope(a, b) if len(a) >= MIN_SLOPE_POINTS else None
+        found = [] if slope is None else [(slope, float(np.median(b - slope * a)), len(a), float(a.max() - a.min()))]
+        kinds = (("slope", pa.float64()), ("intercept", pa.float64()), ("n_points", pa.int64()), ("x_span", pa.float64()))
+        values = {name: pa.array([row[k] for row in found], kind) for k, (name, kind) in enumerate(kinds)}
+        return pa.table({k: table[k].slice(0, len(found)) for k in keys} | values)
+
+    rows = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    schema = [*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), "slope double, intercept double, n_points long, x_span double"]
+    return rows.groupBy(*keys).applyInArrow(fit, ", ".join(schema))
+
+
 def median_of(ordered: Column) -> Column:
     """Median of a sorted array without nulls; null for an empty one."""
     n = F.size(ordered)

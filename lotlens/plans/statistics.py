@@ -337,8 +337,35 @@ SELECT * FROM (
  (SELECT count(*) FILTER (issue IS NOT NULL AND last_seen >= {_AT} - INTERVAL 7 DAY) AS quality_issues_7d FROM issues)
 """
 
+def stats_quantile_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of each model's prices and the distance of their quartiles, without a window over a model."""
+    found = stats.weighted_quantiles(market.listings(spark, sf_dir), ["model_key"], "price", large=True)
+    return rounded(found.withColumn("iqr", F.col("p75") - F.col("p25")))
+
+
+QUANTILE_SETS_SQL = f"""
+SELECT model_key, n, round(p10, 4) AS p10, round(p25, 4) AS p25, round(p50, 4) AS p50, round(p75, 4) AS p75, round(p90, 4) AS p90, round(p75 - p25, 4) AS iqr
+FROM ({quantiles_sql("listings", "model_key", "price", "1", ", listing_id")})
+"""
+
+
+def model_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price against mileage over all listings of each model, by counts of pairs."""
+    lines = stats.theil_sen(market.listings(spark, sf_dir), ["model_key"], "mileage_km", "price", "listing_id", large=True)
+    return rounded(lines.withColumn("intercept", F.round("intercept", 2)), 6)
+
+
+MODEL_SLOPES_SQL = """
+, p AS (SELECT model_key, listing_id, CAST(mileage_km AS DOUBLE) AS x, price AS y FROM listings),
+s AS (SELECT a.model_key, median((b.y - a.y) / (b.x - a.x)) AS slope FROM p a JOIN p b ON a.model_key = b.model_key AND a.listing_id < b.listing_id AND a.x <> b.x GROUP BY 1)
+SELECT model_key, round(any_value(slope), 6) AS slope, round(median(y - slope * x), 2) AS intercept, count(*) AS n_points, max(x) - min(x) AS x_span
+FROM p JOIN s USING (model_key) GROUP BY 1 HAVING count(*) >= 3
+"""
+
 QUERIES = {
     "stats_spread": stats_spread,
+    "stats_quantile_sets": stats_quantile_sets,
+    "model_slopes": model_slopes,
     "stats_outliers": stats_outliers,
     "stats_weighted_quantiles": stats_weighted_quantiles,
     "stats_interpolated_quantiles": stats_interpolated_quantiles,
@@ -355,6 +382,8 @@ QUERIES = {
 
 ORACLE_SQL = {
     "stats_spread": _twin(SPREAD_SQL, market.LISTINGS_SQL),
+    "stats_quantile_sets": _twin(QUANTILE_SETS_SQL, market.LISTINGS_SQL),
+    "model_slopes": _twin(MODEL_SLOPES_SQL, market.LISTINGS_SQL),
     "stats_outliers": _twin(OUTLIERS_SQL, market.OBSERVATIONS_SQL),
     "stats_weighted_quantiles": _twin(WEIGHTED_QUANTILES_SQL, market.LISTINGS_SQL),
     "stats_interpolated_quantiles": INTERPOLATED_SQL,
