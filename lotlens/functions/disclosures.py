@@ -30,33 +30,30 @@ STRONG_CLAIMS = [
 ]
 
 
-def _any(patterns: list[str], *texts: Column) -> Column:
-    pattern = "|".join(patterns)
-    found = texts[0].rlike(pattern)
-    for text in texts[1:]:
-        found = found | text.rlike(pattern)
-    return found
+def _told(description: Column) -> Column:
+    """The folded and the lower-case form as one text, parted by a character that no pattern can match."""
+    return F.concat(fold(description), F.lit("\u0001"), F.lower(F.coalesce(description, F.lit(""))))
 
 
-def _read(folded: Column, lower: Column) -> Column:
-    claims = F.array(*(F.when(folded.rlike(p) | lower.rlike(p), i) for i, p in enumerate(STRONG_CLAIMS)))
+def _read(told: Column) -> Column:
+    says = lambda patterns: told.rlike("|".join(patterns))
+    claims = F.array(*(F.when(told.rlike(p), i) for i, p in enumerate(STRONG_CLAIMS)))
     return F.struct(
-        F.when(_any(DAMAGE_DENIED, folded, lower), False).when(_any(DAMAGE_STATED, folded, lower), True).alias("damage"),
-        F.when(_any(REPAINT_DENIED, folded, lower), False).when(_any(REPAINT_STATED, folded, lower), True).alias("repaint"),
-        F.when(_any(NEEDS_REPAIR, folded, lower), True).alias("needs_repair"),
+        F.when(says(DAMAGE_DENIED), False).when(says(DAMAGE_STATED), True).alias("damage"),
+        F.when(says(REPAINT_DENIED), False).when(says(REPAINT_STATED), True).alias("repaint"),
+        F.when(says(NEEDS_REPAIR), True).alias("needs_repair"),
         F.size(F.filter(claims, lambda c: c.isNotNull())).alias("claims"),
     )
 
 
 def read(description: Column) -> Column:
     """struct(damage, repaint, needs_repair, claims): true, false, or null where nothing is said."""
-    return _read(fold(description), F.lower(F.coalesce(description, F.lit(""))))
+    return _read(_told(description))
 
 
 def with_readings(rows: DataFrame, description: Column, name: str = "read") -> DataFrame:
     """``rows`` with ``read`` of the description, which is folded and lower-cased once for all patterns."""
-    plain = rows.withColumns({"_folded": fold(description), "_lower": F.lower(F.coalesce(description, F.lit("")))})
-    return plain.withColumn(name, _read(F.col("_folded"), F.col("_lower"))).drop("_folded", "_lower")
+    return rows.withColumn("_told", _told(description)).withColumn(name, _read(F.col("_told"))).drop("_told")
 
 
 def disclosure(condition: Column, description: Column, kind: str) -> Column:

@@ -14,31 +14,57 @@ def _property(*labels: str) -> str:
     return rf'>(?:{named})</span><span class="[^"]*product-properties__i-value[^"]*">(?:<a[^>]*>)?\s*([^<]+?)\s*(?:</a>)?</span>'
 
 
-# Where a listing page holds each field, labels in two languages
+# Labels of the properties, in two languages
+PROPERTIES = {
+    "make": ("Marka", "Марка"),
+    "model": ("Model", "Модель"),
+    "model_year": ("Buraxılış ili", "Год выпуска"),
+    "mileage_km": ("Yürüş", "Пробег"),
+    "city": ("Şəhər", "Город"),
+    "transmission": ("Sürətlər qutusu", "Коробка передач"),
+    "drivetrain": ("Ötürücü", "Привод"),
+    "body": ("Ban növü", "Тип кузова"),
+    "engine": ("Mühərrik", "Двигатель"),
+    "condition": ("Vəziyyəti", "Состояние"),
+}
+# Where a listing page holds each field
 RULES = {
     "external_id": r'rel="canonical"\s+href="[^"]*?/autos/(\d+)',
     "price": r'class="[^"]*product-price__i--bold[^"]*"[^>]*>\s*([^<]+?)\s*<',
-    "make": _property("Marka", "Марка"),
-    "model": _property("Model", "Модель"),
-    "model_year": _property("Buraxılış ili", "Год выпуска"),
-    "mileage_km": _property("Yürüş", "Пробег"),
-    "city": _property("Şəhər", "Город"),
+    "make": _property(*PROPERTIES["make"]),
+    "model": _property(*PROPERTIES["model"]),
+    "model_year": _property(*PROPERTIES["model_year"]),
+    "mileage_km": _property(*PROPERTIES["mileage_km"]),
+    "city": _property(*PROPERTIES["city"]),
     "fuel": r'>(?:Mühərrik|Двигатель)</span><span class="[^"]*product-properties__i-value[^"]*">[^<]*/\s*([^<]+?)\s*</span>',
-    "transmission": _property("Sürətlər qutusu", "Коробка передач"),
-    "drivetrain": _property("Ötürücü", "Привод"),
-    "body": _property("Ban növü", "Тип кузова"),
-    "engine": _property("Mühərrik", "Двигатель"),
+    "transmission": _property(*PROPERTIES["transmission"]),
+    "drivetrain": _property(*PROPERTIES["drivetrain"]),
+    "body": _property(*PROPERTIES["body"]),
+    "engine": _property(*PROPERTIES["engine"]),
     "seller_type": r'class="product-shop__owner-featured">\s*([^<]+?)\s*<',
     "description": r'(?s)class="[^"]*product-description__content[^"]*"[^>]*>(.*?)</div>',
-    "condition": _property("Vəziyyəti", "Состояние"),
+    "condition": _property(*PROPERTIES["condition"]),
 }
+PAIR = r'>([^<>]+)(?=</span><span class="[^"]*product-properties__i-value[^"]*">(?:<a[^>]*>)?\s*([^<]+?)\s*(?:</a>)?</span>)'
 LINK = r'href="(/autos/\d+(?:-[^"/]*)?)"'
 
 
-def payload(html: Column) -> Column:
-    """Map of field to text as the page states it; fields without a match are absent."""
-    found = F.map_from_arrays(F.array(*(F.lit(n) for n in RULES)), F.array(*(pages.extract(html, p) for p in RULES.values())))
-    return F.map_filter(found, lambda _, v: v.isNotNull())
+def with_payload(landed: DataFrame, html: str = "html") -> DataFrame:
+    """``landed`` with ``raw``: map of field to text as the page states it; fields without a match are absent.
+
+    The labelled properties are read in one go, label and value; of a field's labels the first on the page counts.
+    """
+    text = F.col(html)
+    read = landed.withColumns({"_labels": F.regexp_extract_all(text, F.lit(PAIR), F.lit(1)), "_values": F.regexp_extract_all(text, F.lit(PAIR), F.lit(2))})
+
+    def value(labels: tuple[str, ...]) -> Column:
+        at = [F.nullif(F.array_position("_labels", F.lit(label)), F.lit(0)) for label in labels]
+        found = F.try_element_at("_values", F.least(*at).cast("int"))
+        return F.nullif(F.trim(F.regexp_replace(found, r"\s+", " ")), F.lit(""))
+
+    told = [value(PROPERTIES[n]) if n in PROPERTIES else pages.extract(text, p) for n, p in RULES.items()]
+    found = F.map_from_arrays(F.array(*(F.lit(n) for n in RULES)), F.array(*told))
+    return read.withColumn("raw", F.map_filter(found, lambda _, v: v.isNotNull())).drop("_labels", "_values")
 
 
 def fields(raw: Column, make: Column | None = None) -> dict[str, Column]:
@@ -65,7 +91,7 @@ def parse(landed: DataFrame) -> DataFrame:
     structured condition is read before the prose.
     """
     text = lambda n: F.try_element_at(F.col("raw"), F.lit(n))
-    rows = landed.select("page_id", "url", payload(F.col("html")).alias("raw"))
+    rows = with_payload(landed.select("page_id", "url", "html")).drop("html")
     rows = disclosures.with_readings(disclosures.with_readings(rows, text("condition"), "_box"), text("description"), "_prose")
     amount, currency = normalise.money(text("price"))
     make = normalise.make(text("make"))
