@@ -491,6 +491,24 @@ FROM stated
 """
 
 
+def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule finds on each page; of descriptions the length."""
+    found = listing_pages.rule_matches(_landed(market.listings(spark, sf_dir)))
+    value = F.when(F.col("field") == "description", F.char_length("value").cast("string")).otherwise(F.col("value"))
+    return found.select("page_id", "field", value.alias("value"))
+
+
+MATCHES_SQL = """
+SELECT listing_id AS page_id, unnest(['external_id', 'price', 'make', 'model', 'model_year', 'mileage_km', 'city', 'fuel', 'transmission', 'drivetrain',
+    'body', 'engine', 'seller_type', 'description', 'condition']) AS field,
+  unnest([CASE WHEN listing_id % 7 <> 0 THEN CAST(listing_id AS VARCHAR) END,
+    CASE WHEN listing_id % 13 <> 0 THEN format('{:,}', CAST(floor(price) AS BIGINT)) || CASE WHEN listing_id % 2 = 0 THEN ' AZN' ELSE ' USD' END END,
+    raw_make, raw_model, CAST(model_year AS VARCHAR), format('{:,}', mileage_km) || ' km', raw_city, split_part(raw_engine, ' / ', 3), raw_transmission, raw_drivetrain,
+    raw_body, raw_engine, CASE WHEN listing_id % 3 = 0 THEN 'Salon' END, CAST(nullif(length(description), 0) AS VARCHAR), nullif(raw_condition, '')]) AS value
+FROM raws
+"""
+
+
 def payload_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configurations stored when bodies of several words were unknown, against what the payloads say today."""
     rows = listing_pages.parse(_landed(market.listings(spark, sf_dir)))
@@ -613,6 +631,7 @@ QUERIES = {
     "transactions": transactions,
     "presentation": presentation,
     "listing_page_fields": listing_page_fields,
+    "rule_matches": rule_matches,
     "payload_replay": payload_replay,
     "page_discovery": page_discovery,
     "run_health": run_health,
@@ -639,6 +658,7 @@ ORACLE_SQL = {
     "transactions": _twin(TRANSACTIONS_SQL, _L),
     "presentation": _twin(PRESENTATION_SQL, *appraisal._BASE, appraisal.VALUED_SQL),
     "listing_page_fields": _twin(PAGE_SQL, _L, RAW_SQL),
+    "rule_matches": _twin(MATCHES_SQL, _L, RAW_SQL),
     "payload_replay": _twin(REPLAY_SQL, _L, RAW_SQL),
     "page_discovery": _twin(DISCOVERY_SQL, "one AS (SELECT 1)"),
     "run_health": _twin(HEALTH_SQL, _L, RAW_SQL),

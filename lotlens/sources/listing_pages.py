@@ -67,6 +67,13 @@ def with_payload(landed: DataFrame, html: str = "html") -> DataFrame:
     return read.withColumn("raw", F.map_filter(found, lambda _, v: v.isNotNull())).drop("_labels", "_values")
 
 
+def rule_matches(landed: DataFrame) -> DataFrame:
+    """page_id, field and value of every rule on every page, null where the rule finds nothing: what a person checks rules by."""
+    read = with_payload(landed)
+    told = F.array(*(F.struct(F.lit(n).alias("field"), F.try_element_at("raw", F.lit(n)).alias("value")) for n in RULES))
+    return read.select("page_id", F.explode(told).alias("rule")).select("page_id", "rule.field", "rule.value")
+
+
 def fields(raw: Column, make: Column | None = None) -> dict[str, Column]:
     """The configuration that a payload states, in canonical members; ``make`` if it is worked out already."""
     text = lambda n: F.try_element_at(raw, F.lit(n))
