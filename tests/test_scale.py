@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from lotlens.operators import comparables
+from lotlens.operators import comparables, stats
 
 def at():
     return F.lit("2001-08-01 00:00:00").cast("timestamp_ntz")
@@ -33,3 +33,8 @@ def test_the_pairs_of_one_model_are_dealt_over_tasks(spark):
     want = comparables.select(comparables.score(plain, at())).select(*kept).collect()
     got = comparables.choose(subjects, comparables.latest(rows, at(), 300), at()).select(*kept).collect()
     assert want and sorted(want) == sorted(got)
+
+
+def test_effective_size_of_whole_weights_outgrows_no_long(spark):
+    df = spark.createDataFrame([(4_000_000_000,), (4_000_000_000,)], "w long")
+    assert df.agg(stats.effective_size("w").alias("n")).first().n == 2.0
