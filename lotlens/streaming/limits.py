@@ -6,12 +6,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PER_MINUTE, WINDOW_SECONDS = 60, 60.0
@@ -21,32 +24,28 @@ def allowed(requests: DataFrame, limit: int = PER_MINUTE, seconds: float = WINDO
     """``requests`` (key, at, seq) with ``allowed``: whether fewer than ``limit`` allowed requests of the key lie in the window.
 
     A hit exactly ``seconds`` old still counts.  Requests of a key go by (at, seq); null keys are a key, a
-    null time is never allowed and never counts.  A pause longer than the window forgets all hits, so a
-    key is cut there and each busy period is folded by itself; a period is one row, as each of its
-    verdicts needs the one before.
+    null time is never allowed and never counts.  Each verdict needs the ones before, so a key's requests are
+    sorted into one task; they stream through it in batches, and only the last ``limit`` hits are held.
     """
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
     width = int(seconds * 1_000_000)
-    by_time = Window.partitionBy("key").orderBy("_at", "seq")
-    timed = requests.withColumn("_at", micros)
-    fresh = (F.col("_at") - F.lag("_at").over(by_time) > width) | F.lag("_at").over(by_time).isNull()
-    marked = timed.filter("_at is not null").withColumn("_fresh", fresh.cast("long"))
-    periods = marked.withColumn("_period", F.sum("_fresh").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.struct("_at", "seq", F.struct(*requests.columns).alias("row"))
-    folded = periods.groupBy("key", "_period").agg(F.array_sort(F.collect_list(rows)).alias("rows"))
-    none = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("hits"), F.array().cast("array<boolean>").alias("told"))
-
-    def step(state: F.Column, row: F.Column) -> F.Column:
-        held = F.filter(state["hits"], lambda hit: hit >= row["_at"] - width)
-        free = F.size(held) < limit
-        return F.struct(
-            F.when(free, F.concat(held, F.array(row["_at"]))).otherwise(held).alias("hits"),
-            F.concat(state["told"], F.array(free)).alias("told"),
-        )
-
-    told = folded.withColumn("told", F.aggregate("rows", start, step)["told"])
-    each = told.select(F.explode(F.arrays_zip("rows", "told")).alias("x")).select("x.rows.row.*", F.col("x.told").alias("allowed"))
+    timed = requests.withColumn("_at", F.unix_micros(F.col("at").cast("timestamp"))).filter("_at is not null")
+    inside = timed.repartition("key").sortWithinPartitions("key", "_at", "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, hits = object(), deque(maxlen=limit)
+        for batch in batches:
+            told = []
+            for key, at in zip(batch["key"].to_pylist(), batch["_at"].to_pylist()):
+                if key != current:
+                    current, hits = key, deque(maxlen=limit)
+                free = limit > 0 and (len(hits) < limit or hits[0] < at - width)
+                told.append(free)
+                if free:
+                    hits.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.bool_())], [*batch.schema.names, "allowed"])
+
+    schema = StructType([*timed.schema.fields, StructField("allowed", BooleanType())])
+    each = inside.mapInArrow(fold, schema).drop("_at")
     return each.unionByName(requests.filter(F.col("at").isNull()).withColumn("allowed", F.lit(False)))
 
 

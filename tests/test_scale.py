@@ -1,8 +1,11 @@
 """Faults that show on larger tables only, each on a small one."""
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from lotlens.operators import comparables, stats
+from lotlens.streaming import limits
 
 def at():
     return F.lit("2001-08-01 00:00:00").cast("timestamp_ntz")
@@ -38,3 +41,12 @@ def test_the_pairs_of_one_model_are_dealt_over_tasks(spark):
 def test_effective_size_of_whole_weights_outgrows_no_long(spark):
     df = spark.createDataFrame([(4_000_000_000,), (4_000_000_000,)], "w long")
     assert df.agg(stats.effective_size("w").alias("n")).first().n == 2.0
+
+
+def test_a_busy_key_of_the_limiter_is_not_put_into_one_row(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [("a", start + dt.timedelta(seconds=i // 10), i) for i in range(2000)]
+    told = limits.allowed(spark.createDataFrame(rows, "key string, at timestamp_ntz, seq long"), 2, 10)
+    assert "collect_list" not in told._jdf.queryExecution().toString()
+    got = [r.seq for r in told.filter("allowed").orderBy("seq").collect()]
+    assert got == [s for k in range(0, 2000, 110) for s in (k, k + 1)]
