@@ -26,7 +26,6 @@ LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 Span = tuple[int, int]
 KINDS = ("assign", "access", "hex", "lexed")
 LEAST_SCORE = 0.6
-WEIGHED = 4096  # characters of one literal that its score looks at; its span is whole
 _KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 #: How sensitive the parts of a target name are; the highest part counts.
@@ -139,8 +138,7 @@ def assignments(text: str) -> Iterator[tuple[str, int, int, str, tuple[Span, ...
     ``start`` and ``end`` bound the value as written.  A bare value that names a constant of the
     text, or a value that refers to it as $NAME, takes that constant's value, be it defined before or
     (failing that) after; sums of literals and constants are joined.  ``literals`` bound the
-    literals that the value comes from, wherever they stand; ``value`` has the first WEIGHED
-    characters of each.  In "label: name = value" the value is given for the label too; a value
+    literals that the value comes from, wherever they stand; ``value`` has them whole.  In "label: name = value" the value is given for the label too; a value
     that holds assignments is given, and so are they.  A neutral name inside a named object (in
     braces or indented below it) is given as "outer.name".
     """
@@ -214,10 +212,15 @@ def assignments(text: str) -> Iterator[tuple[str, int, int, str, tuple[Span, ...
             stack.pop()
         return resolved[i]
 
+    values: dict[tuple[Span, ...], str] = {}  # each put together once, however many references lead to it
     for i, (given, start, end, _) in enumerate(found):
         scored = len(given) > 1 or name_weight(given[0])
         spans = literals(i) if scored else ((start, end),)
-        value = "".join(text[a : min(b, a + WEIGHED)] for a, b in spans) if scored else ""
+        value = ""
+        if scored:
+            if spans not in values:
+                values[spans] = "".join(text[a:b] for a, b in spans)
+            value = values[spans]
         for name in given:
             yield name, start, end, value, spans
 
@@ -239,12 +242,15 @@ def scan(text: str, operands: bool = False) -> list[tuple[str, int, int, float]]
     base = sorted((start, end) for _, start, end, _ in spans)
     starts, reach = [a for a, _ in base], [-1, *accumulate((b for _, b in base), max)]
     lexed: dict[Span, float] = {}
+    weights: dict[str, float] = {}
     for name, start, end, value, literals in assignments(text):
         score = name_weight(name)
         unquoted = len(literals) == 1 and text[literals[0][0] - 1 : literals[0][0]] not in _QUOTES
         if unquoted and _PHRASE.match(value):
             continue  # plain words joined by hyphens, points or slashes, such as a name or a path
-        if score and (score := score * literal_weight(value)) >= LEAST_SCORE:
+        if score and value not in weights:
+            weights[value] = literal_weight(value)
+        if score and (score := score * weights[value]) >= LEAST_SCORE:
             inside = [s for s in literals if start <= s[0] and s[1] <= end]
             away = [s for s in literals if s not in inside]
             for span in [*([(start, end)] if inside else []), *(away if operands or not inside else [])]:

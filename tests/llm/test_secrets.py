@@ -176,3 +176,10 @@ def test_redact_resolves_the_text_column_as_spark_does(spark):
     got = {r.doc_id: tuple(r) for r in out.collect()}
     assert "Abcdef" not in got[1][1] and got[1][2:] == ("note", 5, secret)
     assert got[2] == (2, None, None, None, None)
+
+
+def test_a_literal_is_weighed_whole():
+    rng = random.Random(5)
+    key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!%&") for _ in range(9000))
+    text = f"password = '!{'a' * 5000}{key}'"
+    assert [s for s in secrets.scan(text) if s[0] == "lexed" and s[1] == 12]
