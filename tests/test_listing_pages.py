@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from lotlens.operators import state
+from lotlens.plans import services
 from lotlens.sources import listing_pages, pages
 
 
@@ -36,6 +38,30 @@ def test_one_go_finds_what_each_rule_finds(spark):
     assert len(got[1]) == 14 and not got[5] and not got[6]
 
 
+def test_a_class_that_swallows_a_break_and_repeated_marks(spark):
+    bold = '<div class="product-price__i--bold" data-x>'
+    odd = '<b>Model</span><span class="product-properties__i-value</span><span class="> Rio </span>' + prop("Marka", "KIA") + bold + "1 AZN<"
+    rows = [
+        odd, "product-price__i--bold and <p class=\"x\">" + bold + " 5 USD <", prop("Mühərrik", "none") + prop("Двигатель", "2.0 / Dizel") + prop("Marka", "  "),
+        'rel="canonical" x <link rel="canonical" href="/autos/12"> product-description__content</div><i class="y product-description__content">a <b>c</b></div>',
+        "Marka</span>" + '<span class="product-properties__i-value">Lada</span>',
+    ]
+    landed_ = spark.createDataFrame(list(enumerate(rows)), "page_id int, html string")
+    own = [pages.extract(F.col("html"), p).alias(n) for n, p in listing_pages.RULES.items()]
+    want = {r.page_id: {n: r[n] for n in listing_pages.RULES if r[n] is not None} for r in landed_.select("page_id", *own).collect()}
+    assert {r.page_id: dict(r.raw or {}) for r in listing_pages.with_payload(landed_).collect()} == want
+    assert want[0]["model"] == "Rio" and want[1]["price"] == "5 USD" and want[2]["fuel"] == "Dizel" and want[3]["description"] == "a c" and not want[4]
+
+
+def test_the_health_of_a_run_reads_its_pages_once(spark):
+    rows = spark.createDataFrame([(1, "a", ["X"]), (2, None, [])], "price int, make string, errors array<string>")
+    failures = F.avg(F.when(F.size("errors") > 0, 1.0).otherwise(0.0))
+    rates = state.extraction_rates(rows, ["price", "make"], also={"failures": failures})
+    assert {(r.field, r.rate, r.pages, r.failures) for r in rates.collect()} == {("price", 1.0, 2, 0.5), ("make", 0.5, 2, 0.5)}
+    told = services.run_health(spark, "/root/testdata/sf0.001")
+    assert "product-price" not in told._jdf.queryExecution().optimizedPlan().toString()  # the pages were read before, once
+
+
 def test_literal_pages_become_listings(spark):
     got = {r.page_id: r for r in listing_pages.parse(landed(spark)).collect()}
     one = got[1]
