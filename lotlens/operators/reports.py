@@ -50,6 +50,7 @@ _OPTIONAL = (
 _MAY_BE_NULL = ("negotiation_strategy", *(f"market_assessment.{n}" for n in ASSESSMENT))
 _NUMBER = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 DEEPEST = 8
+IDENTIFIER = "^(.*_)?id$"  # names of fields that identify a thing
 
 
 def unfenced(text: Column) -> Column:
@@ -139,13 +140,15 @@ def parse(answers: DataFrame, text: str = "answer") -> DataFrame:
 def vouched(bundles: DataFrame, key: str = "subject_id", text: str = "bundle") -> DataFrame:
     """Distinct numbers (``key``, value) that a JSON document vouches for, from a walk over its values by their type.
 
-    Numbers count as they are, numbers inside strings too; keys and flags do not.  Each also as magnitude, rounded, and as
+    Numbers count as they are, numbers inside strings too; keys, flags and what identifies a thing (``IDENTIFIER``) do not: an
+    id is no figure, and a large one lies close to some invented price.  Each also as magnitude, rounded, and as
     percentage or fraction twin.  What is nested deeper than DEEPEST is read as text.
     """
     found = bundles.select(key, F.try_parse_json(text).alias("_v"))
     kind = F.schema_of_variant("_v")
     for _ in range(DEEPEST):  # what is no container stays as it is
-        inner = F.when(kind.startswith("OBJECT"), F.map_values(F.try_variant_get("_v", "$", "map<string, variant>")))
+        fields = F.map_filter(F.try_variant_get("_v", "$", "map<string, variant>"), lambda name, _: ~name.rlike(IDENTIFIER))
+        inner = F.when(kind.startswith("OBJECT"), F.map_values(fields))
         inner = inner.when(kind.startswith("ARRAY"), F.try_variant_get("_v", "$", "array<variant>")).otherwise(F.array("_v"))
         found = found.select(key, F.explode(inner).alias("_v"))
     deeper = kind.startswith("OBJECT") | kind.startswith("ARRAY")

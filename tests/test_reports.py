@@ -48,6 +48,12 @@ def test_walk_reads_what_is_too_deep_as_text(spark):
     assert {(r.subject_id, r.value) for r in reports.vouched(rows).collect()} == {(1, 4321.5), (1, 4322.0)}
 
 
+def test_walk_does_not_take_ids_for_figures(spark):
+    ids = {"analysis_id": "analysis-7777770", "comparables": [{"listing_id": 8888880, "id": 6666660, "price": 5550.0, "bid": 4440.0, "paid": 3330.0}]}
+    rows = spark.createDataFrame([(1, json.dumps(ids))], "subject_id long, bundle string")
+    assert {r.value for r in reports.vouched(rows).collect()} == {5550.0, 4440.0, 3330.0}
+
+
 def test_plain_report_passes(spark, bundles):
     report = plain(bundles)
     assert findings(spark, bundles, report) == []
