@@ -55,12 +55,14 @@ def _measure(docs: DataFrame, words: int) -> DataFrame:
 def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int, words: int) -> DataFrame:
     """(signature, u, v): each document u with one v that shares the signature, v the same for all of them.
 
+    Holders of a signature are cut where their sizes rule out links (``part_enum.cut_by_size``), and those left alone go.
+
     Workers deal packed arrays of signatures to ``buckets`` by the signature's value, so a shuffled
     row holds many.  A bucket's task reads them as a stream and keeps one document per different
     signature, never the members of a frequent one.  Rows out are one per member but the first, never pairs.
     Near copies share most signatures: signatures of the same documents become one, named by a hash of
     those (two groups under one name are one larger group, which loses no link).  A bucket with more
-    than HELD_ROWS members of shared signatures gives them under their own names.
+    than HELD_ROWS members of shared signatures gives them uncut under their own names.
     ``hot`` maps the keys of the most frequent sets to their representatives, which alone sign.
     """
 
@@ -75,94 +77,117 @@ def _candidates(docs: DataFrame, hot: dict[bytes, int], buckets: int, least: int
                     if hot.get(key, ids[i]) == ids[i]:
                         keep.setdefault(key, i)
             chosen = list(keep.values())
-            owner, signature = part_enum.signatures([sets[i] for i in chosen], least)
+            owner, signature, side = part_enum.sided_signatures([sets[i] for i in chosen], least)
             who = np.array([ids[i] for i in chosen], np.int64)[owner]
+            size = np.array([len(sets[i]) for i in chosen], np.int64)[owner] * 4 + side
             bucket = (signature % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((who, bucket))
-            bucket, signature, who = bucket[order], signature[order], who[order]
+            order = np.lexsort((size, who, bucket))
+            bucket, signature, who, size = bucket[order], signature[order], who[order], size[order]
             at = np.nonzero(np.diff(bucket, prepend=-1))[0].tolist()
             ends = [*at[1:], len(bucket)]
-            ids_, times = [], []
+            ids_, sizes, times = [], [], []
             for a, b in zip(at, ends):
-                i, n = np.unique(who[a:b], return_counts=True)
-                ids_.append(i.tobytes())
-                times.append(n.astype(np.int32).tobytes())
+                new = np.nonzero(np.concatenate([[True], (who[a + 1 : b] != who[a : b - 1]) | (size[a + 1 : b] != size[a : b - 1])]))[0]
+                ids_.append(who[a:b][new].tobytes())
+                sizes.append(size[a:b][new].astype(np.int32).tobytes())
+                times.append(np.diff(new, append=b - a).astype(np.int32).tobytes())
             short = np.ascontiguousarray((signature >> np.uint64(64 - 8 * SHORT)).view(np.uint8).reshape(-1, 8)[:, :SHORT])
-            columns = [[short[a:b].tobytes() for a, b in zip(at, ends)], ids_, times]
+            columns = [[short[a:b].tobytes() for a, b in zip(at, ends)], ids_, sizes, times]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[at], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "signatures", "ids", "times"]
+                [pa.array(bucket[at], pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "signatures", "ids", "sizes", "times"]
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, firsts, groups = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        seen, firsts, widths = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         place = np.uint64(0)
         held: list[np.ndarray] = []
         large = False
 
-        def step(signatures: list[bytes], ids: list[bytes], times: list[bytes]) -> np.ndarray:
-            """(signature, u, v) as rows of an array; a signature's group hash is brought up to date."""
-            nonlocal seen, firsts, groups
+        def step(signatures: list[bytes], ids: list[bytes], sizes: list[bytes], times: list[bytes]) -> np.ndarray:
+            """(signature, u, v, size of u) as rows of an array, for all holders of a signature but its first."""
+            nonlocal seen, firsts, widths
             short = np.frombuffer(b"".join(signatures), np.uint8).reshape(-1, SHORT)
             signature = np.zeros((len(short), 8), np.uint8)
             signature[:, :SHORT] = short
             signature = signature.view(np.uint64)[:, 0]
-            who = np.repeat(np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(times), np.int32))
-            order = np.lexsort((who, signature))
-            signature, who = signature[order], who[order]
-            once = np.concatenate([[True], (signature[1:] != signature[:-1]) | (who[1:] != who[:-1])])
-            signature, who = signature[once], who[once]
+            repeats = np.frombuffer(b"".join(times), np.int32)
+            who = np.repeat(np.frombuffer(b"".join(ids), np.int64), repeats)
+            size = np.repeat(np.frombuffer(b"".join(sizes), np.int32), repeats)
+            order = np.lexsort((size, who, signature))
+            signature, who, size = signature[order], who[order], size[order].astype(np.int64)
+            once = np.concatenate([[True], (signature[1:] != signature[:-1]) | (who[1:] != who[:-1]) | (size[1:] != size[:-1])])
+            signature, who, size = signature[once], who[once], size[once]
             new = np.concatenate([[True], signature[1:] != signature[:-1]])
             kinds = signature[new]
             at = np.searchsorted(seen, kinds)
             known = np.zeros(len(kinds), bool)
             inside = at < len(seen)
             known[inside] = seen[at[inside]] == kinds[inside]
-            lead = who[new]
-            lead[known] = firsts[at[known]]
-            first = lead[np.cumsum(new) - 1]
-            other = who != first
-            sums = np.add.reduceat(np.where(other, part_enum.mix(who.view(np.uint64)), np.uint64(0)), np.nonzero(new)[0])
-            groups[at[known]] += sums[known]
+            lead, width = who[new], size[new]
+            lead[known], width[known] = firsts[at[known]], widths[at[known]]
+            of = np.cumsum(new) - 1
+            other = (who != lead[of]) | (size != width[of])
             fresh = ~known
-            own = part_enum.mix(lead.view(np.uint64)) + sums
             seen, firsts = np.insert(seen, at[fresh], kinds[fresh]), np.insert(firsts, at[fresh], lead[fresh])
-            groups = np.insert(groups, at[fresh], own[fresh])
-            return np.stack([signature[other].view(np.int64), who[other], first[other]])
+            widths = np.insert(widths, at[fresh], width[fresh])
+            return np.stack([signature[other].view(np.int64), who[other], lead[of][other], size[other]])
 
-        def named(rows: np.ndarray, by_group: bool) -> pa.RecordBatch:
-            signature, u, v = rows[:, np.argsort(rows[0], kind="stable")]
-            at = np.nonzero(np.concatenate([np.ones(min(1, len(u)), bool), signature[1:] != signature[:-1]]))[0]
-            if len(at):  # the least member leads
-                lead = np.repeat(np.minimum(np.minimum.reduceat(u, at), v[at]), np.diff([*at.tolist(), len(u)]))
-                u, v = np.where(u == lead, v, u), lead
-            values = signature.view(np.uint64)
-            name = part_enum.mix(groups[np.searchsorted(seen, values)] if by_group else part_enum.mix(values) + place).view(np.int64)
+        def batch_of(name: np.ndarray, u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
             order = np.lexsort((v, u, name))
             rows = np.stack([name[order], u[order], v[order]])
             once = np.concatenate([np.ones(min(1, len(u)), bool), (np.diff(rows, axis=1) != 0).any(0)])
             return pa.RecordBatch.from_arrays([pa.array(r[once], pa.int64()) for r in rows], names=["signature", "u", "v"])
 
-        lists: tuple[list[bytes], ...] = ([], [], [])
+        def named(rows: np.ndarray) -> pa.RecordBatch:
+            """Rows of a part of the bucket, under names of their signatures' own."""
+            signature, u, v, _ = rows[:, rows[1] != rows[2]]
+            order = np.argsort(signature, kind="stable")
+            signature, u, v = signature[order], u[order], v[order]
+            at = np.nonzero(np.concatenate([np.ones(min(1, len(u)), bool), signature[1:] != signature[:-1]]))[0]
+            if len(at):  # the least member leads
+                lead = np.repeat(np.minimum(np.minimum.reduceat(u, at), v[at]), np.diff([*at.tolist(), len(u)]))
+                u, v = np.where(u == lead, v, u), lead
+            return batch_of(part_enum.mix(part_enum.mix(signature.view(np.uint64)) + place).view(np.int64), u, v)
+
+        def grouped(rows: np.ndarray) -> pa.RecordBatch:
+            """Rows of the whole bucket, cut by size, under names of their groups."""
+            kinds = np.unique(rows[0].view(np.uint64))
+            at = np.searchsorted(seen, kinds)
+            size = np.concatenate([rows[3], widths[at]])
+            order, group = part_enum.cut_by_size(np.concatenate([rows[0].view(np.uint64), kinds]), size >> 2, size & 3, least)
+            who = np.concatenate([rows[1], firsts[at]])[order]
+            order = np.lexsort((who, group))
+            group, who = group[order], who[order]
+            once = np.concatenate([np.ones(min(1, len(who)), bool), (group[1:] != group[:-1]) | (who[1:] != who[:-1])])
+            group, who = group[once], who[once]
+            new = np.concatenate([np.ones(min(1, len(who)), bool), group[1:] != group[:-1]])
+            if not new.any():
+                return batch_of(*(np.zeros(0, np.int64) for _ in range(3)))
+            at, of = np.nonzero(new)[0], np.cumsum(new) - 1
+            name = part_enum.mix(np.add.reduceat(part_enum.mix(who.view(np.uint64)), at)).view(np.int64)
+            return batch_of(name[of][~new], who[~new], who[at][of][~new])  # the least member leads
+
+        lists: tuple[list[bytes], ...] = ([], [], [], [])
         size = 0
         for batch in batches:
             if batch.num_rows:
                 place = np.uint64(batch.column("bucket")[0].as_py() + 1)
-            for kept, name in zip(lists, ("signatures", "ids", "times")):
+            for kept, name in zip(lists, ("signatures", "ids", "sizes", "times")):
                 kept += batch.column(name).to_pylist()
             size += sum(map(len, lists[0][-batch.num_rows :])) // SHORT
             if size >= HELD_SIGNATURES:
                 held.append(step(*lists))
-                lists, size = ([], [], []), 0
+                lists, size = ([], [], [], []), 0
                 if large or sum(r.shape[1] for r in held) > HELD_ROWS:
                     large = True
-                    yield named(np.concatenate(held, 1), False)
+                    yield named(np.concatenate(held, 1))
                     held = []
         if lists[0]:
             held.append(step(*lists))
         if held:
-            yield named(np.concatenate(held, 1), not large)
+            yield (named if large else grouped)(np.concatenate(held, 1))
 
-    signed = _rows(docs).mapInArrow(sign, "bucket long, signatures binary, ids binary, times binary")
+    signed = _rows(docs).mapInArrow(sign, "bucket long, signatures binary, ids binary, sizes binary, times binary")
     return signed.groupBy("bucket").applyInArrow(meet, "signature long, u long, v long")
 
 

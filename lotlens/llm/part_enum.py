@@ -203,17 +203,25 @@ def _part_sums(sets: list[np.ndarray], parts: np.ndarray, seed: int) -> tuple[np
 
 
 def signatures(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(set, signature) of all sets, in any order.
+    """(set, signature) of all sets, in any order: ``sided_signatures`` without the sides."""
+    return sided_signatures(sets, least)[:2]
+
+
+INSIDE, BELOW, ABOVE = 0, 1, 2  # an instance of a band, or the set's side of the border that an instance is for
+
+
+def sided_signatures(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, signature, side) of all sets, in any order.
 
     Of k + 1 + spare parts linked sets agree on spare + 1 at least, so where one of the two has at
     most ``spare`` empty parts they share a part that is not empty.  A set with more empty parts
     also signs under the next seed; under the last seed its empty parts sign too.
     """
     if not sets:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     ends = bands(max(map(len, sets)), least)
     work = [(i, number, k) for i, s in enumerate(sets) if len(s) for number, k in instances(len(s), ends, least)]
-    owners, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    owners, found, sides = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for seed in range(SEEDS):
         if not work:
             break
@@ -233,11 +241,40 @@ def signatures(sets: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray,
                 counts = np.concatenate([counts, np.zeros(len(gone), np.int64)])
         found.append(mix(sums + salt[which] + mix(part.astype(np.uint64) * _STEP + counts.astype(np.uint64))))
         owners.append(index[which])
+        border = np.where([len(sets[i]) <= ends[n // 2] for i, n, _ in work], BELOW, ABOVE)
+        sides.append(np.where(number % _U(2) == 1, border, INSIDE)[which])
         work = [work[j] for j in np.nonzero(parts - held > spare)[0].tolist()]
-    return np.concatenate(owners), np.concatenate(found)
+    return np.concatenate(owners), np.concatenate(found), np.concatenate(sides)
+
 
+def cut_by_size(signature: np.ndarray, sizes: np.ndarray, sides: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, group): holders of signatures cut where their sizes leave a gap that no link spans.
 
-def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 8192) -> np.ndarray:
+    Two holders link only where 100 * min >= least * max of their sizes, and through the instance of a border only from
+    one side of it to the other: one side alone has no link there, and a holder must reach the other side's nearest.
+    Holders that are left alone go.  No pair that could link through the signature is parted.
+    """
+    order = np.lexsort((sizes, signature))
+    while True:
+        s, n, side = signature[order], sizes[order], sides[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (s[1:] != s[:-1]) | (100 * n[:-1] < least * n[1:])
+        group = np.cumsum(new) - 1
+        if not len(order):
+            return order, group
+        at = np.nonzero(new)[0]
+        several = np.diff([*at.tolist(), len(order)]) > 1
+        plain = np.maximum.reduceat(side == INSIDE, at)  # then borders bind nobody: two instances met by chance
+        low = np.maximum.reduceat(np.where(side == BELOW, n, 0), at)
+        high = np.minimum.reduceat(np.where(side == ABOVE, n, np.iinfo(np.int64).max // 200), at)
+        reach = np.where(side == BELOW, 100 * n >= least * high[group], least * n <= 100 * low[group])
+        stay = several[group] & (plain[group] | reach)
+        if stay.all():
+            return order, group
+        order = order[stay]
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray], columns: int = 2048) -> np.ndarray:
     """Sizes of the intersections of every set of ``a`` with every set of ``b``.
 
     Only elements that occur in both lists become columns of 0/1 matrices, multiplied in strips.

@@ -294,3 +294,46 @@ def test_sketches_of_long_sets_still_tell():
     pairs = part_enum.pairs_may_link([sketch[i] for i, _ in flat], sizes[[i for i, _ in flat]], [sketch[j] for _, j in flat], sizes[[j for _, j in flat]], 80)
     assert pairs.tolist() == near.ravel().tolist()
     assert part_enum.pairs_may_link([None], sizes[:1], sketch[:1], sizes[:1], 80).all()
+
+
+def cut(sizes, sides, least=80):
+    row, group = part_enum.cut_by_size(np.zeros(len(sizes), np.uint64), np.array(sizes), np.array(sides), least)
+    return sorted(sorted(row[group == g].tolist()) for g in np.unique(group))
+
+
+def test_holders_of_a_signature_are_cut_where_sizes_rule_links_out():
+    inside, below, above = part_enum.INSIDE, part_enum.BELOW, part_enum.ABOVE
+    assert cut([100, 126, 80, 200], [inside] * 4) == [[0, 2]]
+    assert cut([100, 125, 156], [inside] * 3) == [[0, 1, 2]]
+    assert cut([90, 100], [below, below]) == [] and cut([90, 100], [below, above]) == [[0, 1]]
+    assert cut([70, 90, 100, 120], [below, below, above, above]) == [[1, 2]]  # 70 reaches no 100, and 120 no 90
+    assert cut([], []) == []
+
+
+def test_linked_sets_stay_together_among_other_holders():
+    rng = np.random.default_rng(16)
+    met = 0
+    for _ in range(200):
+        base = np.unique(rng.integers(0, 2**63, int(rng.integers(5, 400))).astype(np.uint64))
+        change = int(rng.integers(1, len(base) // 5 + 2))
+        other = np.unique(np.concatenate([rng.permutation(base)[change:], rng.integers(0, 2**63, change // 8).astype(np.uint64)]))
+        if not part_enum.linked(base, other, 80) or np.array_equal(base, other):
+            continue
+        met += 1
+        owner, signature, side = part_enum.sided_signatures([base, other], 80)
+        more = rng.integers(0, len(signature), 300)  # strangers of any size and side under the same signatures
+        size = np.concatenate([np.array([len(base), len(other)])[owner], rng.integers(1, 600, 300)])
+        who = np.concatenate([owner, np.arange(2, 302)])
+        row, group = part_enum.cut_by_size(np.concatenate([signature, signature[more]]), size, np.concatenate([side, side[more]]), 80)
+        assert set(group[who[row] == 0].tolist()) & set(group[who[row] == 1].tolist())
+    assert met > 50
+
+
+def test_unlike_sizes_under_common_signatures_are_no_candidates(spark):
+    """A text and longer ones that hold it whole share signatures, but sizes alone rule all their links out."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+    rows = [(i, " ".join(base + [f"x{i}-{j}" for j in range(round(100 * 1.3**i) - 100)])) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert part_enum.LEAST == 85 and jaccard._candidates(docs, {}, 4, 80, 5).count() == 0
+    assert rows_of(jaccard.group_similar(docs)) == brute(rows)
