@@ -12,23 +12,23 @@ from ..operators import responses as responses_of
 from ..session import materialise, once
 from ..sources import market
 from . import appraisal
-from .services import _ALL, _appraised
+from .services import _ALL, _WHOLE_ALL, _appraised
 from .statistics import _twin
 
 
-def _bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _bundles(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """subject_id and bundle of every subject, written once."""
 
     def build() -> DataFrame:
-        _, chosen, _, _ = appraisal._valued(spark, sf_dir)
-        facts, moves = appraisal._facts(spark, sf_dir)
+        _, chosen, _, _ = appraisal._valued(spark, sf_dir, whole)
+        facts, moves = appraisal._facts(spark, sf_dir, whole)
         return evidence.assemble(materialise(_appraised(facts, moves), "appraised"), chosen, market.as_of())
 
-    return once(spark, sf_dir, "bundles", build)
+    return once(spark, sf_dir, appraisal._name("bundles", whole), build)
 
 
-def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.without_model(_bundles(spark, sf_dir))
+def _plain(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return reports.without_model(_bundles(spark, sf_dir, whole))
 
 
 def _claimed(statement: str) -> Column:
