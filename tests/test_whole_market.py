@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lotlens.operators import comparables
 from lotlens.plans import registry
@@ -16,7 +17,7 @@ CROWD = {
     "part": "* REPLACE ('Brand#1' AS p_brand, 'ECONOMY' AS p_type, p_size % 2 AS p_size, 'plain blue' AS p_name)",
     "lineitem": "* REPLACE (TIMESTAMP '2001-07-01' + to_days(CAST(l_orderkey % 30 AS INTEGER)) AS l_shipdate)",
 }
-WHOLE = ("comparables_chosen",)
+WHOLE = ("comparables_chosen", "comparables_summary")
 
 
 @pytest.fixture(scope="module")
@@ -36,6 +37,13 @@ def test_a_crowded_model_keeps_all_its_comparables(spark, crowded, name):
     assert differences(registry.QUERIES[name](spark, crowded), sql, crowded) == []
 
 
+def test_considered_and_chosen_outgrow_the_former_caps(spark, crowded):
+    rows = registry.QUERIES["comparables_summary"](spark, crowded).collect()
+    assert rows and all(r.considered > 2000 and r["size"] > 300 for r in rows)
+    chosen = registry.QUERIES["comparables_chosen"](spark, crowded)
+    assert chosen.groupBy("subject_id").agg(F.max("rank").alias("n")).filter("n <= 300").isEmpty()
+
+
 def test_without_a_cap_every_listing_in_the_window_stays(spark):
     rows = cars(spark, 2400)
     assert comparables.latest(rows, at()).count() == 2400
