@@ -84,7 +84,7 @@ def reports_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = F.col("report")
     a = r["market_assessment"]
     facts = F.filter(r["risk_signals"], lambda c: c["kind"] == "FACT")
-    return _plain(spark, sf_dir).select(
+    return _plain(spark, sf_dir, True).select(
         "subject_id", a["rating"].alias("rating"), a["confidence"].alias("confidence"), F.round(a["central_estimate"], 2).alias("central"),
         F.size("report.risk_signals").alias("risk_claims"), F.size(facts).alias("risk_facts"), F.size("report.inspection_priorities").alias("items"),
         F.size("report.limitations").alias("limitations"), r["negotiation_strategy"].isNotNull().alias("negotiable"),
@@ -183,7 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "report_checks": _twin(CHECKS_SQL, *_ALL),
-    "reports_without_model": _twin(WITHOUT_SQL, *_ALL),
+    "reports_without_model": _twin(WITHOUT_SQL, *_WHOLE_ALL),
     "reports_parsed": _twin(PARSED_SQL, *_ALL),
     "responses": _twin(RESPONSES_SQL, *_ALL),
 }
