@@ -133,7 +133,7 @@ def reports_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 9 == 8, F.lit("The car looks fine to me."))
         .otherwise(answer)
     )
-    parsed = reports.parse(_plain(spark, sf_dir).select("subject_id", spoilt.alias("answer")))
+    parsed = reports.parse(_plain(spark, sf_dir, True).select("subject_id", spoilt.alias("answer")))
     rating = F.col("report.market_assessment.rating")
     return parsed.select("subject_id", "outcome", F.array_join("problems", ", ").alias("problems"), F.coalesce(rating, F.lit("")).alias("rating"))
 
@@ -184,6 +184,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "report_checks": _twin(CHECKS_SQL, *_ALL),
     "reports_without_model": _twin(WITHOUT_SQL, *_WHOLE_ALL),
-    "reports_parsed": _twin(PARSED_SQL, *_ALL),
+    "reports_parsed": _twin(PARSED_SQL, *_WHOLE_ALL),
     "responses": _twin(RESPONSES_SQL, *_ALL),
 }
