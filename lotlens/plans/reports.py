@@ -148,8 +148,8 @@ FROM rated
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a client reads of each subject, out of its response."""
-    _, chosen, _, _ = appraisal._valued(spark, sf_dir)
-    facts, moves = appraisal._facts(spark, sf_dir)
+    _, chosen, _, _ = appraisal._valued(spark, sf_dir, True)
+    facts, moves = appraisal._facts(spark, sf_dir, True)
     made = materialise(responses_of.respond(materialise(_appraised(facts, moves), "appraised"), chosen, market.as_of()), "responses")
     at = lambda path: F.get_json_object("response", f"$.{path}")
     types = F.transform(F.from_json(at("risk.signals"), "array<struct<type: string>>"), lambda s: s["type"])
@@ -185,5 +185,5 @@ ORACLE_SQL: dict[str, str] = {
     "report_checks": _twin(CHECKS_SQL, *_ALL),
     "reports_without_model": _twin(WITHOUT_SQL, *_WHOLE_ALL),
     "reports_parsed": _twin(PARSED_SQL, *_WHOLE_ALL),
-    "responses": _twin(RESPONSES_SQL, *_ALL),
+    "responses": _twin(RESPONSES_SQL, *_WHOLE_ALL),
 }

@@ -17,7 +17,8 @@ CROWD = {
     "part": "* REPLACE ('Brand#1' AS p_brand, 'ECONOMY' AS p_type, p_size % 2 AS p_size, 'plain blue' AS p_name)",
     "lineitem": "* REPLACE (TIMESTAMP '2001-07-01' + to_days(CAST(l_orderkey % 30 AS INTEGER)) AS l_shipdate)",
 }
-WHOLE = ("comparables_chosen", "comparables_summary", "ratings", "negotiations", "inspection_plans", "bundles", "reports_without_model", "reports_parsed")
+WHOLE = ("bundles", "comparables_chosen", "comparables_summary", "inspection_plans", "negotiations", "ratings", "reports_parsed",
+         "reports_without_model", "responses")
 
 
 @pytest.fixture(scope="module")
