@@ -75,3 +75,10 @@ def test_issue_details_go_with_issues(spark):
     year = F.lit(2024)
     for r in rows.select(state.issues(year).alias("i"), state.issue_details(year).alias("d")).collect():
         assert [d.issue for d in r.d] == r.i and all(d.detail for d in r.d)
+
+
+def test_a_price_just_below_nothing_is_told_without_a_sign(spark):
+    prices = [-0.2999999999992724, -0.5, -0.51, 0.0, 0.4]
+    rows = spark.createDataFrame([(p, 5, 2020, "A", "B") for p in prices], "price double, mileage_km long, model_year int, make string, model string")
+    told = [r.d[0].detail for r in rows.select("price", state.issue_details(F.lit(2024)).alias("d")).collect()]
+    assert told == [f"{n} is too low a price" for n in ("0", "0", "-1", "0", "0")]
