@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from lotlens.operators import comparables
+from lotlens.operators import comparables, stats
 from lotlens.plans import registry
 
 from .oracle import differences
@@ -49,3 +49,15 @@ def test_without_a_cap_every_listing_in_the_window_stays(spark):
     rows = cars(spark, 2400)
     assert comparables.latest(rows, at()).count() == 2400
     assert comparables.latest(rows, at(), 2000).count() == 2000
+
+
+def test_percentiles_come_without_pairs_of_targets_and_rows(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 2.0), ("a", None), ("b", 5.0), ("c", None)], "k string, v double")
+    asked = [(1, "a", 2.0), (2, "a", 1.5), (3, "a", 0.5), (4, "a", 9.0), (5, "a", None), (6, "b", 5.0), (7, "c", 1.0), (8, "d", 1.0)]
+    targets = spark.createDataFrame(asked, "i long, k string, t double")
+    pairs = rows.join(targets, "k").groupBy("i").agg(F.count("*").alias("n"), stats.percentile_rank(F.col("v"), F.col("t")).alias("percentile"))
+    found = stats.percentile_ranks(rows, ["k"], "v", targets, "t")
+    assert sorted(found.select("i", "n", "percentile").collect()) == sorted(pairs.collect())
+    assert {r.i: r.percentile for r in found.collect()}[1] == pytest.approx(200 / 3)
+    got = registry.QUERIES["stats_percentile_rank"](spark, SMALL)
+    assert differences(got, registry.ORACLE_SQL["stats_percentile_rank"], SMALL) == []
