@@ -61,3 +61,19 @@ def test_percentiles_come_without_pairs_of_targets_and_rows(spark):
     assert {r.i: r.percentile for r in found.collect()}[1] == pytest.approx(200 / 3)
     got = registry.QUERIES["stats_percentile_rank"](spark, SMALL)
     assert differences(got, registry.ORACLE_SQL["stats_percentile_rank"], SMALL) == []
+
+
+def test_only_pairs_of_kinds_and_admitted_tiers_are_formed(spark):
+    rows = cars(spark, 2400).withColumn("last_seen", F.when(F.col("listing_id") % 10 == 0, F.lit("2000-01-01").cast("timestamp_ntz")).otherwise(F.col("last_seen")))
+    rows = rows.withColumn("source_url", F.when(F.col("listing_id") < 20, F.lit("u/7/")).otherwise(F.col("source_url"))).localCheckpoint()
+    named = [F.col("listing_id").alias("subject_id"), *(F.col(c).alias(f"s_{c}") for c in rows.columns if c not in ("listing_id", "last_seen"))]
+    subjects = rows.filter("listing_id < 400").select(*named)
+    totals, met, _ = comparables.tally(subjects, rows, at())
+    assert met.count() < 400 * 2400 / 5
+    plain = comparables.score(rows.join(subjects, F.col("model_key") == F.col("s_model_key")), at())
+    counts = [F.count("*"), F.count_if(F.col("similarity").isNull()), F.count_if(F.col("similarity") < 0.45), F.count_if((F.col("similarity") >= 0.45) & (F.col("tier") > 3))]
+    names = ("subject_id", "considered", "excluded_stale", "excluded_dissimilar", "left_in_tier_4")
+    assert sorted(totals.select(*names).collect()) == sorted(plain.groupBy("subject_id").agg(*counts).collect())
+    kept = ("subject_id", "listing_id", "rank", "tier", "weight", "tier_used", "widened")
+    want = comparables.select(plain).select(*kept).collect()
+    assert want and sorted(comparables.choose(subjects, rows, at()).select(*kept).collect()) == sorted(want)
